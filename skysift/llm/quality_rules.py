@@ -27,7 +27,7 @@ RULES: dict[str, tuple[int, str]] = {
     "repeated_words": (2, "100 * n_repeat_words > 50 * n_words"),
     "symbol_heavy": (4, "5 * n_symbols > n_words"),
     "upper_heavy": (8, "2 * n_upper > word_chars"),
-    "duplicate_lines": (16, "10 * n_dup_lines > 3 * n_lines"),
+    "duplicate_lines": (16, "2 * n_dup_lines > n_lines"),
     "word_length": (32, "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
 }
 BASE = RULES["few_words"][0] | RULES["repeated_words"][0]
@@ -174,7 +174,7 @@ WITH d AS (
     + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
     + CASE WHEN 5 * n_symbols > n_words THEN 4 ELSE 0 END
     + CASE WHEN 2 * n_upper > word_chars THEN 8 ELSE 0 END
-    + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END
+    + CASE WHEN 2 * n_dup_lines > n_lines THEN 16 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 32 ELSE 0 END AS failed_bits
   FROM m
 )
