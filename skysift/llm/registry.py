@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bpe_chunks, line_crf, quality_rules, secret_scan, toxicity
 from .common import table
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": lambda s, d: toxicity.op2(table(s, d, "documents"), table(s, d, "labels")),
+        "op4_line_crf": lambda s, d: line_crf.op4(table(s, d, "documents"), table(s, d, "labels")),
+        "op5_bpe_chunks": lambda s, d: bpe_chunks.op5(table(s, d, "documents")),
         "op7_quality_rules": lambda s, d: quality_rules.op7(table(s, d, "documents")),
+        "op8_secret_scan": lambda s, d: secret_scan.op8(table(s, d, "documents")),
     }
 
 
