@@ -1,9 +1,13 @@
-"""Session factory used by tests, bench and scripts."""
+"""Session helpers used by the queries, tests, bench and scripts."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def get_session(master: str = "local[*]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session; on a cluster the submitted session is used as it is."""
@@ -18,3 +22,14 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from its place (a cluster ships
+    it with --py-files instead) and bounds the rows of an Arrow batch, so that
+    long texts cannot fill a worker."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), ROOT) if x)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
