@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from . import bpe_chunks, line_crf, quality_rules, secret_scan, toxicity
+from . import bpe_chunks, html_tree, jaccard_join, line_crf, phrase_dedup, qgram_leaks, quality_rules, secret_scan, toxicity, unigram_count
 from .common import table
 
 
 def queries() -> dict:
+    docs = lambda s, d: table(s, d, "documents")
     return {
-        "op2_toxicity": lambda s, d: toxicity.op2(table(s, d, "documents"), table(s, d, "labels")),
-        "op4_line_crf": lambda s, d: line_crf.op4(table(s, d, "documents"), table(s, d, "labels")),
-        "op5_bpe_chunks": lambda s, d: bpe_chunks.op5(table(s, d, "documents")),
-        "op7_quality_rules": lambda s, d: quality_rules.op7(table(s, d, "documents")),
-        "op8_secret_scan": lambda s, d: secret_scan.op8(table(s, d, "documents")),
+        "op1_html_tree": lambda s, d: html_tree.op1(table(s, d, "pages")),
+        "op2_toxicity": lambda s, d: toxicity.op2(docs(s, d), table(s, d, "labels")),
+        "op3_unigram_count": lambda s, d: unigram_count.op3(docs(s, d)),
+        "op4_line_crf": lambda s, d: line_crf.op4(docs(s, d), table(s, d, "labels")),
+        "op5_bpe_chunks": lambda s, d: bpe_chunks.op5(docs(s, d)),
+        "op6_qgram_leaks": lambda s, d: qgram_leaks.op6(docs(s, d), table(s, d, "benchmark")),
+        "op7_quality_rules": lambda s, d: quality_rules.op7(docs(s, d)),
+        "op8_secret_scan": lambda s, d: secret_scan.op8(docs(s, d)),
+        "op9_phrase_dedup": lambda s, d: phrase_dedup.op9(docs(s, d)),
+        "op10_jaccard_join": lambda s, d: jaccard_join.op10(docs(s, d)),
     }
 
 
