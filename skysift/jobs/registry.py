@@ -1,11 +1,39 @@
-"""Registered queries of the signal operators."""
+"""Registered queries of the signal operators, each with its SQL twin where
+SQL can express it. Modules of this package fill the registry on import."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+QUERIES: dict[str, Callable] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def with_(*ctes: str) -> str:
+    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+def _load() -> None:
+    from . import catalog_queries, model_queries, score_queries, spectrum_queries  # noqa: F401
+
+
+def queries() -> dict[str, Callable]:
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(SQL)
