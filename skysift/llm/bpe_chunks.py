@@ -21,6 +21,7 @@ are encoded whole.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,11 @@ CHUNK_BITS, REACH = 9, 64
 #: Bounds of a worker's stores: words, and bytes of chunks with their tokens.
 MAX_WORDS, MAX_CHUNK_BYTES = 400_000, 48 << 20
 
+#: A word of Latin letters with ASCII marks before and after: the pre-tokenizer
+#: parts it there, and letter case goes, so parts recur far more than words. The
+#: letters are composed ones; marks cannot start a contraction at the end.
+_PARTED = re.compile(r"([!-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
 _TABLE = np.array([int.from_bytes(hashlib.md5(bytes([i])).digest()[:4], "little") for i in range(256)], np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -81,22 +87,49 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.token = {i: t.encode() for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        if ids("one  two\n") != ids("one") + ids("two"):
+            raise ValueError("chunks need a tokenizer that drops white space")
+        #: Whether the tokenizer parts words as _PARTED does.
+        self.parted = ids('"One!?') == ids('"') + ids("one") + ids("!?")
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
+        self.parts: dict[str, tuple[bytes, bytes]] = {}
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
         self.chunk_bytes = 0
 
     def learn(self, words: set[bytes]) -> None:
-        """Encodes the words that are not in the store yet."""
-        new = [w for w in words if w not in self.words]
+        """Encodes the words that are not in the store yet, by their parts."""
+        new = words - self.words.keys()
         if len(self.words) + len(new) > MAX_WORDS:
             self.words.clear()
-            new = list(words)
-        for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            for w, e in zip(some, got, strict=True):
+            new = words
+        split: list[tuple[bytes, tuple[str, ...]]] = []
+        need: set[str] = set()
+        for w in new:
+            text = w.decode()
+            m = _PARTED.fullmatch(text) if self.parted and not any(t in text for t in self.special) else None
+            if m and not m[1].endswith("'"):  # 's and the like are one pre-token
+                parts = tuple([p for p in (m[1], m[2].lower(), m[3]) if p])
+            else:
+                parts = (text,)
+            split.append((w, parts))
+            need.update(parts)
+        if len(self.parts) + len(need) > MAX_WORDS:
+            self.parts.clear()
+        known = self.parts
+        missing = [p for p in need if p not in known]
+        for at in range(0, len(missing), 8192):
+            some = missing[at : at + 8192]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 ids = e.ids
-                self.words[w] = (" ".join(map(str, ids)).encode(), b" ".join([self.token[i] for i in ids]))
+                known[p] = (" ".join(map(str, ids)).encode(), b" ".join([self.token[i] for i in ids]))
+        for w, parts in split:
+            if len(parts) == 1:
+                self.words[w] = known[parts[0]]
+            else:
+                both = [known[p] for p in parts]
+                self.words[w] = (b" ".join([x[0] for x in both]), b" ".join([x[1] for x in both]))
 
     def chunk(self, data: bytes) -> tuple[bytes, bytes]:
         got = self.chunks.get(data)

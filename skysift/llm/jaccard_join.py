@@ -4,7 +4,7 @@ A document is the set of its five-word shingles (hashes). Documents with equal
 sets are one node. Two sets of sizes r >= s link at similarity t only if their
 symmetric difference is at most H = (1 - t) / (1 + t) * (r + s).
 
-Sizes fall into bands [lo, lo / t]. For each band a hash deals the universe of
+Sizes fall into bands [lo, lo / t^2]. For each band a hash deals the universe of
 shingles to m segments. Every set indexes its segments in its own band. As the
 larger partner it asks in its own band and the one below, with an allocation of
 H + 1 units: a segment costs one unit if it must be equal, two if one shingle
@@ -44,7 +44,7 @@ SHINGLE = 5
 #: Similarity as a fraction NUM / DEN: link when DEN * common >= NUM * union.
 NUM, DEN = 80, 100
 #: Segments a band has for each that the largest allocation asks.
-SLACK = 1.25
+SLACK = 1.1
 #: Bands up to this size keep one-deletion neighbourhoods.
 SMALL = 24
 #: About so many signature rows go to one partition, and so many texts to a hub.
@@ -63,7 +63,7 @@ def bands(top: int) -> list[tuple[int, int]]:
     """[(lo, hi)]: a set of size r has partners in its band and the one below."""
     out, lo = [], 1
     while lo <= top:
-        hi = lo * DEN // NUM
+        hi = lo * DEN * DEN // (NUM * NUM)
         out.append((lo, hi))
         lo = hi + 1
     return out
@@ -93,10 +93,6 @@ def node_id(s: np.ndarray) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(_U).view(np.int64)
-
-
 class _Band:
     """A band's deal of shingles to segments."""
 
@@ -114,9 +110,6 @@ class _Band:
         np.add.at(total, seg, x)
         return seg, x, total, np.bincount(seg, minlength=self.m)
 
-    def sign(self, seg: np.ndarray, total: np.ndarray) -> np.ndarray:
-        return wordhash.mix(total + self.base[seg])
-
 
 def allocate(count: np.ndarray, units: int, small: bool) -> tuple[np.ndarray, np.ndarray]:
     """(segments asked to be equal, segments asked within one deletion)."""
@@ -147,12 +140,14 @@ def allocate(count: np.ndarray, units: int, small: bool) -> tuple[np.ndarray, np
     return np.array(one, np.int64), np.array(two, np.int64)
 
 
-INDEX, ASK = 1, 2
+#: A signature row's role, in the low bits of its signature: rows that ask come
+#: first in a signature's list, so a list whose first row does not ask has none.
+BOTH, ASK, INDEX = 0, 1, 2
 
 
-def signatures(s: np.ndarray, all_bands: list[_Band], number: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, INDEX and ASK bits) of a set whose band is number."""
-    n, sigs, bits = len(s), [], []
+def signatures(s: np.ndarray, all_bands: list[_Band], number: int) -> np.ndarray:
+    """Signatures (with roles) of a set whose band is number."""
+    n, out = len(s), []
     for b in (number, number - 1):
         if b < 0:
             continue
@@ -161,32 +156,25 @@ def signatures(s: np.ndarray, all_bands: list[_Band], number: int) -> tuple[np.n
         largest = n if own else band.hi
         if NUM * n > DEN * largest:  # no partner in this band
             continue
-        units = hamming(n, largest) + 1
         if own and hamming(band.hi * DEN // NUM, band.hi) == 0:
             continue  # only equal sets link
+        units = hamming(n, largest) + 1
         seg, x, total, count = band.deal(s)
-        every = np.arange(band.m)
-        flag = np.zeros(band.m, np.int8)
-        one, two = allocate(count, min(units, 2 * band.m), band.small)
-        if own:
-            flag[:] = INDEX
-        if units > 1 or not own:
-            flag[one] |= ASK
-            flag[two] |= ASK
-        use = flag > 0
-        sigs.append(band.sign(every[use], total[use]))
-        bits.append(flag[use])
+        asked = np.zeros(band.m, bool)
+        two = np.zeros(0, np.int64)
+        if units > 1 or not own:  # with one unit only an equal set would do
+            one, two = allocate(count, min(units, 2 * band.m), band.small)
+            asked[one] = asked[two] = True
+        use = np.flatnonzero(asked | own)
+        role = np.where(asked[use], BOTH if own else ASK, INDEX)
+        out.append((wordhash.mix(total[use] + band.base[use]) & ~_U(3)) | role.astype(_U))
         if band.small:  # the sets that lack one shingle of a segment
-            asked = np.zeros(band.m, bool)
-            if units > 1 or not own:
-                asked[two] = True
-            f = np.where(asked[seg], ASK, 0) | (INDEX if own else 0)
-            keep = f > 0
-            sigs.append(band.sign(seg[keep], total[seg[keep]] - x[keep]))
-            bits.append(f[keep].astype(np.int8))
-    if not sigs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int8)
-    return _signed(np.concatenate(sigs)), np.concatenate(bits)
+            within = np.zeros(band.m, bool)
+            within[two] = True
+            use = np.flatnonzero(within[seg] | own)
+            role = np.where(within[seg[use]], BOTH if own else ASK, INDEX)
+            out.append((wordhash.mix(total[seg[use]] - x[use] + band.base[seg[use]]) & ~_U(3)) | role.astype(_U))
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
 def _text_rows(docs: DataFrame) -> DataFrame:
@@ -194,7 +182,7 @@ def _text_rows(docs: DataFrame) -> DataFrame:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node) of every row."""
+    """(doc_id, h, n_shingles, node) of every row; h is the text's hash."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -202,27 +190,25 @@ def nodes(docs: DataFrame) -> DataFrame:
             for i, h in wordhash.batch(part["text"].tolist(), lower=True):
                 s = shingles(h)
                 n[i], node[i] = len(s), node_id(s)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": n, "node": node})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "h": part["h"], "n_shingles": n, "node": node})
 
-    return _text_rows(docs).mapInPandas(run, "doc_id long, n_shingles long, node long")
+    rows = _text_rows(docs).withColumn("h", F.xxhash64("text"))
+    return rows.mapInPandas(run, "doc_id long, h long, n_shingles long, node long")
 
 
 def _emit(docs: DataFrame) -> DataFrame:
-    """(sig, node, n, bits): the index and query rows of every distinct set (a
-    task emits a set once)."""
+    """(sig, node): the rows of every distinct set (a task emits a set once)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranges = bands(1)
         made = [_Band(i, *r) for i, r in enumerate(ranges)]
         seen: set[int] = set()
         for part in parts:
-            sig, node, size, bits = [], [], [], []
+            sig, node = [], []
             for _, h in wordhash.batch(part["text"].tolist(), lower=True):
                 s = shingles(h)
-                if not len(s):
-                    continue
                 k = node_id(s)
-                if k in seen:
+                if not len(s) or k in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(k)
@@ -230,50 +216,46 @@ def _emit(docs: DataFrame) -> DataFrame:
                     ranges = bands(len(s))
                     made += [_Band(i, *ranges[i]) for i in range(len(made), len(ranges))]
                 number = next(i for i, (lo, hi) in enumerate(ranges) if lo <= len(s) <= hi)
-                a, b = signatures(s, made, number)
-                sig.append(a)
-                bits.append(b)
-                node.append(np.full(len(a), k))
-                size.append(np.full(len(a), len(s), np.int32))
+                sig.append(signatures(s, made, number))
+                node.append(np.full(len(sig[-1]), k))
             if sig:
-                yield pd.DataFrame({"sig": np.concatenate(sig), "node": np.concatenate(node), "n": np.concatenate(size), "bits": np.concatenate(bits)})
+                yield pd.DataFrame({"sig": np.concatenate(sig), "node": np.concatenate(node)})
 
-    return _text_rows(docs).mapInPandas(run, "sig long, node long, n int, bits byte")
+    return _text_rows(docs).mapInPandas(run, "sig long, node long")
 
 
 def _shared(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by sig and node, those whose signature has a smaller node
-    as well: its hub. Streamed, whatever the size of a signature's list; only
-    the open list's hub is kept."""
-    sig0, node0, n0, bits0 = None, 0, 0, 0
+    """Of rows sorted by signature (askers first) and node, all but the first of
+    each list, with the first, its hub; lists without an asker and rows of the
+    hub itself go. Streamed, whatever the size of a list: only the open list's
+    hub is kept."""
+    key0, node0, role0 = None, 0, 0
     for part in parts:
         if not len(part):
             continue
-        sig, node, n, bits = (part[c].to_numpy() for c in ("sig", "node", "n", "bits"))
-        new = np.append(sig0 is None or sig[0] != sig0, sig[1:] != sig[:-1])
+        sig, node = part["sig"].to_numpy(), part["node"].to_numpy()
+        key, role = sig >> 2, (sig & 3).astype(np.int8)
+        new = np.append(key0 is None or key[0] != key0, key[1:] != key[:-1])
         group = np.cumsum(new)  # 0: the list that the last batch left open
         first = np.flatnonzero(new)
-        hub, hub_n = np.append(node0, node[first])[group], np.append(n0, n[first])[group]
-        is_hub = node == hub
-        own = np.zeros(len(first) + 1, np.int8)
-        own[0] = bits0
-        np.bitwise_or.at(own, group[is_hub], bits[is_hub])
-        sig0, node0, n0, bits0 = sig[-1], hub[-1], hub_n[-1], own[-1]
-        keep = ~is_hub
+        hub, hub_role = np.append(node0, node[first])[group], np.append(np.int8(role0), role[first])[group]
+        key0, node0, role0 = key[-1], hub[-1], hub_role[-1]
+        keep = (node != hub) & (hub_role != INDEX)
         if keep.any():
-            yield pd.DataFrame({
-                "sig": sig[keep], "node": node[keep], "n": n[keep], "bits": bits[keep],
-                "hub": hub[keep], "hub_n": hub_n[keep], "hub_bits": own[group[keep]],
-            })
+            yield pd.DataFrame({"sig": key[keep], "node": node[keep], "role": role[keep], "hub": hub[keep], "hub_role": hub_role[keep]})
 
 
-SHARED = "sig long, node long, n int, bits byte, hub long, hub_n int, hub_bits byte"
+SHARED = "sig long, node long, role byte, hub long, hub_role byte"
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The linked ones of pairs (a, b), by their texts (node, text). Pairs are
-    grouped by a, at most HUB_TEXTS or so to a group, so that a text is shipped
-    once for many partners and no group grows with the data."""
+def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The linked ones (u, v) of pairs (a, b), by the texts of the documents
+    that stand for them (reps: node, doc_id, h). Pairs are grouped by a, at most
+    HUB_TEXTS or so to a group, so that a text is shipped once for many partners
+    and no group grows with the data."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node")
+    found = _text_rows(docs).withColumn("h", F.xxhash64("text")).join(wanted, ["doc_id", "h"])
+    texts = stored(found.groupBy("node").agg(F.first("text").alias("text")))
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_TEXTS).cast("int").alias("salts"))
     salted = pairs.join(parts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -302,40 +284,42 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = stored(nodes(docs))
     real = rows.where("n_shingles > 0")
-    reps = real.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    least = F.min(F.struct("doc_id", "h"))
+    one = real.groupBy("node").agg(least.alias("r"), F.first("n_shingles").alias("n"))
+    reps, sizes = one.select("node", "r.doc_id", "r.h"), one.select("node", "n")
 
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.6 * total / ROWS_PER_PARTITION))
-    dealt = _emit(docs).repartition(deal, "sig").sortWithinPartitions("sig", "node")
+    deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.5 * total / ROWS_PER_PARTITION))
+    dealt = _emit(docs).repartition(deal, F.shiftright("sig", 2)).sortWithinPartitions("sig", "node")
     cand = stored(dealt.mapInPandas(_shared, SHARED))
 
-    near = lambda x, y: NUM * F.greatest(x, y) <= DEN * F.least(x, y)
-    order = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = stored(order(cand.where("node <> hub").where(near(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sizes allow a link, each once, smaller node first."""
+        some = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        sized = some.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
+        return sized.where(NUM * F.greatest("na", "nb") <= DEN * F.least("na", "nb")).select("a", "b")
 
-    wanted = cand.select("node").unionByName(cand.select(F.col("hub").alias("node"))).distinct().join(reps, "node")
-    texts = stored(_text_rows(docs).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").groupBy("node").agg(F.first("text").alias("text")))
-    links = stored(verify(tried, texts))
+    useful = ~((F.col("role") == ASK) & (F.col("hub_role") == ASK))
+    tried = stored(near(cand.where(useful).select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+    links = stored(verify(tried, docs, reps))
     labels = components(links)
 
     # what lies in one signature's list but in different components
-    every = cand.select("sig", "node", "n", "bits").unionByName(
-        cand.select("sig", F.col("hub").alias("node"), F.col("hub_n").alias("n"), F.col("hub_bits").alias("bits")).distinct()
-    )
-    at = every.join(labels, "node", "left").select("sig", "node", "n", "bits", F.coalesce("comp", "node").alias("comp"))
-    lists = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    rest = stored(at.join(lists, "sig"))
-    ask = rest.where(F.col("bits").bitwiseAND(ASK) != 0).select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    index = rest.where(F.col("bits").bitwiseAND(INDEX) != 0).select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    cross = ask.join(index, "sig").where("ca <> cb AND nb <= na").where(near(F.col("na"), F.col("nb"))).select("a", "b")
-    untried = stored(order(cross).join(tried, ["a", "b"], "left_anti"))
-    more = stored(verify(untried, texts))
+    at = cand.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    at = at.join(labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left")
+    at = stored(at.withColumn("hub_comp", F.coalesce("hub_comp", "hub")))
+    rest = at.join(at.where("comp <> hub_comp").select("sig").distinct(), "sig")
+    hubs = rest.select("sig", F.col("hub").alias("node"), F.col("hub_role").alias("role"), F.col("hub_comp").alias("comp")).distinct()
+    every = stored(rest.select("sig", "node", "role", "comp").unionByName(hubs))
+    ask = every.where(F.col("role") != INDEX).select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"))
+    index = every.where(F.col("role") != ASK).select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"))
+    untried = stored(near(ask.join(index, "sig").where("ca <> cb").select("a", "b")).join(tried, ["a", "b"], "left_anti"))
+    more = stored(verify(untried, docs, reps))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    of = reps.join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
-    least = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = of.join(least, "comp").select("node", "component_id")
+    of = reps.join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
+    named = of.join(of.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("node", "component_id")
     out = rows.join(named, "node", "left")
     return out.select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")

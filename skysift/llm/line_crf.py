@@ -30,6 +30,7 @@ from .toxicity import fit_linear, held_out, labelled_sample
 
 #: Bound of the labelled sample, by class, and of the lines read for training.
 MAX_PER_CLASS, MAX_LINES = 1200, 200
+PADDED = 40_000
 THRESHOLD = 0.5
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -134,8 +135,19 @@ def fit(chains: list[np.ndarray], y: list[np.ndarray], rounds: int = 80, l2: flo
 
 
 def quality(chains: list[np.ndarray], sizes: list[np.ndarray], w: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Length-weighted mean marginal of each document; 0.5 without lines."""
-    got = marginals([c @ w for c in chains], trans)
+    """Length-weighted mean marginal of each document; 0.5 without lines.
+    Chains of like length go together, at most PADDED lines with padding (or
+    one chain), so that long texts need no more memory than their lines."""
+    got = [np.zeros(0)] * len(chains)
+    order = sorted(range(len(chains)), key=lambda i: len(chains[i]))
+    group: list[int] = []
+    for at, i in enumerate(order):
+        group.append(i)
+        more = len(chains[order[at + 1]]) if at + 1 < len(order) else None
+        if more is None or more * (len(group) + 1) > PADDED:
+            for k, g in zip(group, marginals([chains[k] @ w for k in group], trans), strict=True):
+                got[k] = g
+            group = []
     return np.array([float(g @ z / z.sum()) if len(g) else 0.5 for g, z in zip(got, sizes, strict=True)])
 
 
@@ -150,7 +162,7 @@ def score(docs: DataFrame, labels: DataFrame, is_held_out: Column | None = None)
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # the lines' features, not the texts, are what the bounded sample brings in
     sample = text.join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "y")
-    got = sample.mapInPandas(_compact, "h long, y int, x binary, size binary").orderBy("h", "y", "x").limit(2 * MAX_PER_CLASS).toPandas()
+    got = sample.mapInPandas(_compact, "h long, y int, x binary, size binary").toPandas().sort_values(["h", "y", "x"])
     w, trans, curve = _train_compact(got)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

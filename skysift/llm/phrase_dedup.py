@@ -82,6 +82,15 @@ class Anchors:
         return wordhash.windows(self.h, WINDOW)
 
 
+def _member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which of x are among sorted values."""
+    if not len(among):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(among, x)
+    at[at == len(among)] = 0
+    return among[at] == x
+
+
 def _bucketed(docs: DataFrame, n: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("int").alias("b"))
@@ -164,10 +173,10 @@ def _doubtful_windows(docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         if len(h) < WINDOW:
             continue
         a = Anchors(h)
-        use = np.isin(a.context, asked)[a.of]
+        use = _member(a.context, asked)[a.of]
         if use.any():
             found.append(a.windows()[use])
-            wanted.append(np.isin(a.context, doubtful)[a.of[use]])
+            wanted.append(_member(a.context, doubtful)[a.of[use]])
     if not found:
         return none
     w, want = np.concatenate(found), np.concatenate(wanted)
@@ -201,7 +210,7 @@ def _locate(words: list[list[str]], phrases: set[str]) -> list[np.ndarray]:
         ends = np.array([at for at, _ in automaton.iter(f" {' '.join(w)} ")], np.int64)
         # after word i (from 0) the space stands at the sum of lengths up to i, plus i + 1
         spaces = np.cumsum(np.fromiter((len(x) + 1 for x in w), np.int64, len(w)))
-        out.append(np.searchsorted(spaces, ends) - PHRASE + 1)
+        out.append(np.searchsorted(spaces, ends) - PHRASE + 1)  # ascending, as the ends are
     return out
 
 
@@ -219,9 +228,9 @@ def _cover(docs: pd.DataFrame, marks: pd.DataFrame) -> list[tuple[list[str], np.
         if len(h) < WINDOW:
             continue
         a = Anchors(h)
-        ok = np.isin(a.context, whole)[a.of]
+        ok = _member(a.context, whole)[a.of]
         if len(window):
-            ok |= np.isin(a.windows(), window)
+            ok |= _member(a.windows(), window)
         if ok.any():
             confirmed[i] = (a, ok)
             w = words[i]
@@ -229,7 +238,7 @@ def _cover(docs: pd.DataFrame, marks: pd.DataFrame) -> list[tuple[list[str], np.
     some = list(confirmed)
     for i, places in zip(some, _locate([words[i] for i in some], phrases), strict=True):
         a, ok = confirmed[i]
-        start = np.flatnonzero(ok & np.isin(a.at, places)[a.of])
+        start = np.flatnonzero(ok & _member(a.at, places)[a.of])
         step = np.zeros(len(words[i]) + 1, np.int64)
         np.add.at(step, start, 1)
         np.add.at(step, start + WINDOW, -1)

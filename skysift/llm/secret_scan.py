@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sampling import about
+
 ASSIGN = (
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -38,7 +40,7 @@ FIRST, N_CHARS = 33, 94  # printable ASCII without the space
 
 #: A token is random above this mean log-likelihood ratio per character pair.
 LLR_THRESHOLD = 0.6
-#: Bounds of the labelled sample.
+#: Bounds of the labelled sample (documents: the expected number).
 SAMPLE_DOCS, SAMPLE_RANDOM = 1000, 4000
 
 #: Ordinary names as code and configuration hold them.
@@ -65,8 +67,8 @@ def _pairs(tokens: DataFrame) -> DataFrame:
 
 def labelled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The labelled sample: random strings made by hashing counters, and as
-    ordinary identifiers the long words of SAMPLE_DOCS documents (those whose
-    id hashes lowest) that no pattern claims, with the fixed names above."""
+    ordinary identifiers the long words of about SAMPLE_DOCS documents (chosen by
+    their id's hash), with the fixed names above."""
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 512)
     random = spark.range(SAMPLE_RANDOM).select(
@@ -80,7 +82,7 @@ def labelled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ).alias("token"),
         F.lit(1).alias("label"),
     )
-    some = docs.select(F.xxhash64(id_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS)
+    some = about(docs.select(id_col, text_col), SAMPLE_DOCS, id_col).select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     words = some.select(F.explode(F.split("t", r"[^A-Za-z0-9+/_=-]+")).alias("token"))
     plain = words.where("length(token) >= 6").where(~F.col("token").rlike("[0-9]")).select("token", F.lit(0).alias("label"))
     fixed = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in IDENTIFIERS for _ in range(3)])).alias("token"), F.lit(0).alias("label"))

@@ -29,8 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .sampling import about, hashed_share
 
-#: Bounds of the samples: labelled rows of each class, and rows for the models.
+#: Expected sizes of the samples: labelled rows of each class, and rows for the
+#: models.
 MAX_PER_CLASS, MAX_MODEL_ROWS = 4000, 20_000
 MAX_VOTERS, MAX_CANDIDATES = 192, 4000
 PREFIXES = (4, 5, 6)
@@ -54,11 +56,12 @@ def held_out(id_col: str = "doc_id", mod: int = 4, rest: int = 2) -> Column:
 
 
 def labelled_sample(labels: DataFrame, target: str, is_held_out: Column, per_class: int = MAX_PER_CLASS) -> DataFrame:
-    """At most per_class rows of each class, those whose id hashes lowest."""
+    """(doc_id, y): about per_class ids of each class, chosen by their hash."""
     rows = labels.where(~is_held_out & F.col(target).isin(0, 1)).select("doc_id", F.col(target).cast("int").alias("y"))
-    one = rows.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
-    both = [one.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
-    return both[0].unionByName(both[1]).select("doc_id", "y")
+    one = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
+    n = {r["y"]: r["count"] for r in one.groupBy("y").count().collect()}  # two rows at most
+    share = F.when(F.col("y") == 1, per_class / max(n.get(1, 1), 1)).otherwise(per_class / max(n.get(0, 1), 1))
+    return one.where(hashed_share(share))
 
 
 def _terms(text: str) -> set[str]:
@@ -212,8 +215,8 @@ def score(docs: DataFrame, labels: DataFrame, is_held_out: Column | None = None)
     k = len(voters)
     all_votes = stored(votes(docs, voters))
 
-    some = all_votes.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(MAX_MODEL_ROWS).toPandas()
-    gold = all_votes.join(known, "doc_id").limit(2 * MAX_PER_CLASS).toPandas()
+    some = about(all_votes, MAX_MODEL_ROWS).toPandas()
+    gold = all_votes.join(known, "doc_id").toPandas()
     prior = float(np.clip((gold["y"].mean() if len(gold) else 0.1), 0.02, 0.5))
     if len(some) and k:
         x = _matrix(some, k)
