@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 #: A chunk has 2**CHUNK_BITS bytes on average; its end moves at most REACH bytes.
 CHUNK_BITS, REACH = 9, 64
 #: Bounds of a worker's stores: words, and bytes of chunks with their tokens.
-MAX_WORDS, MAX_CHUNK_BYTES = 400_000, 48 << 20
+MAX_WORDS, MAX_CHUNK_BYTES = 700_000, 48 << 20
 
 #: A word of Latin letters with ASCII marks before and after: the pre-tokenizer
 #: parts it there, and letter case goes, so parts recur far more than words. The
@@ -81,13 +81,20 @@ class Encoder:
     joined by spaces."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.token = {i: t.encode() for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.token = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            self.token[i] = t.encode()
+        self.number = [str(i).encode() for i in range(len(self.token))]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         if ids("one  two\n") != ids("one") + ids("two"):
             raise ValueError("chunks need a tokenizer that drops white space")
@@ -98,50 +105,61 @@ class Encoder:
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
         self.chunk_bytes = 0
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encodes the words that are not in the store yet, by their parts."""
+    def learn(self, words: set[bytes], parted: bool) -> None:
+        """Encodes the words that are not in the store yet, by their parts if
+        they may be parted. A full store is emptied before, never after."""
         new = words - self.words.keys()
         if len(self.words) + len(new) > MAX_WORDS:
             self.words.clear()
             new = words
-        split: list[tuple[bytes, tuple[str, ...]]] = []
+        split: list[tuple[bytes, str, str, str]] = []
         need: set[str] = set()
         for w in new:
             text = w.decode()
-            m = _PARTED.fullmatch(text) if self.parted and not any(t in text for t in self.special) else None
-            if m and not m[1].endswith("'"):  # 's and the like are one pre-token
-                parts = tuple([p for p in (m[1], m[2].lower(), m[3]) if p])
-            else:
-                parts = (text,)
-            split.append((w, parts))
-            need.update(parts)
-        if len(self.parts) + len(need) > MAX_WORDS:
-            self.parts.clear()
+            m = _PARTED.fullmatch(text) if parted else None
+            if m:
+                before, letters, after = m.groups()
+                if before[-1:] != "'":  # 's and the like are one pre-token
+                    letters = letters.lower()
+                    split.append((w, before, letters, after))
+                    need.add(letters)
+                    if before:
+                        need.add(before)
+                    if after:
+                        need.add(after)
+                    continue
+            split.append((w, "", text, ""))
+            need.add(text)
         known = self.parts
-        missing = [p for p in need if p not in known]
+        if len(known) + len(need) > MAX_WORDS:
+            known.clear()
+        missing = list(need - known.keys())
+        number, token = self.number, self.token
         for at in range(0, len(missing), 8192):
             some = missing[at : at + 8192]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 ids = e.ids
-                known[p] = (" ".join(map(str, ids)).encode(), b" ".join([self.token[i] for i in ids]))
-        for w, parts in split:
-            if len(parts) == 1:
-                self.words[w] = known[parts[0]]
-            else:
-                both = [known[p] for p in parts]
-                self.words[w] = (b" ".join([x[0] for x in both]), b" ".join([x[1] for x in both]))
-
-    def chunk(self, data: bytes) -> tuple[bytes, bytes]:
-        got = self.chunks.get(data)
-        if got is None:
-            known = self.words
-            parts = [known[w] for w in data.split()]
-            got = (b" ".join([p[0] for p in parts if p[0]]), b" ".join([p[1] for p in parts if p[0]]))
-            self.chunk_bytes += len(data) + len(got[0]) + len(got[1]) + 200
-            if self.chunk_bytes > MAX_CHUNK_BYTES:
-                self.chunks.clear()
-                self.chunk_bytes = len(data)
-            self.chunks[data] = got
+                known[p] = (b" ".join([number[i] for i in ids]), b" ".join([token[i] for i in ids]))
+        for w, before, letters, after in split:
+            got = known[letters]
+            if before:
+                x = known[before]
+                got = (x[0] + b" " + got[0], x[1] + b" " + got[1])
+            if after:
+                x = known[after]
+                got = (got[0] + b" " + x[0], got[1] + b" " + x[1])
+            self.words[w] = got
+
+    def chunk(self, data: bytes, words: list[bytes]) -> tuple[bytes, bytes]:
+        """Encodes a new chunk of known words and stores it."""
+        known = self.words
+        parts = [p for p in [known[w] for w in words] if p[0]]
+        got = (b" ".join([p[0] for p in parts]), b" ".join([p[1] for p in parts]))
+        self.chunk_bytes += len(data) + len(got[0]) + len(got[1]) + 200
+        if self.chunk_bytes > MAX_CHUNK_BYTES:
+            self.chunks.clear()
+            self.chunk_bytes = len(data)
+        self.chunks[data] = got
         return got
 
     def repaired(self, left: bytes, right: bytes) -> tuple[bytes, bytes, bytes]:
@@ -173,19 +191,27 @@ class Encoder:
     def batch(self, texts: list[str]) -> Iterator[tuple[list[bytes], list[bytes]]]:
         """For every text, the ids and the tokens of its chunks."""
         for at in range(0, len(texts), 64):
-            some = [self.pieces(t.encode()) for t in texts[at : at + 64]]
+            some = [t.encode() for t in texts[at : at + 64]]
+            parted = self.parted and not any(s in t for t in some for s in self.special)
+            pieces = [[(p, None if p in self.chunks else p.split()) for p in self.pieces(t)] for t in some]
             need: set[bytes] = set()
-            for pieces in some:
-                for p in pieces:
-                    if p not in self.chunks:
-                        need.update(p.split())
-            self.learn(need)
-            for pieces in some:
-                for p in pieces:
-                    if p not in self.chunks and not self.words.keys() >= set(p.split()):
-                        self.learn(set(p.split()))  # a store was emptied meanwhile
-                both = [self.chunk(p) for p in pieces]
-                yield [x[0] for x in both if x[0]], [x[1] for x in both if x[0]]
+            for own in pieces:
+                for _, words in own:
+                    if words:
+                        need.update(words)
+            self.learn(need, parted)
+            for own in pieces:
+                both = []
+                for p, words in own:
+                    got = self.chunks.get(p)
+                    if got is None:
+                        if words is None:  # its store was emptied meanwhile
+                            words = p.split()
+                            self.learn(need.union(words), parted)
+                        got = self.chunk(p, words)
+                    if got[0]:
+                        both.append(got)
+                yield [x[0] for x in both], [x[1] for x in both]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -1,10 +1,11 @@
 """Connected components of an edge table, by hooking and contraction.
 
-Every node takes its smallest neighbour if that is smaller, chains are
-shortened until they end at roots, and edges are rewritten to roots; what is
-left is a smaller graph. Rounds are logarithmic in practice: a star, whatever
-its size, takes one. All steps are joins and partial aggregations; only row
-counts reach the driver.
+Every node takes its smallest neighbour if that is smaller, and then twice the
+node that its choice has taken; edges are rewritten to what their ends took, and
+those whose ends agree go. What is left is a smaller graph with the same
+components. Ends meet in few rounds: a star, whatever its size, takes one. All
+steps are joins and partial aggregations; only an emptiness test reaches the
+driver.
 """
 
 from __future__ import annotations
@@ -18,27 +19,23 @@ from .common import stored
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node that has an edge (u, v); comp is the smallest
     node of its component. Null ends and loops are left out."""
-    cur = stored(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    labels = None
+
+    def tidy(e: DataFrame) -> DataFrame:
+        return e.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    cur, labels = tidy(edges), None
     while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hook = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
-        hook = stored(hook)
-        while True:  # shorten the chains
-            up = hook.where("u <> p").select(F.col("u").alias("q"), F.col("p").alias("pp"))
-            jumped = stored(hook.join(up, hook["p"] == up["q"], "left").select("u", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
-            hook = jumped.select("u", "p")
-            if jumped.where("moved").isEmpty():
-                break
-        if labels is None:
-            labels = hook.select(F.col("u").alias("node"), F.col("p").alias("comp"))
-        else:
-            labels = stored(
-                labels.join(hook.withColumnRenamed("u", "comp"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp"))
-            )
-        root = hook.where("u <> p")
-        a = cur.join(root.withColumnRenamed("p", "pu"), "u", "left").select(F.coalesce("pu", "u").alias("u"), "v")
-        b = a.join(root.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v", "left").select("u", F.coalesce("pv", "v").alias("v"))
-        cur = stored(b.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        if cur.isEmpty():
+        take = stored(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")))
+        if labels is not None and take.isEmpty():
             return labels
+        again = take.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        for _ in range(2):
+            take = take.join(again, "p").select("u", F.col("q").alias("p"))
+        take = stored(take)
+        named = take.select(F.col("u").alias("comp"), "p")
+        labels = take.select(F.col("u").alias("node"), F.col("p").alias("comp")) if labels is None else stored(
+            labels.join(named, "comp", "left").select("node", F.coalesce("p", "comp").alias("comp"))
+        )
+        ends = cur.join(take, "u").select(F.col("p").alias("x"), F.col("v").alias("u")).join(take, "u").select(F.col("x").alias("u"), F.col("p").alias("v"))
+        cur = stored(tidy(ends))

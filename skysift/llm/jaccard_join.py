@@ -310,13 +310,12 @@ def join(docs: DataFrame) -> DataFrame:
     at = stored(at.withColumn("hub_comp", F.coalesce("hub_comp", "hub")))
     rest = at.join(at.where("comp <> hub_comp").select("sig").distinct(), "sig")
     hubs = rest.select("sig", F.col("hub").alias("node"), F.col("hub_role").alias("role"), F.col("hub_comp").alias("comp")).distinct()
-    every = stored(rest.select("sig", "node", "role", "comp").unionByName(hubs))
+    every = rest.select("sig", "node", "role", "comp").unionByName(hubs)
     ask = every.where(F.col("role") != INDEX).select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"))
     index = every.where(F.col("role") != ASK).select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"))
     untried = stored(near(ask.join(index, "sig").where("ca <> cb").select("a", "b")).join(tried, ["a", "b"], "left_anti"))
-    more = stored(verify(untried, docs, reps))
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    if not untried.isEmpty():
+        labels = components(links.unionByName(stored(verify(untried, docs, reps))))
 
     of = reps.join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     named = of.join(of.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("node", "component_id")
