@@ -26,10 +26,11 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, memory: s
 
 def prepared(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package from its place (a cluster ships
-    it with --py-files instead) and bounds the rows of an Arrow batch, so that
-    long texts cannot fill a worker."""
+    it with --py-files instead) and bounds an Arrow batch by its bytes, so that
+    long texts cannot fill a worker and narrow rows come many at a time."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), ROOT) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
