@@ -15,10 +15,12 @@ those of most shingles, whose lists are shortest; segments of one shingle, which
 common passages fill, and empty ones come last. One-deletion neighbourhoods are
 kept in the bands of small sets, where whole segments are too few.
 
-Candidates are verified exactly on the texts. Only components are wanted, so a
-list of partners is tried against its smallest node first; what still lies in
-different components is then tried pair by pair, until no candidate pair across
-components is untried. No list is ever expanded into its pairs before that.
+Candidates are verified exactly on the texts. Only components are wanted, so the
+members of a list are tried against one of them, the hub. Members that link with
+it are one component. A member x that does not can only link with another one y
+if both differ from the hub in much the same way: their differences are joined by
+prefixes, and pairs that share one and lie in different components are tried. So
+no list is ever expanded into its pairs, however large it is.
 
 Words are runs without U+0020 and U+0009 to U+000D, A-Z in lower case; with
 fewer than five words the whole sequence is the one shingle. Null, empty and
@@ -54,9 +56,8 @@ _U = np.uint64
 
 
 def hamming(r: int, s: int) -> int:
-    """Largest symmetric difference of linked sets of sizes r and s."""
-    # common >= NUM (r + s) / (NUM + DEN)
-    return r + s - 2 * (-(-NUM * (r + s) // (NUM + DEN)))
+    """Bound of the symmetric difference of linked sets of sizes up to r and s."""
+    return (DEN - NUM) * (r + s) // (DEN + NUM)
 
 
 def bands(top: int) -> list[tuple[int, int]]:
@@ -249,10 +250,11 @@ SHARED = "sig long, node long, role byte, hub long, hub_role byte"
 
 
 def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The linked ones (u, v) of pairs (a, b), by the texts of the documents
-    that stand for them (reps: node, doc_id, h). Pairs are grouped by a, at most
-    HUB_TEXTS or so to a group, so that a text is shipped once for many partners
-    and no group grows with the data."""
+    """(a, b, linked, d, ask, index) of pairs (a, b), by the texts of the
+    documents that stand for them (reps: node, doc_id, h); d holds the first of
+    the differences of b from a, those that a lacks first. Pairs are grouped by
+    a, at most HUB_TEXTS or so to a group, so that a text is shipped once for
+    many partners and no group grows with the data."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node")
     found = _text_rows(docs).withColumn("h", F.xxhash64("text")).join(wanted, ["doc_id", "h"])
     texts = stored(found.groupBy("node").agg(F.first("text").alias("text")))
@@ -263,20 +265,39 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     right = salted.select(F.col("a").alias("hub"), "b", F.col("salt").alias("part")).join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
 
     def run(hub: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        links = []
+        rows = []
         if len(hub) and len(other):
             _, h = next(iter(wordhash.batch([hub["text"].iloc[0]], lower=True)))
-            s = shingles(h)
-            b = other["b"].to_numpy()
+            s, a, b = shingles(h), hub["a"].iloc[0], other["b"].to_numpy()
             for i, h in wordhash.batch(other["other"].tolist(), lower=True):
                 r = shingles(h)
-                common = len(np.intersect1d(s, r, assume_unique=True))
-                if len(s) and len(r) and DEN * common >= NUM * (len(s) + len(r) - common):
-                    links.append(b[i])
-        return pd.DataFrame({"u": np.full(len(links), hub["a"].iloc[0] if len(hub) else 0), "v": np.array(links, np.int64)})
+                new = np.setdiff1d(r, s, assume_unique=True)
+                common = len(r) - len(new)
+                linked = DEN * common >= NUM * (len(s) + len(r) - common)
+                gone = np.setdiff1d(s, r, assume_unique=True)
+                ask, index = differences(len(r), len(s), len(new) + len(gone), linked)
+                d = np.concatenate([new, gone])[: max(ask, index)]
+                rows.append((a, b[i], bool(linked), d.view(np.int64), ask, index))
+        return pd.DataFrame(rows, columns=["a", "b", "linked", "d", "ask", "index"])
 
     both = left.groupBy("a", "salt").cogroup(right.groupBy("hub", "part"))
-    return both.applyInPandas(run, "u long, v long")
+    return both.applyInPandas(run, "a long, b long, linked boolean, d array<long>, ask int, index int")
+
+
+def differences(n: int, n_hub: int, d: int, linked: bool) -> tuple[int, int]:
+    """How many of the d shingles by which a set of n differs from its hub must
+    be asked and indexed to find its partners by their common differences.
+
+    Sets x and y that link differ in at most H shingles, and their differences
+    from the hub have o = (dx + dy - H) / 2 in common at least. From dy >= dx - H
+    follows o >= dx - H. If x does not link with the hub, dx > (nx + nh) / 9, and
+    with H <= (nx + ny) / 9 (at 0.8) o > (dy - (ny - nh) / 9) / 2. Sets that share
+    o of d ordered elements share one of the first d - o + 1."""
+    most = hamming(n, n * DEN // NUM)
+    ask = 0 if linked else min(d, most + 1)
+    slack = max(0, n - n_hub) * (DEN - NUM) // (DEN + NUM) + 1
+    least = max(1, d - most, (d - slack) // 2 + 1 if d > slack else 1)
+    return ask, min(d, d - least + 1)
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -299,23 +320,26 @@ def join(docs: DataFrame) -> DataFrame:
         sized = some.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
         return sized.where(NUM * F.greatest("na", "nb") <= DEN * F.least("na", "nb")).select("a", "b")
 
-    useful = ~((F.col("role") == ASK) & (F.col("hub_role") == ASK))
-    tried = stored(near(cand.where(useful).select(F.col("hub").alias("a"), F.col("node").alias("b"))))
-    links = stored(verify(tried, docs, reps))
+    # every member of a list against its hub
+    tried = stored(cand.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    checked = stored(verify(tried, docs, reps))
+    links = checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = components(links)
 
-    # what lies in one signature's list but in different components
-    at = cand.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    at = at.join(labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left")
-    at = stored(at.withColumn("hub_comp", F.coalesce("hub_comp", "hub")))
-    rest = at.join(at.where("comp <> hub_comp").select("sig").distinct(), "sig")
-    hubs = rest.select("sig", F.col("hub").alias("node"), F.col("hub_role").alias("role"), F.col("hub_comp").alias("comp")).distinct()
-    every = rest.select("sig", "node", "role", "comp").unionByName(hubs)
-    ask = every.where(F.col("role") != INDEX).select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    index = every.where(F.col("role") != ASK).select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    untried = stored(near(ask.join(index, "sig").where("ca <> cb").select("a", "b")).join(tried, ["a", "b"], "left_anti"))
+    # two members that are not in one component, one of them not linked with the
+    # hub, can only link if they share some of their differences from the hub
+    part = lambda n, name: checked.where(f"`{n}` > 0").select(
+        "a", F.col("b").alias(name), F.explode(F.slice("d", F.lit(1), F.col(n))).alias("t")
+    )
+    pairs = part("ask", "x").join(part("index", "y"), ["a", "t"]).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    comps = labels.select(F.col("node"), "comp")
+    apart = near(pairs).join(comps.withColumnsRenamed({"node": "a", "comp": "ca"}), "a", "left").join(comps.withColumnsRenamed({"node": "b", "comp": "cb"}), "b", "left")
+    apart = apart.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    untried = stored(apart.join(both, ["a", "b"], "left_anti"))
     if not untried.isEmpty():
-        labels = components(links.unionByName(stored(verify(untried, docs, reps))))
+        more = stored(verify(untried, docs, reps)).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        labels = components(links.unionByName(more))
 
     of = reps.join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     named = of.join(of.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("node", "component_id")

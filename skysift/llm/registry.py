@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_chunks, html_tree, jaccard_join, line_crf, phrase_dedup, qgram_leaks, quality_rules, secret_scan, toxicity, unigram_count
+from . import bpe_chunks, html_tree, jaccard_join, line_crf, oracles, phrase_dedup, qgram_leaks, quality_rules, secret_scan, toxicity, unigram_count
 from .common import table
 
 
@@ -23,4 +23,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.SQL}
+    return {
+        "op7_quality_rules": quality_rules.SQL,
+        "op9_phrase_dedup": oracles.PHRASE_DEDUP,
+        "op10_jaccard_join": oracles.JACCARD_JOIN,
+    }

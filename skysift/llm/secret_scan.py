@@ -39,7 +39,7 @@ SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 FIRST, N_CHARS = 33, 94  # printable ASCII without the space
 
 #: A token is random above this mean log-likelihood ratio per character pair.
-LLR_THRESHOLD = 0.6
+LLR_THRESHOLD = 1.5
 #: Bounds of the labelled sample (documents: the expected number).
 SAMPLE_DOCS, SAMPLE_RANDOM = 1000, 4000
 
@@ -94,7 +94,7 @@ def fit(tokens: DataFrame) -> list[float]:
     characters, row by row; at most 2 x N_CHARS x N_CHARS counts reach the
     driver, whatever the size of the sample."""
     n = N_CHARS
-    counts = [[[0.5] * n for _ in range(n)] for _ in range(2)]
+    counts = [[[0.1] * n for _ in range(n)] for _ in range(2)]
     for r in _pairs(tokens).groupBy("label", "a", "b").count().collect():
         counts[r["label"]][r["a"]][r["b"]] += r["count"]
     out = []

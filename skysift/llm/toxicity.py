@@ -90,7 +90,8 @@ def find_voters(sample: DataFrame) -> list[str]:
         keys = [*seen[1], ""]  # a key that no toxic row has cannot be chosen
         yield pd.DataFrame({"key": keys, "pos": [*(seen[1][k] for k in seen[1]), n[1]], "neg": [*(seen[0][k] for k in seen[1]), n[0]], "part": 1})
         rest = [k for k in seen[0] if k not in seen[1]]
-        yield pd.DataFrame({"key": rest, "pos": 0, "neg": [seen[0][k] for k in rest], "part": 1})
+        if rest:
+            yield pd.DataFrame({"key": rest, "pos": 0, "neg": [seen[0][k] for k in rest], "part": 1})
 
     rows = sample.select(F.coalesce("text", F.lit("")).alias("text"), "y").mapInPandas(count, "key string, pos long, neg long, part int")
     totals = rows.groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(f"pos >= {MIN_DOCS}")
