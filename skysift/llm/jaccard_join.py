@@ -327,14 +327,18 @@ def join(docs: DataFrame) -> DataFrame:
     labels = components(links)
 
     # two members that are not in one component, one of them not linked with the
-    # hub, can only link if they share some of their differences from the hub
-    part = lambda n, name: checked.where(f"`{n}` > 0").select(
-        "a", F.col("b").alias(name), F.explode(F.slice("d", F.lit(1), F.col(n))).alias("t")
-    )
-    pairs = part("ask", "x").join(part("index", "y"), ["a", "t"]).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    comps = labels.select(F.col("node"), "comp")
-    apart = near(pairs).join(comps.withColumnsRenamed({"node": "a", "comp": "ca"}), "a", "left").join(comps.withColumnsRenamed({"node": "b", "comp": "cb"}), "b", "left")
-    apart = apart.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    # hub, can only link if they share some of their differences from the hub;
+    # differences whose holders are all in one component tell nothing new
+    comps = labels.select(F.col("node").alias("b"), "comp")
+    told = checked.select("a", "b", "d", "ask", "index").join(comps, "b", "left").withColumn("comp", F.coalesce("comp", "b"))
+    told = told.select("a", "b", "comp", F.posexplode("d").alias("i", "t"), "ask", "index")
+    told = told.select("a", "t", "b", "comp", (F.col("i") < F.col("ask")).alias("asks"), (F.col("i") < F.col("index")).alias("indexed"))
+    lists = told.groupBy("a", "t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("asks").alias("any")).where("lo < hi AND any")
+    told = stored(told.join(lists.select("a", "t"), ["a", "t"]))
+    x = told.where("asks").select("a", "t", F.col("b").alias("x"), F.col("comp").alias("cx"))
+    y = told.where("indexed").select("a", "t", F.col("b").alias("y"), F.col("comp").alias("cy"))
+    pairs = x.join(y, ["a", "t"]).where("cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    apart = near(pairs)
     both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     untried = stored(apart.join(both, ["a", "b"], "left_anti"))
     if not untried.isEmpty():
