@@ -43,7 +43,7 @@ def higuchi_dimension(df: DataFrame, k_max: int = 10) -> DataFrame:
     kept to [1, 2]; 1.5 under 20 samples."""
     n = F.count("*").over(W.partitionBy("signal_id"))
     steps = [F.struct(F.lit(k).alias("k"), F.abs(F.lead("x", k).over(_by_pos()) - F.col("x")).alias("d")) for k in range(1, k_max + 1)]
-    rows = df.select("signal_id", "pos", n.alias("n"), F.explode_outer(F.array(*steps)).alias("s")).select("signal_id", "pos", "n", "s.k", "s.d")
+    rows = df.select("signal_id", "pos", n.alias("n"), F.array(*steps).alias("_s")).select("signal_id", "pos", "n", F.explode_outer("_s").alias("s")).select("signal_id", "pos", "n", "s.k", "s.d")
     per = rows.where("d IS NOT NULL").groupBy("signal_id", "n", "k", (F.col("pos") % F.col("k")).alias("m")).agg(F.sum("d").alias("d"))
     whole = F.floor((F.col("n") - F.col("m") - 1) / F.col("k"))
     length = F.col("d") * (F.col("n") - 1) / (whole * F.col("k")) / F.col("k")
