@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns plus a Markov test for random strings.
 
 Two first-order character models, one of random strings and one of ordinary
-identifiers, are trained from labelled samples by counting character pairs.
+identifiers, are trained by counting character pairs: of made random strings and
+of the long words of all documents.
 A token that no pattern claims is a secret when its log-likelihood ratio says
 that it is far likelier random. DataFrame functions only.
 
@@ -22,8 +23,6 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sampling import about
-
 ASSIGN = (
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -40,8 +39,8 @@ FIRST, N_CHARS = 33, 94  # printable ASCII without the space
 
 #: A token is random above this mean log-likelihood ratio per character pair.
 LLR_THRESHOLD = 1.5
-#: Bounds of the labelled sample (documents: the expected number).
-SAMPLE_DOCS, SAMPLE_RANDOM = 1000, 4000
+#: Made random strings: so many counters are hashed.
+SAMPLE_RANDOM = 4000
 
 #: Ordinary names as code and configuration hold them.
 IDENTIFIERS = (
@@ -65,10 +64,10 @@ def _pairs(tokens: DataFrame) -> DataFrame:
     return pair.where(f"a BETWEEN 0 AND {N_CHARS - 1} AND b BETWEEN 0 AND {N_CHARS - 1}")
 
 
-def labelled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The labelled sample: random strings made by hashing counters, and as
-    ordinary identifiers the long words of about SAMPLE_DOCS documents (chosen by
-    their id's hash), with the fixed names above."""
+def labelled_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The labelled tokens: random strings made by hashing counters, and as
+    ordinary identifiers the long words of all documents, with the fixed names
+    above."""
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 512)
     random = spark.range(SAMPLE_RANDOM).select(
@@ -82,8 +81,7 @@ def labelled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ).alias("token"),
         F.lit(1).alias("label"),
     )
-    some = about(docs.select(id_col, text_col), SAMPLE_DOCS, id_col).select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    words = some.select(F.explode(F.split("t", r"[^A-Za-z0-9+/_=-]+")).alias("token"))
+    words = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).select(F.explode(F.split("t", r"[^A-Za-z0-9+/_=-]+")).alias("token"))
     plain = words.where("length(token) >= 6").where(~F.col("token").rlike("[0-9]")).select("token", F.lit(0).alias("label"))
     fixed = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in IDENTIFIERS for _ in range(3)])).alias("token"), F.lit(0).alias("label"))
     return random.unionByName(plain).unionByName(fixed)
@@ -143,7 +141,7 @@ aggregate(array(from_json('{json.dumps(model)}', 'array<float>')), CAST(0 AS DOU
 def find(docs: DataFrame, model: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, base, spans): pattern spans, and all spans, in order."""
     if model is None:
-        model = fit(labelled_tokens(docs, id_col, text_col))
+        model = fit(labelled_tokens(docs, text_col))
     rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = _located(rows, ASSIGN, 0, group=2, least=6)
     rows = _located(rows, ACCESS, 1)

@@ -4,11 +4,11 @@
    a bounded sample of labelled rows; the best ones become lexicon voters (a
    word) and pattern voters (a word beginning). Style patterns vote as well.
 2. Votes of every document are computed once and stored.
-3. A generative label model (expectation maximisation over the votes of a
-   bounded sample, no labels read) estimates each voter's rates under toxic and
+3. A generative label model (expectation maximisation over the votes of all
+   rows, no labels read) estimates each voter's rates under toxic and
    clean, and the correlations of voters given the class; correlated voters
    share their weight.
-4. A linear classifier learns the model's posterior labels and scores all rows;
+4. A linear classifier learns the posterior labels of all rows and scores them;
    a two-parameter calibration uses the labelled sample.
 
 Edge cases: null and empty texts have no votes and get the score of a document
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,11 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .sampling import about, hashed_share
+from .sampling import hashed_share
 
-#: Expected sizes of the samples: labelled rows of each class, and rows for the
-#: models.
-MAX_PER_CLASS, MAX_MODEL_ROWS = 4000, 20_000
+#: Expected number of labelled rows of each class in the sample.
+MAX_PER_CLASS = 4000
 MAX_VOTERS, MAX_CANDIDATES = 192, 4000
 PREFIXES = (4, 5, 6)
 MIN_DOCS, MIN_LOG_ODDS = 3, 2.5
@@ -160,29 +159,102 @@ def votes(docs: DataFrame, voters: list[str]) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, hits array<int>, style array<float>")
 
 
-def label_model(v: np.ndarray, prior: float, rounds: int = 15) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Posterior of class toxic for every row of 0/1 votes, and the parameters:
-    each voter's rate under both classes, and correlations given the class."""
-    n, k = v.shape
-    p = np.where(v.any(axis=1), 0.9, 0.5 * prior)
-    weight = np.ones(k)
-    rate = np.zeros((2, k))
-    corr = np.eye(k)
+def _dense(hits: pd.Series, k: int) -> np.ndarray:
+    """0/1 votes of each row."""
+    v = np.zeros((len(hits), k))
+    sizes = np.fromiter(map(len, hits), int, len(hits))
+    if sizes.sum():
+        v[np.repeat(np.arange(len(hits)), sizes), np.concatenate(hits.tolist()).astype(int)] = 1
+    return v
+
+
+def _summed(rows: DataFrame, f: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
+    """The sum of f, a vector of this size, over all batches of rows: added up
+    within each task, then by Spark."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for part in parts:
+            total += f(part)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"i": at, "x": total[at]})
+
+    got = rows.mapInPandas(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+    out = np.zeros(size)
+    out[got["i"].to_numpy(int)] = got["x"].to_numpy(float)
+    return out
+
+
+def _posterior(v: np.ndarray, prior: float, coef: np.ndarray | None, bias: float) -> np.ndarray:
+    """Posterior of class toxic by the votes; a guess before the first round."""
+    if coef is None:
+        return np.where(v.any(axis=1), 0.9, 0.5 * prior)
+    return 1 / (1 + np.exp(-np.clip(bias + v @ coef, -30, 30)))
+
+
+def label_model(patterns: DataFrame, k: int, prior: float, rounds: int = 15) -> tuple[np.ndarray, float]:
+    """(coef, bias) of the log-odds of class toxic, from the distinct votes
+    (hits, n) of all rows. Each round adds up, over all patterns, what gives every
+    voter's rate under both classes, and now and then the voters' correlations
+    given toxic; k x k numbers reach the driver."""
+    coef, bias, weight = None, 0.0, np.ones(k)
     for i in range(rounds):
-        for y, q in ((1, p), (0, 1 - p)):
-            rate[y] = (q @ v + 0.1) / (q.sum() + 1.0)
-        rate[0] = np.minimum(rate[0], 0.5 * rate[1])  # voters vote for toxic
-        if i % 5 == 0 and k:
-            d = (v - rate[1]) * np.sqrt(p)[:, None]  # dependence among voters given toxic
-            c = d.T @ d
+        paired = i % 5 == 0
+
+        def sums(part: pd.DataFrame, coef=coef, bias=bias, paired=paired) -> np.ndarray:
+            v, n = _dense(part["hits"], k), part["n"].to_numpy(float)
+            q = n * _posterior(v, prior, coef, bias)
+            pairs = (v.T @ (v * q[:, None])).ravel() if paired else []
+            return np.concatenate([[q.sum(), (n - q).sum()], q @ v, (n - q) @ v, pairs])
+
+        got = _summed(patterns, sums, 2 + 2 * k + (k * k if paired else 0))
+        n1, n0, s1, s0 = got[0], got[1], got[2 : 2 + k], got[2 + k : 2 + 2 * k]
+        yes, no = (s1 + 0.1) / (n1 + 1.0), (s0 + 0.1) / (n0 + 1.0)
+        no = np.minimum(no, 0.5 * yes)  # voters vote for toxic
+        if paired:  # dependence among voters given toxic
+            c = got[2 + 2 * k :].reshape(k, k) - np.outer(yes, s1) - np.outer(s1, yes) + n1 * np.outer(yes, yes)
             s = np.sqrt(np.maximum(np.diag(c), 1e-9))
             corr = c / np.outer(s, s)
             weight = 1 / (1 + np.where(corr > MIN_CORR, corr - np.eye(k), 0).clip(0, 1).sum(axis=1))
-        yes = np.log(rate[1]) - np.log(np.maximum(rate[0], 1e-6))
-        no = np.log1p(-rate[1]) - np.log1p(-rate[0])
-        logit = np.log(prior / (1 - prior)) + v @ (weight * yes) + (1 - v) @ (weight * no)
-        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return p, {"rate": rate, "corr": corr, "weight": weight}
+        on, off = np.log(yes) - np.log(np.maximum(no, 1e-6)), np.log1p(-yes) - np.log1p(-no)
+        coef, bias = weight * (on - off), float(np.log(prior / (1 - prior)) + (weight * off).sum())
+    return coef, bias
+
+
+def fit_posterior(rows: DataFrame, k: int, prior: float, coef: np.ndarray, bias: float, rounds: int = 40, l2: float = 1e-3) -> np.ndarray:
+    """Logistic regression of all rows' posterior labels by Newton's method; a
+    round adds up loss, gradient and curvature over all rows. The last weight is
+    the constant's."""
+    d = k + 2 + N_STYLE
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def sums(part: pd.DataFrame) -> np.ndarray:
+            x = _matrix(part, k)
+            y = _posterior(x[:, :k], prior, coef, bias)
+            x = np.hstack([x, np.ones((len(x), 1))])
+            z = x @ w
+            q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            return np.concatenate([[len(x), (np.logaddexp(0, z) - y * z).sum()], x.T @ (q - y), (x.T @ (x * (q * (1 - q))[:, None])).ravel()])
+
+        got = _summed(rows, sums, 2 + d + d * d)
+        n = max(got[0], 1.0)
+        return got[1] / n + l2 / 2 * float(w @ w), got[2 : 2 + d] / n + l2 * w, got[2 + d :].reshape(d, d) / n + l2 * np.eye(d)
+
+    w = np.zeros(d)
+    loss, g, h = at(w)
+    step, share = np.linalg.solve(h, g), 1.0
+    for _ in range(rounds):
+        gain = float(step @ g)
+        if gain < 1e-9 or share < 1e-6:
+            break
+        new = w - share * step
+        got = at(new)
+        if got[0] > loss - 1e-4 * share * gain:
+            share /= 2
+            continue
+        w, (loss, g, h) = new, got
+        step, share = np.linalg.solve(h, g), 1.0
+    return w
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 400, l2: float = 1e-3) -> np.ndarray:
@@ -199,10 +271,10 @@ def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 400, l2: float = 1e-3
 def _matrix(rows: pd.DataFrame, k: int) -> np.ndarray:
     """Votes, their number (damped) and the style measures."""
     x = np.zeros((len(rows), k + 1 + N_STYLE))
-    for i, (hits, style) in enumerate(zip(rows["hits"], rows["style"], strict=True)):
-        x[i, np.asarray(hits, dtype=int)] = 1
-        x[i, k] = min(len(hits), 4) / 2
-        x[i, k + 1 :] = style
+    x[:, :k] = _dense(rows["hits"], k)
+    x[:, k] = np.minimum(x[:, :k].sum(axis=1), 4) / 2
+    if len(rows):
+        x[:, k + 1 :] = np.stack(rows["style"].tolist())
     return x
 
 
@@ -216,13 +288,11 @@ def score(docs: DataFrame, labels: DataFrame, is_held_out: Column | None = None)
     k = len(voters)
     all_votes = stored(votes(docs, voters))
 
-    some = about(all_votes, MAX_MODEL_ROWS).toPandas()
     gold = all_votes.join(known, "doc_id").toPandas()
     prior = float(np.clip((gold["y"].mean() if len(gold) else 0.1), 0.02, 0.5))
-    if len(some) and k:
-        x = _matrix(some, k)
-        post, _ = label_model(x[:, :k], prior)
-        w = fit_linear(x, post)
+    if k:
+        patterns = stored(all_votes.groupBy("hits").agg(F.count("*").alias("n")))
+        w = fit_posterior(all_votes, k, prior, *label_model(patterns, k, prior))
     else:
         w = np.zeros(k + 2 + N_STYLE)
     a, b = 1.0, 0.0

@@ -372,3 +372,23 @@ def test_forward_backward_by_enumeration():
             total += p
             good += p * np.array(y)
         assert np.allclose(g, good / total)
+
+
+def test_toxicity_models_read_all_rows(spark):
+    # one row in 30,000 holds the rare voter: no bounded sample would meet it
+    rows = spark.range(30_000).selectExpr(
+        "id AS doc_id", "CASE WHEN id = 29999 THEN array(1) WHEN id % 50 = 0 THEN array(0) ELSE CAST(array() AS array<int>) END AS hits",
+        "array(0f, 0f, 0f, 0f) AS style",
+    )
+    patterns = rows.groupBy("hits").count().withColumnRenamed("count", "n")
+    coef, bias = toxicity.label_model(patterns, 2, 0.05)
+    assert coef[1] > 1
+    w = toxicity.fit_posterior(rows, 2, 0.05, coef, bias)
+    assert w[0] > 0.1 and w[1] > 1e-4  # a voter without a row keeps a weight of 0
+
+
+def test_secret_model_counts_all_documents(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "concat('zqzqzq', if(id = 2999, 'xjxjxj', '')) AS text")
+    tokens = secret_scan.labelled_tokens(df).where("label = 0")
+    assert tokens.where("token LIKE 'zqzqzq%'").count() == 3000
+    assert tokens.where("token LIKE '%xjxjxj'").count() == 1
