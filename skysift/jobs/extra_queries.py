@@ -111,16 +111,22 @@ def narrowband_lookup(s, d):
 
 
 @query("unclassified_audit")
-def unclassified_audit(s, d):
-    """Rows of uncertain class: least and largest class p by density, ranked by
-    the largest."""
-    v = splits.fit_calibration(A.survey(s, d), "vec_id", "y")
-    mix = models.fit_mixtures(v.where("is_fit = 1"), "y", A.SURVEY, 2)
-    rows = models.log_prob(v, mix).select(
-        F.col("vec_id").alias("id"), F.col("y").cast("string").alias("class_name"), F.round("log_prob", 6).alias("score"), (1 - F.col("is_fit")).alias("is_cal")
-    )
-    pool = conformal.over_classes(rows)
-    return pool.where(F.col("p_max").between(0.05, 0.95)).orderBy("p_max", "id").limit(50)
+def unclassified_audit(s, d, lo: float = 0.4, hi: float = 0.6, rounds: int = 100):
+    """All rows that the ensemble cannot classify (probability in [lo, hi]): the
+    least and largest p over the class densities, each against all calibration
+    rows. A low p_max marks a row that escapes both classes."""
+    v = splits.fit_calibration(A.survey(s, d), "vec_id", "y").withColumn("is_cal", 1 - F.col("is_fit"))
+    prob = models.probabilities(v, models.ensemble("y", rounds), A.SURVEY)
+    mix = models.fit_mixtures(v.where("is_fit = 1"), "y", A.SURVEY, 5)
+    each = tuple(f"log_prob_{y}" for y in mix)
+    rows = models.log_prob(prob, mix).select("vec_id", "y", "prob", "is_cal", *[F.round(c, 6).alias(c) for c in each])
+    return conformal.over_scores(rows, each).where(F.col("prob").between(lo, hi)).select(F.col("vec_id").alias("id"), "y", "prob", "p_min", "p_max")
+
+
+@query("unclassified_top")
+def unclassified_top(s, d, k: int = 20):
+    """The k unclassified rows that are rarest under both classes."""
+    return unclassified_audit(s, d).orderBy("p_max", "id").limit(k)
 
 
 @query("auroc_bootstrap")

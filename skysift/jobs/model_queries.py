@@ -58,15 +58,21 @@ def curated_audit(s, d):
 
 @query("real_catalog_audit")
 def real_catalog_audit(s, d):
-    """Catalog rows: features, medians of the fit part, class densities, least
-    and largest class p of the calibration part, most unusual first."""
+    """All catalog rows: features, medians of the fit part, class densities,
+    least and largest class p against the calibration part."""
     f = splits.fit_calibration(catalogs.featurize(A.catalog(s, d)), "object_id", "class_name")
     from ..functions.physical import CONTINUOUS
 
     rows = catalogs.impute(f, catalogs.medians(f.where("is_fit = 1")))
-    mix = models.fit_mixtures(rows.where("is_fit = 1"), "class_name", CONTINUOUS, 1)
+    mix = models.fit_mixtures(rows.where("is_fit = 1"), "class_name", CONTINUOUS, 5)
     scored = models.log_prob(rows, mix).select(F.col("object_id").alias("id"), "class_name", F.round("log_prob", 6).alias("score"), (1 - F.col("is_fit")).alias("is_cal"))
-    return conformal.over_classes(scored).orderBy("p_min", "p_max", "id").limit(100)
+    return conformal.over_classes(scored, every=True)
+
+
+@query("real_catalog_top")
+def real_catalog_top(s, d, k: int = 20):
+    """The k catalog rows that are rarest under some class."""
+    return real_catalog_audit(s, d).orderBy("p_min", "p_max", "id").limit(k)
 
 
 @query("ensemble_oof")

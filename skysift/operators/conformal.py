@@ -31,21 +31,34 @@ def leave_one_out(df: DataFrame, score: str = "score", by: tuple[str, ...] = ())
     return rows.withColumn("p", F.col("_ge") / F.col("_n")).drop("_ge", "_n", "_one")
 
 
-def over_classes(df: DataFrame, score: str = "score", flag: str = "is_cal", label: str = "class_name") -> DataFrame:
-    """Per row that does not calibrate: the least and largest p over all
-    classes' calibration scores and the class of the least (first by name)."""
+def over_classes(df: DataFrame, score: str = "score", flag: str = "is_cal", label: str = "class_name", every: bool = False) -> DataFrame:
+    """Per row that does not calibrate (every: per row, with its own class and
+    score): the least and largest p over all classes' calibration scores and the
+    class of the least (first by name)."""
     cal = df.where(F.col(flag) == 1).select(F.col(label).alias("_class"), F.col(score).alias("_s"), F.lit(1).cast("long").alias("_cal"))
     classes = cal.groupBy().agg(F.array_sort(F.collect_set("_class")).alias("_classes"))  # class names, not rows
-    test = df.where(F.col(flag) == 0)
+    test = df if every else df.where(F.col(flag) == 0)
     spread = test.join(classes).select("*", F.explode("_classes").alias("_class")).drop("_classes")
     rows = spread.withColumn("_s", F.col(score)).withColumn("_cal", F.lit(0).cast("long")).unionByName(cal, allowMissingColumns=True)
     rows = totals(cumulative(rows, "_s", {"_le": "_cal"}, ("_class",)), {"_n": "_cal"}, ("_class",)).where("_cal = 0")
     rows = rows.withColumn("_p", (F.col("_le") + 1) / (F.col("_n") + 1))
+    own = [F.first(c).alias(c) for c in (label, score)] if every else []
     return rows.groupBy("id").agg(
-        F.min("_p").alias("p_min"), F.max("_p").alias("p_max"), F.min(F.struct("_p", "_class"))["_class"].alias("assigned")
+        *own, F.min("_p").alias("p_min"), F.max("_p").alias("p_max"), F.min(F.struct("_p", "_class"))["_class"].alias("assigned")
     )
 
 
+def over_scores(df: DataFrame, scores: tuple[str, ...], flag: str = "is_cal") -> DataFrame:
+    """Adds p_min and p_max: the least and largest low-tail p over several
+    scores of a row, each against that score of all calibration rows."""
+    rows = df
+    for i, c in enumerate(scores):
+        rows = low_tail(rows, c, flag).withColumnRenamed("p", f"_p{i}")
+    each = [F.col(f"_p{i}") for i in range(len(scores))]
+    least, most = (F.least(*each), F.greatest(*each)) if len(each) > 1 else (each[0], each[0])
+    return rows.withColumns({"p_min": least, "p_max": most}).drop(*[f"_p{i}" for i in range(len(scores))])
+
+
 def threshold_rank(n: Column, alpha: float) -> Column:
     """0-based rank of the conformal threshold among n sorted scores."""
     k = F.ceil((1 - alpha) * (n + 1)).cast("long") - 1

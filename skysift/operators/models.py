@@ -8,6 +8,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,19 +108,25 @@ class Mixture:
         if k == 1:
             n, mean, q, _ = moments(z, columns)
             return cls(columns, shift, scale, np.ones(1), mean[None], (q / n - np.outer(mean, mean))[None] + 1e-6 * np.eye(len(columns)))
-        model = GaussianMixture(k=k, seed=seed, maxIter=30).fit(VectorAssembler(inputCols=list(columns), outputCol="features").transform(z))
+        model = GaussianMixture(k=k, seed=seed, maxIter=100).fit(VectorAssembler(inputCols=list(columns), outputCol="features").transform(z))
         g = model.gaussiansDF.collect()  # one row per component
         covs = np.array([np.array(r["cov"].toArray()) for r in g]) + 1e-6 * np.eye(len(columns))
         return cls(columns, shift, scale, np.array(model.weights), np.array([r["mean"].toArray() for r in g]), covs)
 
     def log_density(self) -> Column:
-        d, s = len(self.columns), np.diag(1 / self.scale)
-        terms = []
-        for w, m, c in zip(self.weights, self.means, self.covs, strict=True):
-            const = math.log(max(w, 1e-300)) - 0.5 * (d * math.log(2 * math.pi) + np.linalg.slogdet(c)[1])
-            terms.append(F.lit(float(const)) - 0.5 * quadratic(self.columns, self.shift + m * self.scale, s @ np.linalg.inv(c) @ s))
-        top = F.greatest(*terms) if len(terms) > 1 else terms[0]
-        return top + F.log(sum((F.exp(t - top) for t in terms[1:]), F.exp(terms[0] - top)))
+        """One vectorised function: written out as an expression, five components
+        take longer to plan than to score."""
+        d = len(self.columns)
+        shift, scale, means, factors = self.shift, self.scale, self.means, [np.linalg.inv(np.linalg.cholesky(c)) for c in self.covs]
+        const = [math.log(max(w, 1e-300)) - 0.5 * d * math.log(2 * math.pi) + np.log(np.diag(f)).sum() for w, f in zip(self.weights, factors, strict=True)]
+
+        @F.pandas_udf("double")
+        def density(*x: pd.Series) -> pd.Series:
+            z = (np.stack([c.to_numpy(float) for c in x], axis=1) - shift) / scale
+            terms = np.stack([k - 0.5 * (((z - m) @ f.T) ** 2).sum(axis=1) for k, m, f in zip(const, means, factors, strict=True)])
+            return pd.Series(np.logaddexp.reduce(terms, axis=0))
+
+        return density(*[F.col(c) for c in self.columns])
 
 
 def fit_mixtures(df: DataFrame, label: str, columns: tuple[str, ...], components: int = 4) -> dict[int, Mixture]:
@@ -157,6 +164,23 @@ def pca(df: DataFrame, columns: tuple[str, ...], k: int = 2) -> DataFrame:
     return out.drop(*[f"_z{i}" for i in range(len(columns))])
 
 
+def ensemble(label: str, rounds: int = 100):
+    """The boosted ensemble: 100 rounds of depth 6, 20 rows a leaf at least."""
+    from pyspark.ml.classification import GBTClassifier
+
+    return GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=6, minInstancesPerNode=20, seed=42)
+
+
+def probabilities(df: DataFrame, estimator, columns: tuple[str, ...], name: str = "prob") -> DataFrame:
+    """Adds the probability of class 1 by an estimator that is fitted on df."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = VectorAssembler(inputCols=list(columns), outputCol="features").transform(df).cache()
+    got = estimator.fit(rows).transform(rows).withColumn(name, vector_to_array("probability")[1])
+    return got.drop("features", "rawPrediction", "probability", "prediction")
+
+
 def out_of_fold(df: DataFrame, estimator, label: str, columns: tuple[str, ...], id_col: str, folds: int = 3) -> DataFrame:
     """(id, label, fold, prediction): each fold predicted by a model that is
     fitted on the others. estimator is a pyspark.ml classifier."""

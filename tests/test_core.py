@@ -288,3 +288,16 @@ def test_streaming_scores(spark, tmp_path):
     q.awaitTermination()
     got = spark.table("counts").agg(F.sum("n").alias("n"), F.sum("flagged").alias("f")).first()
     assert got["n"] == 60 and 20 <= got["f"] <= 30
+
+
+def test_audits_return_all_rows(spark):
+    from skysift.jobs import extra_queries, model_queries
+    from skysift.sources import adapters
+
+    sf = "/root/testdata/sf0.001"
+    got = model_queries.real_catalog_audit(spark, sf)
+    assert set(got.columns) == {"id", "class_name", "score", "p_min", "p_max", "assigned"}
+    assert got.count() == adapters.catalog(spark, sf).count() > 100
+    rows = extra_queries.unclassified_audit(spark, sf, lo=0.0, hi=1.0, rounds=2).collect()
+    assert len(rows) == adapters.survey(spark, sf).count() > 50
+    assert any(r["p_max"] < 0.05 for r in rows)  # rows that escape both classes stay
