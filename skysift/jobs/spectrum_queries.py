@@ -246,24 +246,24 @@ def delay_embedding(s, d):
 
 @query("lz76_complexity")
 def lz76_complexity(s, d):
-    return WV.spectral_features(A.waves(s, d), with_chaos=False).select("signal_id", "lz76")
+    return WV.spectra(A.waves(s, d), "lz76")
 
 
 @query("fft_peaks")
 def fft_peaks(s, d):
-    return WV.spectral_features(A.waves(s, d), with_chaos=False).select("signal_id", "fft_freq", "fft_mag", "drift_rate")
+    return WV.spectra(A.waves(s, d), "fft_freq", "fft_mag", "drift_rate")
 
 
 @query("harmonic_complexity")
 def harmonic_complexity(s, d):
-    return WV.spectral_features(A.waves(s, d), with_chaos=False).select("signal_id", "harmonics")
+    return WV.spectra(A.waves(s, d), "harmonics")
 
 
 @query("lyapunov_mle")
 def lyapunov_mle(s, d):
-    return WV.spectral_features(A.waves(s, d), with_chaos=False).select("signal_id", "lyapunov")
+    return WV.exponents(A.waves(s, d)).select("signal_id", "lyapunov")
 
 
 @query("chaos_order")
 def chaos_order(s, d):
-    return WV.spectral_features(A.waves(s, d)).select("signal_id", "lyapunov", "chaos_p")
+    return WV.chaos(A.waves(s, d))

@@ -4,6 +4,7 @@ operators, one Arrow group per signal for the sequential and spectral ones."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -78,9 +79,10 @@ def lz76(x: np.ndarray) -> float:
     s = "".join("1" if v else "0" for v in x > np.median(x))
     phrases, at = 0, 0
     while at < n:
-        size = 1
-        # a phrase grows while it can be copied from what precedes its end
-        while at + size <= n and s[at : at + size] in s[: at + size - 1]:
+        size, found = 1, 0
+        # a phrase grows while it can be copied from what precedes its end; a
+        # longer one is not found before the place of a shorter one
+        while at + size <= n and (found := s.find(s[at : at + size], found, at + size - 1)) >= 0:
             size += 1
         phrases += 1
         at += size
@@ -127,27 +129,31 @@ def harmonic_complexity(x: np.ndarray, fs: float = 1000.0) -> float:
     return float(np.mean(shares)) if shares else 0.0
 
 
-def lyapunov(x: np.ndarray, fs: float = 1000.0, dim: int = 5, delay: int = 2, theiler: int = 10, steps: int = 8) -> float:
-    """Largest exponent: mean log divergence of nearest neighbours that are
-    theiler samples apart, its slope over the first steps."""
-    x = np.asarray(x, float) - np.mean(x) if len(x) else np.zeros(0)
-    n = len(x) - (dim - 1) * delay
-    if n < 20 or np.std(x) < 1e-12:
-        return 0.0
-    y = np.stack([x[i * delay : i * delay + n] for i in range(dim)], axis=1)
+#: Distances that a block of delay vectors may hold at once.
+BLOCK = 2_000_000
+FS, DIM, DELAY, THEILER, STEPS = 1000.0, 5, 2, 10, 8
+
+
+def divergence(x: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """By step, the sum and number of the log distances to which delay vectors
+    start .. stop - 1 part from their nearest neighbours (THEILER samples apart);
+    memory is that of (stop - start) x n distances."""
+    x = x - np.mean(x)
+    n = len(x) - (DIM - 1) * DELAY
+    y = np.stack([x[i * DELAY : i * DELAY + n] for i in range(DIM)], axis=1)
     sq = (y * y).sum(axis=1)
-    d = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * y @ y.T, 0))
-    i = np.arange(n)
-    d[np.abs(i[:, None] - i[None, :]) < theiler] = np.inf
+    i, j = np.arange(start, min(stop, n)), np.arange(n)
+    d = np.sqrt(np.maximum(sq[i, None] + sq[None, :] - 2 * y[i] @ y.T, 0))
+    d[np.abs(i[:, None] - j[None, :]) < THEILER] = np.inf
     near = d.argmin(axis=1)
-    curve = []
-    for s in range(min(steps, n - 1) + 1):
-        ok = (i + s < n) & (near + s < n) & np.isfinite(d[i, near])
+    total, count = np.zeros(STEPS + 1), np.zeros(STEPS + 1, dtype=int)
+    far = np.isfinite(d[np.arange(len(i)), near])
+    for s in range(min(STEPS, n - 1) + 1):
+        ok = (i + s < n) & (near + s < n) & far
         gap = np.linalg.norm(y[i[ok] + s] - y[near[ok] + s], axis=1)
         gap = gap[gap > 0]
-        if len(gap):
-            curve.append((s / fs, float(np.log(gap).mean())))
-    return float(np.polyfit(*zip(*curve, strict=True), 1)[0]) if len(curve) >= 2 else 0.0
+        total[s], count[s] = np.log(gap).sum(), len(gap)
+    return total, count
 
 
 def aaft(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -160,27 +166,67 @@ def aaft(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.sort(x)[np.argsort(np.argsort(np.fft.irfft(f, n)))]
 
 
-def chaos(x: np.ndarray, n_surrogates: int = 19, seed: int = 42) -> tuple[float, float]:
-    """(exponent, share of surrogates whose exponent is at least as large)."""
-    if len(x) < 2 or np.std(x) < 1e-12:
-        return 0.0, 1.0
-    rng = np.random.default_rng(seed)
-    real = lyapunov(x)
-    return real, float(np.mean([lyapunov(aaft(x, rng)) >= real for _ in range(n_surrogates)]))
-
-
-def spectral_features(df: DataFrame, with_chaos: bool = True) -> DataFrame:
-    """(signal_id, lz76, fft_freq, fft_mag, drift_rate, harmonics, lyapunov,
-    chaos_p): one Arrow group per signal."""
+def surrogate(x: np.ndarray, which: int, seed: int = 42) -> np.ndarray:
+    """The signal itself (0) or one of its surrogates, the same in every task."""
+    return aaft(x, np.random.default_rng([seed, which])) if which else x
+
+
+def exponents(df: DataFrame, n_surrogates: int = 0) -> DataFrame:
+    """(signal_id, which, lyapunov) of every signal (which = 0) and its
+    surrogates: the slope of the mean log divergence of nearest neighbours. Tasks
+    are dealt by (signal, surrogate, block of delay vectors), so that a long
+    signal needs memory for its samples and one block only."""
+    series = df.groupBy("signal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"]).alias("x"))
+    n = F.size("x") - (DIM - 1) * DELAY
+    rows = series.where(n >= 20).withColumn("size", F.greatest(F.lit(1), F.floor(F.lit(BLOCK) / n)).cast("int"))
+    rows = rows.select("signal_id", "x", "size", F.explode(F.sequence(F.lit(0), n - 1, F.col("size"))).alias("start"))
+    rows = rows.withColumn("which", F.explode(F.sequence(F.lit(0), F.lit(n_surrogates))))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, x, size, start, which in zip(batch["signal_id"], batch["x"], batch["size"], batch["start"], batch["which"], strict=True):
+                x = np.asarray(x, float)
+                if np.std(x) >= 1e-12:
+                    total, count = divergence(surrogate(x, int(which)), int(start), int(start) + int(size))
+                    out += [(key, which, s / FS, total[s], count[s]) for s in range(STEPS + 1) if count[s]]
+            yield pd.DataFrame(out, columns=["signal_id", "which", "t", "total", "n"])
+
+    dealt = rows.repartition(parts, "signal_id", "which", "start")
+    curve = dealt.mapInPandas(run, "signal_id long, which int, t double, total double, n long").groupBy("signal_id", "which", "t").agg((F.sum("total") / F.sum("n")).alias("y"))
+    slope = curve.groupBy("signal_id", "which").agg(F.regr_slope("y", "t").alias("slope"))
+    every = df.select("signal_id").distinct().withColumn("which", F.explode(F.sequence(F.lit(0), F.lit(n_surrogates))))
+    return every.join(slope, ["signal_id", "which"], "left").select("signal_id", "which", F.coalesce("slope", F.lit(0.0)).alias("lyapunov"))
+
+
+def chaos(df: DataFrame, n_surrogates: int = 19) -> DataFrame:
+    """(signal_id, lyapunov, chaos_p): the exponent and the share of surrogates
+    whose exponent is at least as large."""
+    each = exponents(df, n_surrogates)
+    real = each.where("which = 0").select("signal_id", "lyapunov")
+    other = each.where("which > 0").select("signal_id", F.col("lyapunov").alias("o"))
+    return real.join(other, "signal_id").groupBy("signal_id").agg(F.first("lyapunov").alias("lyapunov"), F.avg((F.col("o") >= F.col("lyapunov")).cast("double")).alias("chaos_p"))
+
+
+#: What can be read off a whole signal in O(n) memory.
+SPECTRAL = {
+    "lz76": lz76, "fft_freq": lambda x: fft_peak(x)[0], "fft_mag": lambda x: fft_peak(x)[1],
+    "drift_rate": spectral_drift, "harmonics": harmonic_complexity,
+}
+
+
+def spectra(df: DataFrame, *columns: str) -> DataFrame:
+    """(signal_id, columns) of SPECTRAL: one Arrow group per signal, in which
+    nothing but the columns asked for is computed."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         x = g.sort_values("pos")["x"].to_numpy(float)
-        f, m = fft_peak(x)
-        mle, p = chaos(x) if with_chaos else (lyapunov(x), 0.5)
-        return pd.DataFrame({
-            "signal_id": [g["signal_id"].iloc[0]], "lz76": [lz76(x)], "fft_freq": [f], "fft_mag": [m], "drift_rate": [spectral_drift(x)],
-            "harmonics": [harmonic_complexity(x)], "lyapunov": [mle], "chaos_p": [p],
-        })
-
-    schema = "signal_id long, lz76 double, fft_freq double, fft_mag double, drift_rate double, harmonics double, lyapunov double, chaos_p double"
-    return df.groupBy("signal_id").applyInPandas(run, schema)
+        return pd.DataFrame({"signal_id": [g["signal_id"].iloc[0]], **{c: [SPECTRAL[c](x)] for c in columns}})
+
+    return df.groupBy("signal_id").applyInPandas(run, "signal_id long" + "".join(f", {c} double" for c in columns))
+
+
+def spectral_features(df: DataFrame) -> DataFrame:
+    """(signal_id, the SPECTRAL columns, lyapunov, chaos_p)."""
+    return spectra(df, *SPECTRAL).join(chaos(df), "signal_id")
