@@ -264,13 +264,67 @@ def test_allocation_pays_its_units():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    for small in (False, True):
-        for _ in range(200):
-            count = rng.integers(0, 6, 12)
-            units = int(rng.integers(1, 10))
-            one, two = jaccard_join.allocate(count, units, small)
-            assert not set(one.tolist()) & set(two.tolist())
-            assert len(one) + 2 * len(two) >= units
+    for rows in (False, True):
+        count = rng.integers(0, 6, (200, 12))
+        keeps = np.arange(12) >= 7
+        units = rng.integers(1, 18, 200)
+        v, _ = jaccard_join.allocate(count, keeps, units, rows)
+        assert (v.sum(axis=1) == units).all() and v.max() == 2 and v[:, ~keeps].max() == 1
+    for band in jaccard_join.make_bands(3000):
+        assert band.keeps.any() and band.plain + 2 * band.keeps.sum() == band.units
+
+
+def test_linked_sets_share_a_signature():
+    """Any two sets within the bound meet in a signature that one of them asks."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    made = jaccard_join.make_bands(2000)
+    for n in (6, 9, 14, 30, 60, 100, 200, 400, 900):
+        for _ in range(40):
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            d = jaccard_join.hamming(len(x), len(x))
+            cut = rng.permutation(len(x))
+            gone = int(rng.integers(0, d // 2 + 1))
+            y = np.unique(np.append(x[cut[gone:]], rng.integers(0, 1 << 63, d // 2 - gone, dtype=np.uint64)))
+            common = len(np.intersect1d(x, y))
+            assert 100 * common >= 80 * (len(x) + len(y) - common)
+            roles = []
+            for s in (x, y):
+                number = next(i for i, b in enumerate(made) if len(s) <= b.hi)
+                sig = np.concatenate([jaccard_join.signatures([s], made[b], b == number)[0] for b in (number, number - 1)])
+                roles.append({role: set((sig[(sig & 3) == role] >> 2).tolist()) for role in (0, 1, 2)})
+            a, b = roles
+            every = [r[0] | r[1] | r[2] for r in roles]
+            assert ((a[0] | a[1]) & every[1]) | ((b[0] | b[1]) & every[0])
+
+
+def test_groups_over_the_small_size(spark, monkeypatch):
+    """Large groups of variants, with outliers that only link with each other."""
+    rng = random.Random(14)
+    rows = []
+    for family in range(3):
+        base = prose(rng, 110).split()
+        for i in range(90):
+            w = base[:]
+            for _ in range(rng.choice([0, 1, 2, 3, 6, 9])):
+                w[rng.randrange(len(w))] = f"{rng.choice(VOCAB)}{rng.randrange(500)}"
+            rows.append((1000 * family + i, " ".join(w)))
+        far = rows[-1][1].split()
+        rows += [(1000 * family + 500 + i, " ".join(far[:100] + [f"tail{i}"] * i)) for i in range(8)]
+    rows += [(5000, rows[0][1].upper()), (None, rows[3][1]), (None, "only null ids hold these six words"), (5001, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = linked([(10**6 + i if k is None else k, t) for i, (k, t) in enumerate(rows)])
+    for small, part in ((64, 256), (4, 7)):
+        monkeypatch.setattr(jaccard_join, "SMALL", small)
+        monkeypatch.setattr(jaccard_join, "PART", part)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.op10(df).collect() if r["doc_id"] is not None}
+        assert got == {k: v for k, (_, v) in want.items() if k < 10**6}
+    nulls = [r["component_id"] for r in jaccard_join.op10(df).where("doc_id IS NULL").collect()]
+    assert sorted(nulls, key=repr) == sorted([want[3][1], None], key=repr)
+    left = jaccard_join.distinct_documents(df).collect()
+    assert sum(r["doc_id"] is None for r in left) == 1
+    assert {r["doc_id"] for r in left if r["doc_id"] is not None} == {v for k, (_, v) in want.items() if v < 10**6}
 
 
 def test_components(spark):
