@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir) and works on all rows that the one
 before it kept:
 
 1. quality rules: documents that the default policy rejects go;
-2. Jaccard join: of each group of linked documents the one with the smallest id
-   stays (rows of one id are one document);
+2. Jaccard join: of each group of linked documents one row with the smallest id
+   stays (null ids come last; the group of a row is that of its text);
 3. decontamination: documents that hold a benchmark item go;
 4. secret scan: secrets are masked in the text, no document goes;
 5. BPE: ids and the decoded text of what is left, as counts and digests.
@@ -17,7 +17,6 @@ by the first stage. An empty table passes through as an empty table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skysift.llm import bpe_chunks, jaccard_join, qgram_leaks, quality_rules, secret_scan
@@ -37,11 +36,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepared(spark)
-    first = jaccard_join.join(docs).where("component_id = doc_id").select("doc_id").distinct()
-    rows = docs.join(first, "doc_id", "left_semi")
-    # rows that share an id are one document; its smallest row stays
-    w = W.partitionBy("doc_id").orderBy(F.xxhash64(*COLUMNS), "text")
-    return rows.withColumn("_i", F.row_number().over(w)).where("_i = 1").select(*COLUMNS)
+    return jaccard_join.distinct_documents(docs.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
