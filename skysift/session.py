@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -34,3 +36,29 @@ def prepared(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
+
+
+_local_dir: str | None = None
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new path in the cluster's shared folder (spark.checkpoint.dir). Only a
+    local session may do without that setting; it uses a temporary folder."""
+    global _local_dir
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if _local_dir is None:
+            _local_dir = "file://" + tempfile.mkdtemp(prefix="spark-")
+        root = _local_dir
+    return f"{root.rstrip('/')}/skysift-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage, and a
+    lost executor costs no more than the stage that it ran."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
