@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import prepared, stored
 
-from ..session import prepared
+__all__ = ["MAX_BROADCAST", "WHITE", "WORD", "beside", "stored", "table"]
 
 #: Characters that separate words: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -18,19 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")  # local tests only
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/skysift-{uuid.uuid4().hex}"
+#: A table of up to so many rows of a few numbers is sent to every task.
+MAX_BROADCAST = 100_000
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, and a
-    lost executor costs no more than the stage that it ran."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def beside(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Joins a stored table of few columns, one row a key: by a broadcast if it
+    is small, by a shuffle if not."""
+    small = side.count() <= MAX_BROADCAST
+    return df.join(F.broadcast(side) if small else side, key)

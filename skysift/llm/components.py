@@ -16,19 +16,18 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+def _tidy(e: DataFrame) -> DataFrame:
+    ends = e.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    return ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node that has an edge (u, v); comp is the smallest
     node of its component. Null ends and loops are left out."""
-
-    def tidy(e: DataFrame) -> DataFrame:
-        return e.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-    cur, labels = tidy(edges), None
-    while True:
+    cur, labels = stored(_tidy(edges)), None
+    while labels is None or not cur.isEmpty():
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         take = stored(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")))
-        if labels is not None and take.isEmpty():
-            return labels
         again = take.select(F.col("u").alias("p"), F.col("p").alias("q"))
         for _ in range(2):
             take = take.join(again, "p").select("u", F.col("q").alias("p"))
@@ -38,4 +37,21 @@ def components(edges: DataFrame) -> DataFrame:
             labels.join(named, "comp", "left").select("node", F.coalesce("p", "comp").alias("comp"))
         )
         ends = cur.join(take, "u").select(F.col("p").alias("x"), F.col("v").alias("u")).join(take, "u").select(F.col("x").alias("u"), F.col("p").alias("v"))
-        cur = stored(tidy(ends))
+        cur = stored(_tidy(ends))
+    return labels
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels (node, comp) of components after more edges (u, v): only edges
+    between different components are worked on."""
+    ends = edges
+    for c in ("u", "v"):
+        own = labels.select(F.col("node").alias(c), F.col("comp").alias("_c"))
+        ends = ends.join(own, c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
+    ends = stored(_tidy(ends))
+    if ends.isEmpty():
+        return labels
+    more = components(ends)
+    named = more.select(F.col("node").alias("comp"), F.col("comp").alias("_p"))
+    old = labels.join(named, "comp", "left").select("node", F.coalesce("_p", "comp").alias("comp"))
+    return stored(old.unionByName(more.join(labels, "node", "left_anti")))

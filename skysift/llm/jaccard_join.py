@@ -49,8 +49,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import WORD, stored
-from .components import components
+from .common import WORD, beside, stored
+from .components import merged
 
 SHINGLE = 5
 #: Similarity as a fraction NUM / DEN: link when DEN * common >= NUM * union.
@@ -428,27 +428,31 @@ def next_groups(apart: DataFrame, labels: DataFrame) -> DataFrame:
     """(g, b): members of different components that share a difference which two
     that link must share. The closest member's component needs no pairs within;
     a pair has one member outside it, and the members of a pair have at least
-    (e + f) / (2 (DEN + NUM)) differences in common, e and f their excesses."""
+    (e + f) / (2 (DEN + NUM)) differences in common, e and f their excesses. What
+    a member has left from a shared difference on must reach that."""
+    both = 2 * (DEN + NUM)
     comp = labels.select(F.col("node").alias("b"), "comp")
     rows = apart.join(comp, "b", "left").withColumn("comp", F.coalesce("comp", "b")).withColumn("e", _excess())
-    closest = rows.groupBy("g").agg(F.min(F.struct("e", "b", "comp")).alias("c"))
-    rows = rows.join(closest, "g").withColumn("out", F.col("comp") != F.col("c.comp"))
-    out = rows.where("out").groupBy("g").agg(F.min("e").alias("e_out"))
-    rows = rows.join(out, "g")  # groups within one component go
+    closest = stored(rows.groupBy("g").agg(F.min(F.struct("e", "b", "comp")).alias("c")))
+    rows = beside(rows, closest, "g").withColumn("out", F.col("comp") != F.col("c.comp"))
+    out = stored(rows.where("out").groupBy("g").agg(F.min("e").alias("e_out")))
+    rows = beside(rows, out, "g")  # groups within one component go
     other = F.when(F.col("out"), F.col("c.e")).otherwise(F.col("e_out"))
-    both = 2 * (DEN + NUM)
-    least = F.greatest(
-        F.lit(1), F.ceil((F.col("e") + other) / both), F.col("d") - F.floor((DEN - NUM) * (F.col("n") + F.floor(F.col("n") * DEN / NUM)) / (DEN + NUM))
-    )
+    most = F.floor((DEN - NUM) * (F.col("n") + F.floor(F.col("n") * DEN / NUM)) / (DEN + NUM))
+    least = F.greatest(F.lit(1), F.ceil((F.col("e") + other) / both), F.col("d") - most)
     held = rows.withColumn("len", (F.col("d") - least + 1).cast("int")).where("len > 0")
-    told = held.select("g", "b", "comp", "out", F.explode(F.slice("first", 1, F.col("len"))).alias("t"))
-    told = told.select(F.xxhash64("g", "t").alias("k"), "b", "comp", "out")
-    lists = told.groupBy("k").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("out").alias("any"), F.count("*").alias("size"),
-        F.sum(F.xxhash64("b").cast("decimal(20,0)")).alias("members"),
-    )
-    lists = lists.where("lo < hi AND any").select("k", F.when(F.col("size") <= SMALL, F.xxhash64("members", "size")).otherwise(F.col("k")).alias("g"))
-    return told.join(lists, "k").select("g", "b").distinct()
+    told = held.select("g", "b", "comp", "out", "e", "d", F.posexplode(F.slice("first", 1, F.col("len"))).alias("i", "t"))
+    told = told.select(F.xxhash64("g", "t").alias("k"), "b", "comp", "out", "e", (F.col("d") - F.col("i")).alias("left"))
+    of = W.partitionBy("k")
+    for _ in range(2):  # who goes may take away what another one had
+        theirs = F.when(F.col("out"), F.min("e").over(of)).otherwise(F.min(F.when(F.col("out"), F.col("e"))).over(of))
+        room = F.when(F.col("out"), F.max("left").over(of)).otherwise(F.max(F.when(F.col("out"), F.col("left"))).over(of))
+        enough = F.ceil((F.col("e") + theirs) / both) <= F.least("left", room)
+        live = (F.min("comp").over(of) < F.max("comp").over(of)) & F.max("out").over(of)
+        told = told.withColumn("live", live & enough).where("live").drop("live")
+    size, members = F.count("*").over(of), F.sum(F.xxhash64("b").cast("decimal(20,0)")).over(of)
+    lists = told.select("k", "b", size.alias("size"), members.alias("members")).where("size > 1")
+    return lists.select(F.when(F.col("size") <= SMALL, F.xxhash64("members", "size")).otherwise(F.col("k")).alias("g"), "b").distinct()
 
 
 def components_of(docs: DataFrame) -> DataFrame:
@@ -467,12 +471,11 @@ def components_of(docs: DataFrame) -> DataFrame:
     wanted = groups.select(F.col("b").alias("node")).distinct().join(one.select("node", "h"), "node")
     texts = _rows(docs).groupBy("h").agg(F.first("text").alias("text")).join(wanted, "h")
     work = _Groups(stored(texts.select(F.col("node").alias("b"), "text")), one)
-    links, labels = spark.createDataFrame([], "u long, v long"), None
-    while labels is None or not groups.isEmpty():
+    labels = spark.createDataFrame([], "node long, comp long")
+    while not groups.isEmpty():
         sized = stored(work.sized(groups))
         apart = stored(work.apart(sized))
-        links = stored(links.unionByName(work.tested(sized)).unionByName(sure_links(apart)))
-        labels = components(links)
+        labels = merged(labels, stored(work.tested(sized).unionByName(sure_links(apart))))
         groups = stored(next_groups(apart, labels))
 
     of = one.join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
