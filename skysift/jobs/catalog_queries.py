@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import laws, physical
 from ..operators import catalogs as C
-from ..operators import conformal, metrics, splits
+from ..operators import conformal, metrics, rank, splits
 from ..sources import adapters as A
 from .registry import query, with_
 
@@ -181,7 +181,7 @@ SELECT object_id, round({_MOMENT}, 6) AS moment FROM (
 )
 def snr_to_dmsnr(s, d):
     c = A.catalog(s, d)
-    q = c.groupBy("class_name").agg(F.percentile("snr", 0.05).alias("p5"), F.percentile("snr", 0.95).alias("p95"))
+    q = rank.quantiles(c, ("snr",), (0.05, 0.95), ("class_name",)).select("class_name", F.col("q0").alias("p5"), F.col("q1").alias("p95"))
     return c.join(q, "class_name").select("object_id", F.round(physical.snr_to_moment(F.col("snr"), F.col("p5"), F.col("p95")), 6).alias("moment"))
 
 

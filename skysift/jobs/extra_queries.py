@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import physical
-from ..operators import catalogs, conformal, metrics, models, splits
+from ..operators import catalogs, conformal, metrics, models, rank, splits
 from ..operators import waterfall as WF
 from ..sources import adapters as A
 from .registry import query, with_
@@ -29,10 +29,10 @@ def physics_map(s, d):
         cov = q / n - np.outer(mean, mean)
         cov = 0.98 * cov + 0.02 * np.diag(np.diag(cov))
         typical = own.withColumn("d2", F.round(models.quadratic(A.SURVEY, mean, np.linalg.inv(cov)), 9))
-        cut = typical.agg(F.percentile("d2", 0.25).alias("cut"))
-        pool = typical.join(cut).where("d2 <= cut").select("vec_id", F.round("f5", 6).alias("key"), F.lit(y).alias("cluster"))
+        cut = rank.quantiles(typical, ("d2",), (0.25,)).select(F.col("q0").alias("cut"))
+        pool = typical.join(F.broadcast(cut)).where("d2 <= cut").select("vec_id", F.round("f5", 6).alias("key"), F.lit(y).alias("cluster"))
         pools = pool if pools is None else pools.unionByName(pool)
-    ends = v.groupBy("cluster").agg(F.percentile("f5", 0.05).alias("lo"), F.percentile("f5", 0.95).alias("hi"))
+    ends = rank.quantiles(v, ("f5",), (0.05, 0.95), ("cluster",)).select("cluster", F.col("q0").alias("lo"), F.col("q1").alias("hi"))
     kind = F.when(F.col("sig_type").isin(*NATURAL), 1).when(F.col("sig_type").isin(*INTERFERENCE), 0)
     sig = A.signals(s, d).select("signal_id", "sig_type", "snr", kind.alias("cluster"))
     mapped = sig.join(ends, "cluster").select("signal_id", "cluster", F.round(physical.snr_to_moment(F.col("snr"), F.col("lo"), F.col("hi")), 6).alias("key"))
@@ -66,7 +66,7 @@ def carrier_score(s, d):
 
 @query(
     "segment_null",
-    with_(A.WATERFALL) + """SELECT obs_id, CAST(floor(t * 6 / 30) AS INTEGER) AS segment, count(*) AS n, round(max(power), 6) AS peak FROM waterfall GROUP BY ALL HAVING count(DISTINCT t) >= 4""",
+    with_(A.WATERFALL) + """SELECT obs_id, CAST(floor(t * 6 / 31) AS INTEGER) AS segment, count(*) AS n, round(max(power), 6) AS peak FROM waterfall GROUP BY ALL HAVING count(DISTINCT t) >= 4""",
 )
 def segment_null(s, d):
     """Reference observations cut into time segments, as null samples."""

@@ -203,7 +203,7 @@ e2 AS (SELECT *, CASE WHEN pred IN (0, 2) AND p0 + p2 >= 0.8 THEN least(1.0, t0
   CASE WHEN is_extragalactic AND dm IS NOT NULL AND dm_gal_max IS NOT NULL THEN CASE WHEN dm - dm_gal_max <= 0 THEN 0.0
     ELSE greatest(0.0, least(1.0, 1 - exp(-(dm - dm_gal_max) / greatest(abs(dm_gal_max), 1e-12)))) END ELSE 0.5 END AS disp,
   CASE WHEN width_ms > 0 AND period_s > 0 THEN greatest(0.0, least(1.0, (width_ms / 1000 / period_s - 0.001) / 0.014)) ELSE 0.5 END AS duty FROM e1),
-e3 AS (SELECT *, CASE WHEN dm_gal_max IS NOT NULL OR (width_ms IS NOT NULL AND period_s IS NOT NULL)
+e3 AS (SELECT *, CASE WHEN dm IS NOT NULL OR (width_ms IS NOT NULL AND period_s IS NOT NULL)
     THEN greatest(0.0, least(1.0, 0.7 * t + 0.3 * (1 - (disp + duty) / 2))) ELSE t END AS physics,
   greatest(0.0, least(1.0, coalesce(1 - chaos, 0.5))) AS ord, coalesce(concentration, 0.5) AS narrow FROM e2),
 ev AS (SELECT *, round(greatest(0.0, least(100.0, least(50.0, -10 * log10(greatest(p, 1e-5))) + 50 * (p2 + ord + narrow + physics) / 4)), 6) AS composite FROM e3),

@@ -81,7 +81,7 @@ def channel_power(s, d):
 
 
 @query("band_shape", with_(A.WATERFALL, _CH, _POWER, _CPM) + """SELECT cp.obs_id, round(avg(CASE WHEN ch_power > med + 8 * mad THEN 1.0 ELSE 0.0 END), 6) AS narrowband_fraction,
-  round(max((ch_power - med) / mad), 6) AS peak_channel_snr, round(coalesce(sum((ch_power - a) ** 3) / count(*) / stddev_pop(ch_power) ** 3, 0), 6) AS band_skewness,
+  round(max(ch_power) / (any_value(mad) + 1e-12), 6) AS peak_channel_snr, round(coalesce(sum((ch_power - a) ** 3) / count(*) / stddev_pop(ch_power) ** 3, 0), 6) AS band_skewness,
   round(coalesce(kurtosis_pop(ch_power), 0), 6) AS band_kurtosis FROM cp JOIN pd ON cp.obs_id = pd.obs_id JOIN (SELECT obs_id, avg(ch_power) AS a FROM cp GROUP BY obs_id) m ON m.obs_id = cp.obs_id GROUP BY cp.obs_id""")
 def band_shape(s, d):
     return WF.band_shape(WF.channel_power(_w(s, d))).select("obs_id", *_r("narrowband_fraction", "peak_channel_snr", "band_skewness", "band_kurtosis"))
@@ -93,10 +93,12 @@ def narrowband_fraction(s, d):
     return rows.groupBy("obs_id").agg(F.round(F.avg((F.col("ch_power") > F.col("_med") + 2 * (F.col("_mad") + 1e-9)).cast("double")), 6).alias("fraction"))
 
 
-@query("spectral_kurtosis", with_(A.WATERFALL, _CH, _POWER) + """SELECT obs_id, seg, round(CASE WHEN m = 0 OR n / (n - 1) * v / (m * m) - 1 <= -1e-12 THEN -30.0 ELSE ln(n / (n - 1) * v / (m * m) - 1 + 1e-12) END, 6) AS sk FROM (
-  SELECT obs_id, CAST(floor(ch / 4) AS INTEGER) AS seg, count(*) AS n, var_pop(ch_power) AS v, avg(ch_power) AS m FROM cp GROUP BY ALL) WHERE n > 1""")
+@query("spectral_kurtosis", with_(A.WATERFALL, _CH, _POWER) + """, c AS (SELECT obs_id, count(*) AS n, CASE WHEN count(*) < 128 THEN greatest(1, count(*) // 2) ELSE 64 END AS size FROM cp GROUP BY obs_id),
+g AS (SELECT cp.obs_id, ch // size AS seg, any_value(n // size) AS k, avg(ch_power * ch_power) AS p FROM cp JOIN c ON cp.obs_id = c.obs_id WHERE ch // size < n // size GROUP BY cp.obs_id, ch // size),
+e AS (SELECT obs_id, any_value(k) / (any_value(k) - 1) * var_pop(p) / (avg(p) * avg(p) + 1e-12) - 1 AS sk FROM g GROUP BY obs_id)
+SELECT obs_id, round(CASE WHEN sk <= -1e-12 THEN -30.0 ELSE ln(CASE WHEN sk > -1e-12 THEN sk + 1e-12 END) END, 6) AS sk FROM e""")
 def spectral_kurtosis(s, d):
-    return WF.spectral_kurtosis(WF.channel_power(_w(s, d))).select("obs_id", "seg", F.round("sk", 6).alias("sk"))
+    return WF.spectral_kurtosis(WF.channel_power(_w(s, d))).select("obs_id", F.round("sk", 6).alias("sk"))
 
 
 @query("waterfall_occupancy", with_(A.WATERFALL, _CH, _NORM) + "SELECT n.obs_id, round(avg(CASE WHEN abs(norm) > 5 * s THEN 1.0 ELSE 0.0 END), 6) AS occupancy FROM norm n JOIN (SELECT obs_id, stddev_pop(norm) AS s FROM norm GROUP BY obs_id) x ON n.obs_id = x.obs_id GROUP BY n.obs_id")
@@ -104,9 +106,11 @@ def waterfall_occupancy(s, d):
     return WF.occupancy(WF.normalize_bandpass(_w(s, d))).select("obs_id", F.round("occupancy", 6).alias("occupancy"))
 
 
-@query("tone_persistence", with_(A.WATERFALL, _CH, _POWER) + """, pk AS (SELECT obs_id, first(ch ORDER BY round(ch_power, 6) DESC, ch) AS ch FROM cp GROUP BY obs_id)
-SELECT w.obs_id, w.ch AS peak_ch, round(avg(CASE WHEN (power - med) / (1.4826 * (mad + 1e-12)) >= 5 THEN 1.0 ELSE 0.0 END), 6) AS tone_persistence
-FROM waterfall w JOIN pk ON w.obs_id = pk.obs_id AND w.ch = pk.ch JOIN cmad c ON c.obs_id = w.obs_id AND c.ch = w.ch GROUP BY w.obs_id, w.ch""")
+@query("tone_persistence", with_(A.WATERFALL, _CH, _POWER) + """, pk AS (SELECT obs_id, first(ch ORDER BY round(ch_power, 6) DESC, ch) AS ch FROM cp GROUP BY obs_id),
+bp AS (SELECT w.obs_id, w.ch, power - med AS x FROM waterfall w JOIN cmed c ON w.obs_id = c.obs_id AND w.ch = c.ch),
+nz AS (SELECT bp.obs_id, median(abs(x - c)) + 1e-9 AS noise FROM bp JOIN (SELECT obs_id, median(x) AS c FROM bp GROUP BY obs_id) y ON bp.obs_id = y.obs_id GROUP BY bp.obs_id)
+SELECT bp.obs_id, bp.ch AS peak_ch, round(avg(CASE WHEN x / (1.4826 * noise) >= 5 THEN 1.0 ELSE 0.0 END), 6) AS tone_persistence
+FROM bp JOIN pk ON bp.obs_id = pk.obs_id AND bp.ch = pk.ch JOIN nz ON nz.obs_id = bp.obs_id GROUP BY bp.obs_id, bp.ch""")
 def tone_persistence(s, d):
     w = _w(s, d)
     return WF.tone_persistence(w, WF.channel_power(w)).select("obs_id", "peak_ch", F.round("tone_persistence", 6).alias("tone_persistence"))
@@ -119,27 +123,29 @@ bg AS (SELECT cm.obs_id, any_value(med) AS bg_med, 1.4826 * (median(abs(m - med)
 
 @query("robust_background", with_(A.WATERFALL, _BG) + "SELECT obs_id, round(bg_med, 6) AS bg_med, round(bg_noise, 6) AS bg_noise FROM bg")
 def robust_background(s, d):
-    return WF.background(_w(s, d)).select("obs_id", *_r("bg_med", "bg_noise"))
+    return WF.background(WF.channel_means(_w(s, d))).select("obs_id", *_r("bg_med", "bg_noise"))
 
 
 _GINI = """
-gini AS (SELECT obs_id, coalesce(least(greatest((2 * sum(i * power) / nullif(sum(power), 0) - (count(*) + 1)) / count(*), 0.0), 1.0), 0.0) AS concentration
-  FROM (SELECT obs_id, power, row_number() OVER (PARTITION BY obs_id ORDER BY power) AS i FROM waterfall WHERE power >= 0) GROUP BY obs_id)"""
+gini AS (SELECT obs_id, CASE WHEN sum(m) > 0 THEN least(greatest((2 * sum(i * m) - (count(*) + 1) * sum(m)) / (count(*) * sum(m) + 1e-12), 0.0), 1.0) ELSE 0.0 END AS concentration
+  FROM (SELECT obs_id, m, row_number() OVER (PARTITION BY obs_id ORDER BY m) AS i FROM cm WHERE m >= 0) GROUP BY obs_id)"""
 
 
-@query("gini_concentration", with_(A.WATERFALL, _GINI) + "SELECT obs_id, round(concentration, 6) AS concentration FROM gini")
+@query("gini_concentration", with_(A.WATERFALL, _BG, _GINI) + "SELECT obs_id, round(concentration, 6) AS concentration FROM gini")
 def gini_concentration(s, d):
-    return WF.gini(_w(s, d)).select("obs_id", F.round("concentration", 6).alias("concentration"))
+    return WF.gini(WF.channel_means(_w(s, d))).select("obs_id", F.round("concentration", 6).alias("concentration"))
 
 
 _DRIFT = """
+above AS (SELECT w.obs_id, t, ch, power, greatest(power - bg_med, 0.0) AS w FROM waterfall w JOIN bg ON w.obs_id = bg.obs_id),
 drift AS (SELECT obs_id, coalesce(regr_slope(c, t), 0) AS drift_rate FROM (
-  SELECT obs_id, t, CASE WHEN sum(power) > 0 THEN sum(ch * power) / sum(power) ELSE first(ch ORDER BY power DESC, ch) END AS c FROM waterfall GROUP BY obs_id, t) GROUP BY obs_id)"""
+  SELECT obs_id, t, CASE WHEN sum(w) > 0 THEN sum(ch * w) / sum(w) ELSE first(ch ORDER BY power DESC, ch) END AS c FROM above GROUP BY obs_id, t) GROUP BY obs_id)"""
 
 
-@query("drift_rate_slope", with_(A.WATERFALL, _DRIFT) + "SELECT obs_id, round(drift_rate, 6) AS drift_rate FROM drift")
+@query("drift_rate_slope", with_(A.WATERFALL, _BG, _DRIFT) + "SELECT obs_id, round(drift_rate, 6) AS drift_rate FROM drift")
 def drift_rate_slope(s, d):
-    return WF.drift_rate(_w(s, d)).select("obs_id", F.round("drift_rate", 6).alias("drift_rate"))
+    w = _w(s, d)
+    return WF.drift_rate(w, WF.background(WF.channel_means(w))).select("obs_id", F.round("drift_rate", 6).alias("drift_rate"))
 
 
 _FLAT = "flatn AS (SELECT obs_id, coalesce(exp(avg(CASE WHEN m > 0 THEN ln(CASE WHEN m > 0 THEN m END) END)) / (avg(CASE WHEN m > 0 THEN m END) + 1e-12), 1.0) AS spectral_flatness FROM cm GROUP BY obs_id)"
@@ -151,18 +157,17 @@ def spectral_flatness(s, d):
     return WF.flatness(means).select("obs_id", F.round("spectral_flatness", 6).alias("spectral_flatness"))
 
 
-_DESC = """
-th AS (SELECT w.*, bg_med, greatest(1.5 * 1.4826 * bg_noise, 1e-9) AS noise, bg_med + 5 * greatest(1.5 * 1.4826 * bg_noise, 1e-9) AS thr FROM waterfall w JOIN bg ON w.obs_id = bg.obs_id),
-pk AS (SELECT obs_id, least((max(power) - any_value(bg_med)) / any_value(noise), 1e4) AS peak_snr, least((sum(power) - any_value(bg_med) * count(*)) / (any_value(noise) * sqrt(count(*))), 1e6) AS integrated_snr,
-  avg(CASE WHEN power > thr THEN 1.0 ELSE 0.0 END) AS occupancy FROM th GROUP BY obs_id),
-wd AS (SELECT obs_id, coalesce((max(CASE WHEN hit = 1 THEN ch END) - min(CASE WHEN hit = 1 THEN ch END) + 1) / count(*), 0.0) AS bandwidth FROM (
-  SELECT obs_id, ch, max(CASE WHEN power > thr THEN 1 ELSE 0 END) AS hit FROM th GROUP BY obs_id, ch) GROUP BY obs_id),
+_KURT = "CASE WHEN var_pop({0}) > 0 THEN least(greatest((kurtosis_pop({0}) + 3) * var_pop({0}) * var_pop({0}) / (var_pop({0}) * var_pop({0}) + 1e-12) - 3, -10.0), 1e4) ELSE 0.0 END"
+_DESC = f"""
+th AS (SELECT cm.*, bg_med, greatest(1.5 * 1.4826 * bg_noise, 1e-9) AS noise, bg_med + 5 * greatest(1.5 * 1.4826 * bg_noise, 1e-9) AS thr FROM cm JOIN bg ON cm.obs_id = bg.obs_id),
+pk AS (SELECT obs_id, least(greatest((max(m) - any_value(bg_med)) / any_value(noise), 0.0), 1e4) AS peak_snr, least(greatest((sum(m) - any_value(bg_med) * count(*)) / any_value(noise), 0.0), 1e6) AS integrated_snr,
+  avg(CASE WHEN m > thr THEN 1.0 ELSE 0.0 END) AS occupancy, coalesce((max(CASE WHEN m > thr THEN ch END) - min(CASE WHEN m > thr THEN ch END) + 1) / count(*), 0.0) AS bandwidth,
+  {_KURT.format("m")} AS spectral_kurtosis FROM th GROUP BY obs_id),
 pc AS (SELECT obs_id, first(ch ORDER BY round(m, 6) DESC, ch) AS pch FROM cm GROUP BY obs_id),
 sb AS (SELECT cm.obs_id, coalesce(exp(avg(CASE WHEN m > 0 THEN ln(CASE WHEN m > 0 THEN m END) END)) / (avg(CASE WHEN m > 0 THEN m END) + 1e-12), 1.0) AS sub_bin_flatness FROM cm JOIN pc ON cm.obs_id = pc.obs_id WHERE abs(ch - pch) <= 1 GROUP BY cm.obs_id),
-kk AS (SELECT obs_id, least(greatest(coalesce(kurtosis_pop(m), -3.0), -10.0), 1e4) AS spectral_kurtosis FROM cm GROUP BY obs_id),
 bt AS (SELECT obs_id, first(t ORDER BY power DESC, t) AS bt FROM waterfall GROUP BY obs_id),
-sl AS (SELECT w.obs_id, least(greatest(coalesce(kurtosis_pop(power), -3.0), -10.0), 1e4) AS slice_kurtosis FROM waterfall w JOIN bt ON w.obs_id = bt.obs_id AND t = bt GROUP BY w.obs_id),
-dd AS (SELECT * FROM pk JOIN gini USING (obs_id) JOIN drift USING (obs_id) JOIN wd USING (obs_id) JOIN flatn USING (obs_id) JOIN sb USING (obs_id) JOIN kk USING (obs_id) JOIN sl USING (obs_id))"""
+sl AS (SELECT w.obs_id, {_KURT.format("power")} AS slice_kurtosis FROM waterfall w JOIN bt ON w.obs_id = bt.obs_id AND t = bt GROUP BY w.obs_id),
+dd AS (SELECT * FROM pk JOIN gini USING (obs_id) JOIN drift USING (obs_id) JOIN flatn USING (obs_id) JOIN sb USING (obs_id) JOIN sl USING (obs_id))"""
 _TEN = ("peak_snr", "integrated_snr", "occupancy", "concentration", "drift_rate", "bandwidth", "spectral_flatness", "sub_bin_flatness", "spectral_kurtosis", "slice_kurtosis")
 
 
@@ -177,9 +182,9 @@ def bandwidth_occupancy(s, d):
 
 
 _U = "least(greatest({}, 0.0), 1.0)"
-_SNR = _U.format("log10(1 + greatest(peak_snr, 0.0)) / 4")
-_SPEC = f"0.25 * {_U.format('concentration')} + 0.2 * (1 - {_U.format('spectral_flatness')}) + 0.15 * {_SNR} + 0.2 * (1 - {_U.format('bandwidth')}) + 0.2 * (1 - {_U.format('sub_bin_flatness')})"
-_CARR = f"0.4 * {_SNR} + 0.35 * (1 - {_U.format('bandwidth')}) + 0.25 * {_U.format('concentration')}"
+_K, _S = _U.format("spectral_kurtosis / 20"), _U.format("slice_kurtosis / 20")
+_SPEC = f"0.25 * {_U.format('concentration')} + 0.2 * (1 - {_U.format('spectral_flatness')}) + 0.15 * {_K} + 0.2 * (1 - {_U.format('sub_bin_flatness')}) + 0.2 * {_S}"
+_CARR = f"0.4 * {_K} + 0.35 * {_S} + 0.25 * (1 - {_U.format('occupancy')})"
 
 
 @query("narrowband_score", with_(A.WATERFALL, _BG, _GINI, _DRIFT, _FLAT, _DESC) + f"SELECT obs_id, round(greatest({_SPEC}, {_CARR}), 6) AS narrowband FROM dd")

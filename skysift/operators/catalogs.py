@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import physical
+from ..session import stored
+from .rank import beside, quantiles, ranged
 
 REQUIRED = ("object_id", "class_name", "dm", "dm_gal_max", "snr", "width_ms", "period_s", "glat")
 
@@ -36,7 +38,8 @@ def featurize(df: DataFrame) -> DataFrame:
 
 def medians(df: DataFrame, columns: tuple[str, ...] = physical.CONTINUOUS) -> DataFrame:
     """One row: the exact median of each column, 0 if it has no value."""
-    return df.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in columns])
+    q = quantiles(df, columns, (0.5,))
+    return q.agg(*[F.coalesce(F.max(F.when(F.col("column") == c, F.col("q0"))), F.lit(0.0)).alias(c) for c in columns])
 
 
 def impute(df: DataFrame, med: DataFrame, columns: tuple[str, ...] = physical.CONTINUOUS) -> DataFrame:
@@ -69,26 +72,36 @@ def top_k(df: DataFrame, order: str, k: int, id_col: str, descending: bool = Fal
 
 def cluster_stats(df: DataFrame, label: str, columns: tuple[str, ...], moment: str) -> DataFrame:
     """(class, n, means, p5 and p95 of moment)."""
-    return df.groupBy(label).agg(
-        F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in columns], F.percentile(moment, 0.05).alias("p5"), F.percentile(moment, 0.95).alias("p95")
-    )
+    means = df.groupBy(label).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
+    ends = quantiles(df, (moment,), (0.05, 0.95), (label,)).select(label, F.col("q0").alias("p5"), F.col("q1").alias("p95"))
+    return means.join(ends, label, "left")
 
 
 def nearest(targets: DataFrame, pool: DataFrame, key: str, target_id: str, pool_id: str) -> DataFrame:
     """(target_id, key, nearest_id, nearest_key): the pool row with the closest
-    key, of equals the smaller key, then the smaller id. Both sides are sorted
-    together once (an as-of join both ways), not paired."""
+    key, of equals the smaller key, then the smaller id. Both sides are dealt
+    together to ranges of the key (an as-of join both ways), not paired; a range
+    takes the last pool row before it and the first one after it along."""
     one = pool.groupBy(key).agg(F.min(pool_id).alias(pool_id))  # the smallest id of each key
-    both = targets.select(F.col(target_id).alias("_t"), F.col(key).alias("_k"), F.lit(None).cast("struct<k:double,i:bigint>").alias("_p")).unionByName(
-        one.select(F.lit(None).cast("bigint").alias("_t"), F.col(key).alias("_k"), F.struct(F.col(key).cast("double").alias("k"), F.col(pool_id).cast("bigint").alias("i")).alias("_p"))
+    mine = targets.select(F.col(target_id).alias("_t"), F.col(key).cast("double").alias("_k"), F.lit(None).cast("struct<k:double,i:bigint>").alias("_p"))
+    theirs = F.struct(F.col(key).cast("double").alias("k"), F.col(pool_id).cast("bigint").alias("i"))
+    both = stored(mine.unionByName(one.select(F.lit(None).alias("_t"), F.col(key).cast("double").alias("_k"), theirs.alias("_p"))))
+    rows = ranged(both, "_k", [])
+    ends = stored(rows.groupBy("_range").agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi")))
+    order = W.partitionBy(F.lit(1)).orderBy("_range")  # a row for each range
+    edges = ends.select(
+        "_range", F.last("_hi", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
+        F.first("_lo", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_after"),
+    )
+    up = W.partitionBy("_range").orderBy(F.col("_k"), F.col("_p").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy("_range").orderBy(F.col("_k").desc(), F.col("_p").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    rows = beside(rows, stored(edges), ["_range"]).select(
+        "_t", "_k", F.coalesce(F.last("_p", ignorenulls=True).over(up), "_before").alias("d"), F.coalesce(F.last("_p", ignorenulls=True).over(down), "_after").alias("u")
     )
-    at = W.partitionBy(F.lit(1)).orderBy(F.col("_k"), F.col("_p").isNull())
-    down = F.last("_p", ignorenulls=True).over(at.rowsBetween(W.unboundedPreceding, 0))
-    up = F.first("_p", ignorenulls=True).over(at.rowsBetween(0, W.unboundedFollowing))
-    rows = both.select("_t", "_k", down.alias("d"), up.alias("u")).where("_t IS NOT NULL")
     take_d = F.col("u").isNull() | (F.abs(F.col("_k") - F.col("d.k")) <= F.abs(F.col("u.k") - F.col("_k")))
     best = F.when(F.col("d").isNotNull() & take_d, F.col("d")).otherwise(F.col("u"))
-    return rows.select(F.col("_t").alias(target_id), F.col("_k").alias(key), best["i"].alias("nearest_id"), best["k"].alias("nearest_key"))
+    found = rows.where("_t IS NOT NULL")
+    return found.select(F.col("_t").alias(target_id), F.col("_k").alias(key), best["i"].alias("nearest_id"), best["k"].alias("nearest_key"))
 
 
 def fallback(df: DataFrame, side: DataFrame, key: str, column: str, default: Column) -> DataFrame:

@@ -51,7 +51,8 @@ def with_evidence(df: DataFrame) -> DataFrame:
     pred = F.when((F.col("p0") >= F.col("p1")) & (F.col("p0") >= F.col("p2")), 0).when(F.col("p1") >= F.col("p2"), 1).otherwise(2)
     rows = df.withColumn("p", p).withColumn("pred", pred)
     claimed = F.col("pred").isin(0, 2) & (F.col("p0") + F.col("p2") >= 0.8)
-    catalog = F.col("dm_gal_max").isNotNull() | (F.col("width_ms").isNotNull() & F.col("period_s").isNotNull())
+    finite = F.col("dm").isNotNull() & ~F.isnan("dm") & (F.abs("dm") < float("inf"))
+    catalog = finite | (F.col("width_ms").isNotNull() & F.col("period_s").isNotNull())
     techno = laws.technosignature(F.col("concentration"), F.col("spectral_flatness"), claimed)
     spread = laws.dispersion_excess(F.col("dm"), F.col("dm_gal_max"), F.col("is_extragalactic"))
     duty = laws.duty_cycle(F.col("width_ms"), F.col("period_s"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .rank import quantiles
+
 
 def ratio(a: Column, b: Column, other: float = 0.0) -> Column:
     return F.when(b != 0, a / b).otherwise(other)
@@ -97,16 +99,17 @@ def role_rates(df: DataFrame, role: str = "true_role", verdict: str = "verdict")
 
 def calibration_curve(df: DataFrame, prob: str = "prob", y: str = "y", bins: int = 10) -> DataFrame:
     """(bin, n, mean_prob, rate): bins between the quantiles of prob."""
-    edges = df.agg(F.percentile(prob, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_e"))
-    rows = df.join(edges).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(prob))))
+    edges = quantiles(df, (prob,), tuple(i / bins for i in range(1, bins))).select(F.array(*[f"q{i}" for i in range(bins - 1)]).alias("_e"))
+    rows = df.join(F.broadcast(edges))  # one row
+    rows = rows.withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(prob))))
     return rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg(prob).alias("mean_prob"), F.avg(F.col(y).cast("double")).alias("rate"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 39, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """(bin, n): equal widths between two quantiles; values outside are left
     out, the upper end belongs to the last bin."""
-    edge = df.agg(F.percentile(value, low).alias("_lo"), F.percentile(value, high).alias("_hi"))
-    rows = df.join(edge).where(F.col(value).between(F.col("_lo"), F.col("_hi")) & (F.col("_hi") > F.col("_lo")))
+    edge = quantiles(df, (value,), (low, high)).select(F.col("q0").alias("_lo"), F.col("q1").alias("_hi"))
+    rows = df.join(F.broadcast(edge)).where(F.col(value).between(F.col("_lo"), F.col("_hi")) & (F.col("_hi") > F.col("_lo")))
     b = F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)).cast("int")
     return rows.groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rank import quantiles
+
 
 def moments(df: DataFrame, columns: tuple[str, ...], weight: Column | None = None):
     """(n, mean, X'X, sum of |x|^4) about 0 in one aggregation; bounded by D^2."""
@@ -68,8 +70,12 @@ class Detector:
         shift = np.array([float(s[f"a{i}"]) for i in range(len(columns))])
         scale = np.array([float(s[f"s{i}"]) if s[f"s{i}"] > 1e-12 else 1.0 for i in range(len(columns))])
         z = df.select(label, *[((F.col(c) - float(m)) / float(k)).alias(c) for c, m, k in zip(columns, shift, scale, strict=True)])
-        f = F.median if centre == "median" else F.avg
-        centres = {r[label]: np.array([float(r[c]) for c in columns]) for r in z.groupBy(label).agg(*[f(c).alias(c) for c in columns]).collect()}
+        if centre == "median":
+            q = quantiles(z, columns, (0.5,), (label,))
+            z_centres = q.groupBy(label).agg(*[F.max(F.when(F.col("column") == c, F.col("q0"))).alias(c) for c in columns])
+        else:
+            z_centres = z.groupBy(label).agg(*[F.avg(c).alias(c) for c in columns])
+        centres = {r[label]: np.array([float(r[c]) for c in columns]) for r in z_centres.collect()}  # a row for each class
         classes = {}
         for y, m in centres.items():
             own = z.where(F.col(label) == y).select(*[(F.col(c) - float(v)).alias(c) for c, v in zip(columns, m, strict=True)])

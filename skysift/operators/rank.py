@@ -1,43 +1,97 @@
 """Order statistics over large tables without a single-partition window.
 
-Rows are dealt to ranges of the ordering value by approximate quantiles; a row's
-cumulative sum is its range's sum so far plus the totals of the ranges before
-it. The quantiles only balance the work: results are exact whatever they are.
+The input is written once. Rows are dealt to ranges of the ordering value by
+approximate quantiles, and one shuffle by group and range serves the running
+sums; a row's cumulative sum is its range's sum so far plus the totals of the
+ranges before it, which come from a small aggregate. The quantiles only balance
+the work: results are exact whatever they are. The number of ranges follows from
+the number of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 32
+from ..session import stored
+
+#: Rows of a range, the most ranges (cuts are a literal), and the most rows of a
+#: small table that is sent to all tasks.
+RANGE_ROWS, MAX_RANGES, MAX_BROADCAST = 1_000_000, 4096, 100_000
+
+
+def beside(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Joins a stored table of a few numbers a row: by a broadcast if it has few
+    rows, by a shuffle if not."""
+    return df.join(F.broadcast(side) if side.count() <= MAX_BROADCAST else side, keys)
+
+
+def n_ranges(rows: int) -> int:
+    return min(MAX_RANGES, max(1, math.ceil(rows / RANGE_ROWS)))
+
+
+def ranged(df: DataFrame, order: str, keys: list[str]) -> DataFrame:
+    """Adds _range, the number of cuts below the row's order value. df must be a
+    stored table: it is read more than once."""
+    k = n_ranges(df.count())
+    if k == 1:
+        return df.withColumn("_range", F.lit(0))
+    at = F.percentile_approx(order, F.array(*[F.lit(i / k) for i in range(1, k)]), F.lit(100 * k))
+    cuts = df.groupBy(*keys).agg(at.alias("_cuts")) if keys else df.agg(at.alias("_cuts"))
+    rows = beside(df, stored(cuts), keys) if keys else df.withColumn("_cuts", F.array(*[F.lit(c) for c in cuts.first()[0]]))
+    return rows.withColumn("_range", _place(F.col("_cuts"), F.col(order), k)).drop("_cuts")
+
+
+def _place(cuts: Column, value: Column, k: int) -> Column:
+    """The number of sorted cuts below value, by two short scans: over every
+    step-th cut and within the step."""
+    step = max(1, math.isqrt(k))
+    coarse = F.filter(cuts, lambda c, i: (i % step == step - 1) & (c < value))
+    within = F.slice(cuts, F.size(coarse) * step + 1, step)
+    return F.size(coarse) * step + F.size(F.filter(within, lambda c: c < value))
 
 
-def cumulative(df: DataFrame, order: str, sums: dict[str, str], by: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
+def cumulative(
+    df: DataFrame, order: str, sums: dict[str, str], by: tuple[str, ...] = (), descending: bool = False, totals: dict[str, str] | None = None
+) -> DataFrame:
     """Adds, for each (name, column) of sums, the sum of column over the rows of
     the same group whose order value is at most (descending: at least) the
-    row's own; ties count in full."""
-    keys = list(by) or ["_all"]
-    rows = df if by else df.withColumn("_all", F.lit(1))
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(order, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])).alias("_cuts"))
-    dealt = rows.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
-    totals = dealt.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    row's own; ties count in full. For each of totals it adds the group's sum."""
+    keys, totals = list(by), totals or {}
+    rows = ranged(stored(df), order, keys)
+    named = {f"_t_{n}": c for n, c in (sums | totals).items()}
+    part = stored(rows.groupBy(*keys, "_range").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in named.items()]))
+    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))  # a row for each range
     rank = F.col("_range").desc() if descending else F.col("_range").asc()
-    before = W.partitionBy(*keys).orderBy(rank).rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    before = group.orderBy(rank).rowsBetween(W.unboundedPreceding, -1)
+    offsets = part.select(
+        *keys, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(group).alias(n) for n in totals],
+    )
     o = F.col(order).desc() if descending else F.col(order).asc()
     within = W.partitionBy(*keys, "_range").orderBy(o).rangeBetween(W.unboundedPreceding, W.currentRow)
-    out = dealt.join(offsets, [*keys, "_range"])
+    out = beside(rows, stored(offsets), [*keys, "_range"])
     for n, c in sums.items():
         out = out.withColumn(n, F.col(f"_o_{n}") + F.coalesce(F.sum(c).over(within), F.lit(0)))
-    return out.drop("_range", *[f"_o_{n}" for n in sums], *([] if by else ["_all"]))
+    return out.drop("_range", *[f"_o_{n}" for n in sums])
 
 
-def totals(df: DataFrame, sums: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds group totals by a partial aggregation and a join."""
-    keys = list(by) or ["_all"]
-    rows = df if by else df.withColumn("_all", F.lit(1))
-    t = rows.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()])
-    out = rows.join(t, keys)
-    return out if by else out.drop("_all")
+def quantiles(df: DataFrame, columns: tuple[str, ...], points: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., column, q0, q1 ...): exact quantiles, interpolated between the two
+    nearest ranks, of the values of each column that are not null. Columns are
+    put under each other, so one shuffle serves all; no task holds all values."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("_v")
+    long = df.select(*by, each).select(*by, "_v.*").where("value IS NOT NULL")
+    keys = [*by, "column"]
+    ties = long.groupBy(*keys, "value").agg(F.count("*").alias("_n"))
+    rows = cumulative(ties, "value", {"_le": "_n"}, tuple(keys), totals={"_all": "_n"})
+    out = []
+    for i, q in enumerate(points):
+        at = (F.col("_all") - 1) * F.lit(float(q))
+        first, second = (F.min(F.when(F.col("_le") > f(at), F.col("value"))) for f in (F.floor, F.ceil))
+        part = F.max(at - F.floor(at))
+        out.append((first + (second - first) * part).alias(f"q{i}"))
+    return rows.groupBy(*keys).agg(*out)

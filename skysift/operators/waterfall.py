@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: Dispersion constant, MHz^2 s per unit of dispersion measure.
 K_DM = 4148.808
 MAD_SCALE = 1.4826
@@ -109,20 +111,25 @@ def band_shape(power: DataFrame) -> DataFrame:
     mad = F.col("_mad") + 1e-9
     return rows.groupBy("obs_id").agg(
         F.avg((F.col("ch_power") > F.col("_med") + 8 * mad).cast("double")).alias("narrowband_fraction"),
-        (F.max((F.col("ch_power") - F.col("_med")) / mad)).alias("peak_channel_snr"),
+        (F.max("ch_power") / (F.first(mad) + 1e-12)).alias("peak_channel_snr"),
         F.coalesce(F.skewness("ch_power"), F.lit(0.0)).alias("band_skewness"),
         F.coalesce(F.kurtosis("ch_power"), F.lit(0.0)).alias("band_kurtosis"),
     )
 
 
-def spectral_kurtosis(power: DataFrame, seg: int = 4) -> DataFrame:
-    """(obs_id, seg, sk): log of the segment's kurtosis estimate; the floor is
-    -30."""
-    s = power.groupBy("obs_id", F.floor(F.col("ch") / seg).cast("int").alias("seg")).agg(
-        F.count("*").alias("n"), F.var_pop("ch_power").alias("v"), F.avg("ch_power").alias("m")
-    )
-    k = F.col("n") / (F.col("n") - 1) * F.col("v") / (F.col("m") * F.col("m")) - 1
-    return s.where("n > 1").select("obs_id", "seg", F.when((F.col("m") == 0) | (k <= -1e-12), -30.0).otherwise(F.log(k + 1e-12)).alias("sk"))
+def spectral_kurtosis(power: DataFrame, seg: int = 64) -> DataFrame:
+    """(obs_id, sk): log of the kurtosis estimate over segments of seg channels
+    (halves of a narrower band) from their mean squares; the floor is -30. What
+    is left over at the end of the band is left out."""
+    n = power.groupBy("obs_id").agg(F.count("*").alias("n"), F.var_pop("ch_power").alias("v"), F.avg("ch_power").alias("m"))
+    size = F.when(F.col("n") < 2 * seg, F.greatest(F.lit(1), F.floor(F.col("n") / 2))).otherwise(seg)
+    n = n.withColumn("size", size).withColumn("k", F.floor(F.col("n") / F.col("size")))
+    rows = power.join(n, "obs_id").withColumn("seg", F.floor(F.col("ch") / F.col("size"))).where("seg < k")
+    squares = rows.groupBy("obs_id", "seg").agg(F.avg(F.col("ch_power") * F.col("ch_power")).alias("p"), *[F.first(c).alias(c) for c in "kvm"])
+    one = squares.groupBy("obs_id").agg(F.var_pop("p").alias("vp"), F.avg("p").alias("mp"), *[F.first(c).alias(c) for c in "kvm"])
+    sk = F.col("k") / (F.col("k") - 1) * F.col("vp") / (F.col("mp") * F.col("mp") + 1e-12) - 1
+    alone = F.log(F.col("v") / (F.col("m") * F.col("m") + 1e-12) + 1e-12)
+    return one.select("obs_id", F.when(F.col("k") < 2, alone).when(sk <= -1e-12, -30.0).otherwise(F.log(sk + 1e-12)).alias("sk"))
 
 
 def occupancy(norm: DataFrame) -> DataFrame:
@@ -133,58 +140,70 @@ def occupancy(norm: DataFrame) -> DataFrame:
 
 def tone_persistence(df: DataFrame, power: DataFrame) -> DataFrame:
     """(obs_id, peak_ch, tone_persistence): share of the strongest channel's
-    samples at five robust deviations or more (the lowest of equal channels)."""
+    samples at five robust deviations or more (the lowest of equal channels).
+    The deviation is one for the whole observation, of all samples less their
+    channel's median."""
     best = power.withColumn("ch_power", F.round("ch_power", 6)).groupBy("obs_id").agg(F.max(F.struct("ch_power", (-F.col("ch")).alias("i"))).alias("b"))
     peak = best.select("obs_id", (-F.col("b.i")).alias("ch"))
-    rows = df.join(peak, ["obs_id", "ch"]).join(channel_stats(df), ["obs_id", "ch"])
-    z = (F.col("power") - F.col("med")) / (MAD_SCALE * (F.col("mad") + 1e-12))
-    return rows.groupBy("obs_id").agg(F.first("ch").alias("peak_ch"), F.avg((z >= 5).cast("double")).alias("tone_persistence"))
+    med = df.groupBy("obs_id", "ch").agg(F.median("power").alias("_m"))
+    rows = df.join(med, ["obs_id", "ch"]).withColumn("bp", F.col("power") - F.col("_m"))
+    centre = rows.groupBy("obs_id").agg(F.median("bp").alias("_c"))
+    noise = rows.join(centre, "obs_id").groupBy("obs_id").agg((F.median(F.abs(F.col("bp") - F.col("_c"))) + 1e-9).alias("_n"))
+    z = F.col("bp") / (MAD_SCALE * F.col("_n"))
+    lines = rows.join(peak, ["obs_id", "ch"]).join(noise, "obs_id")
+    return lines.groupBy("obs_id").agg(F.first("ch").alias("peak_ch"), F.avg((z >= 5).cast("double")).alias("tone_persistence"))
+
+
+def channel_means(df: DataFrame) -> DataFrame:
+    return df.groupBy("obs_id", "ch").agg(F.avg("power").alias("m"))
 
 
-def background(df: DataFrame) -> DataFrame:
+def background(means: DataFrame) -> DataFrame:
     """(obs_id, bg_med, bg_noise): robust background of the channel means."""
-    means = df.groupBy("obs_id", "ch").agg(F.avg("power").alias("m"))
     return _med_mad(means, "m").groupBy("obs_id").agg(F.first("_med").alias("bg_med"), (MAD_SCALE * (F.first("_mad") + 1e-9)).alias("bg_noise"))
 
 
-def gini(df: DataFrame, value: str = "power") -> DataFrame:
+def gini(df: DataFrame, value: str = "m") -> DataFrame:
     """(obs_id, concentration): Gini coefficient of the values of 0 or more.
     Rows are ranked within observation; equal values may take any order."""
     w = W.partitionBy("obs_id").orderBy(value)
     rows = df.where(F.col(value) >= 0).withColumn("_i", F.row_number().over(w))
     a = rows.groupBy("obs_id").agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.col("_i") * F.col(value)).alias("iv"))
-    g = (2 * F.col("iv") / F.nullif("s", F.lit(0.0)) - (F.col("n") + 1)) / F.col("n")
-    return a.select("obs_id", F.coalesce(F.least(F.greatest(g, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)).alias("concentration"))
+    g = (2 * F.col("iv") - (F.col("n") + 1) * F.col("s")) / (F.col("n") * F.col("s") + 1e-12)
+    found = a.select("obs_id", F.when(F.col("s") > 0, F.least(F.greatest(g, F.lit(0.0)), F.lit(1.0))).otherwise(0.0).alias("concentration"))
+    return df.select("obs_id").distinct().join(found, "obs_id", "left").na.fill(0.0, ["concentration"])
 
 
-def drift_rate(df: DataFrame) -> DataFrame:
-    """(obs_id, drift_rate): slope over time of the power-weighted channel."""
-    c = df.groupBy("obs_id", "t").agg(
-        F.sum("power").alias("s"), F.sum(F.col("ch") * F.col("power")).alias("c"), F.max(F.struct("power", (-F.col("ch")).alias("i")))["i"].alias("i")
+def drift_rate(df: DataFrame, bg: DataFrame) -> DataFrame:
+    """(obs_id, drift_rate): slope over time of the mean channel, weighted by
+    the power above the background (the strongest channel where there is none)."""
+    w = F.greatest(F.col("power") - F.col("bg_med"), F.lit(0.0))
+    c = df.join(bg.select("obs_id", "bg_med"), "obs_id").groupBy("obs_id", "t").agg(
+        F.sum(w).alias("s"), F.sum(F.col("ch") * w).alias("c"), F.max(F.struct("power", (-F.col("ch")).alias("i")))["i"].alias("i")
     )
     c = c.withColumn("centre", F.when(F.col("s") > 0, F.col("c") / F.col("s")).otherwise(-F.col("i")))
     return c.groupBy("obs_id").agg(F.coalesce(F.regr_slope("centre", "t"), F.lit(0.0)).alias("drift_rate"))
 
 
 def descriptors(df: DataFrame) -> DataFrame:
-    """The ten descriptors of each observation."""
-    bg = background(df)
+    """The ten descriptors of each observation: of its channel means, but for
+    the drift and the kurtosis of the brightest time."""
+    rows = stored(df.select("obs_id", "t", "ch", "power"))
+    means = stored(channel_means(rows))
+    bg = stored(background(means))
     noise = F.greatest(1.5 * MAD_SCALE * F.col("bg_noise"), F.lit(1e-9))
-    rows = df.join(bg.select("obs_id", "bg_med", noise.alias("noise")), "obs_id").withColumn("thr", F.col("bg_med") + 5 * F.col("noise"))
-    x = F.col("power")
-    peak = rows.groupBy("obs_id").agg(
-        F.least((F.max(x) - F.first("bg_med")) / F.first("noise"), F.lit(1e4)).alias("peak_snr"),
-        F.least((F.sum(x) - F.first("bg_med") * F.count("*")) / (F.first("noise") * F.sqrt(F.count("*"))), F.lit(1e6)).alias("integrated_snr"),
-        F.avg((x > F.col("thr")).cast("double")).alias("occupancy"),
-    )
-    lines = rows.groupBy("obs_id", "ch").agg(F.max((x > F.col("thr")).cast("int")).alias("hit"), F.avg(x).alias("m"))
-    width = lines.groupBy("obs_id").agg(
-        F.coalesce((F.max(F.when(F.col("hit") == 1, F.col("ch"))) - F.min(F.when(F.col("hit") == 1, F.col("ch"))) + 1) / F.count("*"), F.lit(0.0)).alias("bandwidth")
-    )
-    mean_ch = lines.select("obs_id", "ch", "m")
-    out = peak.join(gini(df), "obs_id").join(drift_rate(df), "obs_id").join(width, "obs_id").join(flatness(mean_ch), "obs_id")
-    out = out.join(sub_bin_flatness(mean_ch), "obs_id").join(kurtosis_of(mean_ch, "m", "spectral_kurtosis"), "obs_id").join(slice_kurtosis(df), "obs_id")
-    return out
+    lines = means.join(bg.select("obs_id", "bg_med", noise.alias("noise")), "obs_id")
+    m, med, n = F.col("m"), F.first("bg_med"), F.count("*")
+    hit = m > F.col("bg_med") + 5 * F.col("noise")
+    at = F.when(hit, F.col("ch"))
+    shape = lines.groupBy("obs_id").agg(
+        F.least(F.greatest((F.max(m) - med) / F.first("noise"), F.lit(0.0)), F.lit(1e4)).alias("peak_snr"),
+        F.least(F.greatest((F.sum(m) - med * n) / F.first("noise"), F.lit(0.0)), F.lit(1e6)).alias("integrated_snr"),
+        F.avg(hit.cast("double")).alias("occupancy"), F.coalesce((F.max(at) - F.min(at) + 1) / n, F.lit(0.0)).alias("bandwidth"),
+        _kurtosis("m").alias("spectral_kurtosis"),
+    )
+    out = shape.join(gini(means), "obs_id").join(drift_rate(rows, bg), "obs_id").join(flatness(means), "obs_id")
+    return out.join(sub_bin_flatness(means), "obs_id").join(slice_kurtosis(rows), "obs_id")
 
 
 def flatness(mean_ch: DataFrame, name: str = "spectral_flatness") -> DataFrame:
@@ -200,35 +219,41 @@ def sub_bin_flatness(mean_ch: DataFrame) -> DataFrame:
     return flatness(near, "sub_bin_flatness")
 
 
-def kurtosis_of(df: DataFrame, value: str, name: str) -> DataFrame:
-    """(obs_id, name): fourth moment over squared variance less 3, bounded."""
-    k = F.kurtosis(value)
-    return df.groupBy("obs_id").agg(F.least(F.greatest(F.coalesce(k, F.lit(-3.0)), F.lit(-10.0)), F.lit(1e4)).alias(name))
+def _kurtosis(value: str) -> Column:
+    """Fourth moment over squared variance less 3, bounded; 0 without variance."""
+    v = F.var_pop(value)
+    k = (F.kurtosis(value) + 3) * v * v / (v * v + 1e-12) - 3
+    return F.when(v > 0, F.least(F.greatest(k, F.lit(-10.0)), F.lit(1e4))).otherwise(0.0)
 
 
 def slice_kurtosis(df: DataFrame) -> DataFrame:
     """Kurtosis over the channels of the time with the largest sample (the
     first of equals)."""
     best = df.groupBy("obs_id").agg(F.max(F.struct("power", (-F.col("t")).alias("i")))["i"].alias("i"))
-    return kurtosis_of(df.join(best, "obs_id").where(F.col("t") == -F.col("i")), "power", "slice_kurtosis")
+    return df.join(best, "obs_id").where(F.col("t") == -F.col("i")).groupBy("obs_id").agg(_kurtosis("power").alias("slice_kurtosis"))
 
 
 def narrowband_window(df: DataFrame, half_chan: int = 4, half_time: int = 4) -> DataFrame:
     """The samples around the brightest one: of the largest sample's time the
-    strongest channel, and what lies within the half widths."""
-    n = df.groupBy("obs_id").agg((F.max("ch") + 1).alias("_nc"), F.max(F.struct("power", (-F.col("t")).alias("t"), (-F.col("ch")).alias("c"))).alias("b"))
+    strongest channel, and what lies within the half widths. Where that leaves
+    fewer than two times, all times stay."""
+    n = df.groupBy("obs_id").agg(
+        (F.max("ch") + 1).alias("_nc"), (F.max("t") + 1).alias("_nt"), F.max(F.struct("power", (-F.col("t")).alias("t"), (-F.col("ch")).alias("c"))).alias("b")
+    )
     half = F.greatest(F.lit(half_chan), F.floor(F.col("_nc") / 200))
-    near = df.join(n, "obs_id").where((F.abs(F.col("t") + F.col("b.t")) <= half_time) & (F.abs(F.col("ch") + F.col("b.c")) <= half))
-    return near.drop("_nc", "b")
+    best = -F.col("b.t")
+    alone = F.least(F.col("_nt"), best + half_time + 1) - F.greatest(F.lit(0), best - half_time) < 2
+    near = df.join(n, "obs_id").where((alone | (F.abs(F.col("t") - best) <= half_time)) & (F.abs(F.col("ch") + F.col("b.c")) <= half))
+    return near.drop("_nc", "_nt", "b")
 
 
 def narrowband_score(d: DataFrame) -> DataFrame:
     """Adds narrowband: the larger of a spectral and a carrier score."""
     unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    conc, flat, snr = unit(F.col("concentration")), 1 - unit(F.col("spectral_flatness")), unit(F.log10(1 + F.greatest("peak_snr", F.lit(0.0))) / 4)
-    wide, sub = 1 - unit(F.col("bandwidth")), 1 - unit(F.col("sub_bin_flatness"))
-    spectral = 0.25 * conc + 0.2 * flat + 0.15 * snr + 0.2 * wide + 0.2 * sub
-    carrier = 0.4 * snr + 0.35 * wide + 0.25 * conc
+    conc, flat, sub = unit(F.col("concentration")), 1 - unit(F.col("spectral_flatness")), 1 - unit(F.col("sub_bin_flatness"))
+    kurt, slice_, narrow = unit(F.col("spectral_kurtosis") / 20), unit(F.col("slice_kurtosis") / 20), 1 - unit(F.col("occupancy"))
+    spectral = 0.25 * conc + 0.2 * flat + 0.15 * kurt + 0.2 * sub + 0.2 * slice_
+    carrier = 0.4 * kurt + 0.35 * slice_ + 0.25 * narrow
     return d.withColumn("narrowband", F.greatest(spectral, carrier))
 
 
@@ -255,5 +280,5 @@ def extract_features(df: DataFrame, t_samp: float, dm_max: float, n_dm: int) ->
     norm = normalize_bandpass(df)
     power = channel_power(df)
     best = dm_best(dm_sweep(norm, t_samp, dm_max, n_dm, "norm")).drop("dm0_snr")
-    sk = spectral_kurtosis(power).groupBy("obs_id").agg(F.avg("sk").alias("spectral_kurtosis"))
+    sk = spectral_kurtosis(power).withColumnRenamed("sk", "log_spectral_kurtosis")
     return best.join(band_shape(power), "obs_id").join(occupancy(norm), "obs_id").join(tone_persistence(df, power).drop("peak_ch"), "obs_id").join(sk, "obs_id")

@@ -15,7 +15,7 @@ from ..session import prepared
 
 SURVEY = tuple(f"f{i}" for i in range(1, 9))
 #: Grid of the dynamic spectra: time bins (days), channels, MHz, seconds.
-N_TIME, N_CHAN, F_TOP, F_STEP, T_SAMP = 30, 16, 1500.0, 20.0, 0.01
+N_TIME, N_CHAN, F_TOP, F_STEP, T_SAMP = 31, 16, 1500.0, 20.0, 0.01
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -154,7 +154,7 @@ def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     without events hold 0."""
     e = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("obs_id"), (F.dayofmonth("ts") - 1).alias("t"), (F.col("user_id") % N_CHAN).cast("int").alias("ch"), "value"
-    ).where(F.col("t") < N_TIME)
+    )
     cells = e.groupBy("obs_id", "t", "ch").agg(F.sum("value").alias("power"))
     obs = cells.select("obs_id").distinct()
     grid = obs.select("obs_id", F.explode(F.sequence(F.lit(0), F.lit(N_TIME - 1))).alias("t")).select(
@@ -168,7 +168,7 @@ def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
 WATERFALL = f"""
 cells AS (
   SELECT event_type AS obs_id, CAST(day(ts) - 1 AS INTEGER) AS t, CAST(user_id % {N_CHAN} AS INTEGER) AS ch, sum(value) AS power
-  FROM events WHERE day(ts) - 1 < {N_TIME} GROUP BY ALL
+  FROM events GROUP BY ALL
 ), waterfall AS (
   SELECT o.obs_id, CAST(t.t AS INTEGER) AS t, CAST(c.ch AS INTEGER) AS ch, {F_TOP}::DOUBLE - c.ch * {F_STEP}::DOUBLE AS freq_mhz, round(coalesce(power, 0.0), 6) AS power
   FROM (SELECT DISTINCT obs_id FROM cells) o, (SELECT unnest(range({N_TIME})) AS t) t, (SELECT unnest(range({N_CHAN})) AS ch) c
