@@ -379,17 +379,17 @@ def _apart(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Groups:
-    """Works on groups (g, b) of candidates by the texts of their members."""
+    """Works on groups (g, b, n) of candidates, n the size of b's set, by the
+    texts of their members."""
 
-    def __init__(self, texts: DataFrame, sizes: DataFrame):
-        self.texts, self.sizes = texts, sizes.select(F.col("node").alias("b"), "n")
+    def __init__(self, texts: DataFrame):
+        self.texts = texts
 
     def sized(self, groups: DataFrame) -> DataFrame:
         """(g, b, n, size, small); groups of one member go."""
-        rows = groups.join(self.sizes, "b")
-        of = rows.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("total")).where("size > 1")
+        of = groups.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("total")).where("size > 1")
         small = (F.col("size") == 2) | ((F.col("size") <= SMALL) & (F.col("total") <= SMALL_SIZE))
-        return rows.join(of, "g").select("g", "b", "n", "size", small.alias("small"))
+        return groups.join(of, "g").select("g", "b", "n", "size", small.alias("small"))
 
     def tested(self, sized: DataFrame) -> DataFrame:
         """Links (u, v) of the small groups."""
@@ -425,7 +425,7 @@ def sure_links(apart: DataFrame) -> DataFrame:
 
 
 def next_groups(apart: DataFrame, labels: DataFrame) -> DataFrame:
-    """(g, b): members of different components that share a difference which two
+    """(g, b, n): members of different components that share a difference which two
     that link must share. The closest member's component needs no pairs within;
     a pair has one member outside it, and the members of a pair have at least
     (e + f) / (2 (DEN + NUM)) differences in common, e and f their excesses. What
@@ -441,8 +441,8 @@ def next_groups(apart: DataFrame, labels: DataFrame) -> DataFrame:
     most = F.floor((DEN - NUM) * (F.col("n") + F.floor(F.col("n") * DEN / NUM)) / (DEN + NUM))
     least = F.greatest(F.lit(1), F.ceil((F.col("e") + other) / both), F.col("d") - most)
     held = rows.withColumn("len", (F.col("d") - least + 1).cast("int")).where("len > 0")
-    told = held.select("g", "b", "comp", "out", "e", "d", F.posexplode(F.slice("first", 1, F.col("len"))).alias("i", "t"))
-    told = told.select(F.xxhash64("g", "t").alias("k"), "b", "comp", "out", "e", (F.col("d") - F.col("i")).alias("left"))
+    told = held.select("g", "b", "n", "comp", "out", "e", "d", F.posexplode(F.slice("first", 1, F.col("len"))).alias("i", "t"))
+    told = told.select(F.xxhash64("g", "t").alias("k"), "b", "n", "comp", "out", "e", (F.col("d") - F.col("i")).alias("left"))
     of = W.partitionBy("k")
     for _ in range(2):  # who goes may take away what another one had
         theirs = F.when(F.col("out"), F.min("e").over(of)).otherwise(F.min(F.when(F.col("out"), F.col("e"))).over(of))
@@ -451,8 +451,8 @@ def next_groups(apart: DataFrame, labels: DataFrame) -> DataFrame:
         live = (F.min("comp").over(of) < F.max("comp").over(of)) & F.max("out").over(of)
         told = told.withColumn("live", live & enough).where("live").drop("live")
     size, members = F.count("*").over(of), F.sum(F.xxhash64("b").cast("decimal(20,0)")).over(of)
-    lists = told.select("k", "b", size.alias("size"), members.alias("members")).where("size > 1")
-    return lists.select(F.when(F.col("size") <= SMALL, F.xxhash64("members", "size")).otherwise(F.col("k")).alias("g"), "b").distinct()
+    lists = told.select("k", "b", "n", size.alias("size"), members.alias("members")).where("size > 1")
+    return lists.select(F.when(F.col("size") <= SMALL, F.xxhash64("members", "size")).otherwise(F.col("k")).alias("g"), "b", "n").distinct()
 
 
 def components_of(docs: DataFrame) -> DataFrame:
@@ -468,9 +468,10 @@ def components_of(docs: DataFrame) -> DataFrame:
     pairs = stored(dealt.mapInPandas(_shared, "g long, b long").distinct())
 
     groups = pairs.unionByName(pairs.select("g", F.col("g").alias("b")).distinct())
-    wanted = groups.select(F.col("b").alias("node")).distinct().join(one.select("node", "h"), "node")
+    groups = stored(groups.join(one.select(F.col("node").alias("b"), "n", "h"), "b"))
+    wanted = groups.select("b", "h").distinct()
     texts = _rows(docs).groupBy("h").agg(F.first("text").alias("text")).join(wanted, "h")
-    work = _Groups(stored(texts.select(F.col("node").alias("b"), "text")), one)
+    work, groups = _Groups(stored(texts.select("b", "text"))), groups.drop("h")
     labels = spark.createDataFrame([], "node long, comp long")
     while not groups.isEmpty():
         sized = stored(work.sized(groups))
