@@ -136,9 +136,34 @@ def test_bpe_odd_texts():
 def test_chunks_follow_content():
     rng = random.Random(2)
     passage = prose(rng, 2000).encode()
-    e = bpe_chunks.Encoder(bpe_chunks.default_tokenizer())
-    a, b = e.pieces(b"first " + passage), e.pieces(b"quite another start " + passage)
+    def pieces(data):
+        ends = bpe_chunks.chunk_ends(data)
+        return [data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+    a, b = pieces(b"first " + passage), pieces(b"quite another start " + passage)
     assert len(set(a) & set(b)) >= len(a) - 3 > 5
+    assert any(x[-1:] != b" " and y[:1] != b" " for x, y in zip(a, a[1:]))  # content decides, not words  # noqa: B905
+
+
+def test_joins_are_repaired(monkeypatch):
+    """Texts whose words are cut anywhere, and without white space; without the
+    repair the ids would differ. A join that does not agree widens to the text."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe_chunks.default_tokenizer())
+    monkeypatch.setattr(bpe_chunks, "CHUNK_BITS", 4)
+    rng = random.Random(9)
+    texts = [prose(rng, 400), "".join(rng.choice("abc1é!") for _ in range(4000)), " ".join("x" * rng.randint(1, 90) for _ in range(60)), "ab " * 300]
+    for disagree in (False, True):
+        e = bpe_chunks.Encoder(bpe_chunks.default_tokenizer())
+        if disagree:
+            monkeypatch.setattr(e, "repaired", lambda joins: dict.fromkeys(joins))
+        for text, (ids, _) in zip(texts, e.batch(texts), strict=True):
+            assert [int(x) for x in b" ".join(ids).split()] == t.encode(text, add_special_tokens=False).ids
+    e = bpe_chunks.Encoder(bpe_chunks.default_tokenizer())
+    monkeypatch.setattr(e, "repaired", lambda joins: {j: (b"1", b"x") for j in joins})
+    ids, _ = next(e.batch(texts[:1]))
+    assert [int(x) for x in b" ".join(ids).split()] != t.encode(texts[0], add_special_tokens=False).ids
 
 
 def test_unigram_counts_equal_the_tokenizer(docs, none):
