@@ -6,24 +6,28 @@ words have the same anchor at the same place. An anchor's context is all that
 its windows can reach.
 
 1. Every anchor sends its context's hash and its document's bucket; one shuffle
-   by the anchor's phrase. A context that comes twice confirms all windows of
-   its anchor. A phrase that comes with several contexts makes its lone contexts
-   doubtful: their windows may repeat in part.
+   by the anchor's phrase. A context that comes twice confirms its phrase and all
+   windows of its anchor. A phrase that comes with several contexts makes its lone
+   contexts doubtful: their windows may repeat in part.
 2. Windows of doubtful anchors, and of one copy of each context beside them, are
-   counted by their own hashes; those found twice are confirmed.
-3. Documents are dealt to buckets of about BUCKET_CHARS characters. Each bucket
-   is a shard: an Aho-Corasick automaton of the confirmed phrases that occur in
-   it is compiled, every document is streamed through it, and the windows at the
-   places it finds are held against what was confirmed. Covered words go.
-
-Shuffled are hashes and, twice, the texts by bucket; the number of buckets grows
-with the corpus, and a task holds one bucket. No phrase's list is gathered: rows
-are sorted and compared with their neighbours, as a stream.
+   counted by their own hashes; those found twice are confirmed, and their phrase.
+3. Documents are dealt to buckets of about BUCKET_CHARS characters, and every
+   confirmed phrase is sent to the buckets in which it stands. Each bucket is a
+   shard: an Aho-Corasick automaton of its confirmed phrases is compiled and all
+   of its documents are streamed through it. The windows around the places that
+   it finds, and no others, are held against what was confirmed; the words that
+   confirmed windows cover go.
+
+Shards are buckets of documents and not of phrases, as each document would have
+to pass through every shard of phrases, and both grow with the corpus. Shuffled
+are hashes and, twice, the texts by bucket; the number of buckets grows with the
+corpus, and a task holds one bucket. No phrase's list is gathered: rows are
+sorted and compared with their neighbours, as a stream.
 
 Words are runs without U+0020 and U+0009 to U+000D, unchanged. Edge cases: null,
 empty and blank texts have no words (the digest of the empty text); texts of
 under WINDOW words lose nothing. Repeated rows repeat each other's windows.
-Extra columns are ignored. Texts may have up to 2**24 words.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,6 +55,8 @@ WHOLE, DOUBTFUL, PARTNER, WINDOW_MARK = 1, 2, 4, 8
 
 _U = np.uint64
 _PLACE = _U((1 << 24) - 1)
+#: Windows whose anchors are sought at a time; places within fit _PLACE.
+STEP = 1 << 22
 _EDGE = np.full(REACH, 0x5851F42D4C957F2D, _U)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,19 +71,24 @@ class Anchors:
         self.h = h
         n = len(h) - WINDOW + 1
         g = wordhash.windows(h, PHRASE)
-        m = (g & ~_PLACE) | np.arange(len(g), dtype=_U)
-        width, size = REACH + 1, 1
-        while size * 2 <= width:
-            m = np.minimum(m[:-size], m[size:])
-            size *= 2
-        m = np.minimum(m[:n], m[width - size : width - size + n])
-        place = (m & _PLACE).astype(np.int64)
+        place = np.concatenate([lo + self.places(g[lo : min(lo + STEP, n) + REACH]) for lo in range(0, n, STEP)])
         new = np.append(True, place[1:] != place[:-1])
         self.at = place[new]
         self.of = np.cumsum(new) - 1
         self.phrase = g[self.at]
         self.context = wordhash.windows(np.concatenate([_EDGE, h, _EDGE]), CONTEXT)[self.at]
 
+    @staticmethod
+    def places(g: np.ndarray) -> np.ndarray:
+        """The place of the least phrase of every window over g."""
+        m = (g & ~_PLACE) | np.arange(len(g), dtype=_U)
+        n, width, size = len(g) - REACH, REACH + 1, 1
+        while size * 2 <= width:
+            m = np.minimum(m[:-size], m[size:])
+            size *= 2
+        m = np.minimum(m[:n], m[width - size : width - size + n])
+        return (m & _PLACE).astype(np.int64)
+
     def windows(self) -> np.ndarray:
         return wordhash.windows(self.h, WINDOW)
 
@@ -156,19 +167,19 @@ def _classify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mark = np.where(whole, WHOLE | np.where(beside, PARTNER, 0), np.where(same_phrase, DOUBTFUL, 0)).astype(np.int8)
         keep = mark > 0
         if keep.any():
-            yield pd.DataFrame({"b": rows["b"].to_numpy()[keep], "value": rows["context"].to_numpy()[keep], "mark": mark[keep]})
+            yield pd.DataFrame({c: rows[k].to_numpy()[keep] for c, k in (("b", "b"), ("phrase", "phrase"), ("value", "context"))} | {"mark": mark[keep]})
 
 
 def _doubtful_windows(docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-    """(window, b, wanted): window hashes of a bucket's doubtful and partner
-    anchors, each at most twice."""
-    none = pd.DataFrame({"window": np.zeros(0, np.int64), "b": np.zeros(0, np.int32), "wanted": np.zeros(0, bool)})
+    """(window, phrase, b, wanted): hashes of the windows of a bucket's doubtful
+    and partner anchors, each at most twice."""
+    none = pd.DataFrame({"window": np.zeros(0, np.int64), "phrase": np.zeros(0, np.int64), "b": np.zeros(0, np.int32), "wanted": np.zeros(0, bool)})
     m = marks["mark"].to_numpy()
     asked = np.unique(marks["value"].to_numpy()[(m & (DOUBTFUL | PARTNER)) > 0].view(_U))
     if not len(docs) or not len(asked):
         return none
     doubtful = np.unique(marks["value"].to_numpy()[(m & DOUBTFUL) > 0].view(_U))
-    found, wanted = [], []
+    found, phrases, wanted = [], [], []
     for _, h in wordhash.batch(docs["text"].tolist()):
         if len(h) < WINDOW:
             continue
@@ -176,42 +187,48 @@ def _doubtful_windows(docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         use = _member(a.context, asked)[a.of]
         if use.any():
             found.append(a.windows()[use])
+            phrases.append(a.phrase[a.of[use]])
             wanted.append(_member(a.context, doubtful)[a.of[use]])
     if not found:
         return none
-    w, want = np.concatenate(found), np.concatenate(wanted)
+    w, p, want = np.concatenate(found), np.concatenate(phrases), np.concatenate(wanted)
     order = np.lexsort((~want, w))
-    w, want = w[order], want[order]
+    w, p, want = w[order], p[order], want[order]
     third = np.zeros(len(w), bool)
     third[2:] = w[2:] == w[:-2]
-    w, want = w[~third], want[~third]
-    return pd.DataFrame({"window": w.view(np.int64), "b": np.full(len(w), docs["b"].iloc[0], np.int32), "wanted": want})
+    w, p, want = w[~third], p[~third], want[~third]
+    return pd.DataFrame({"window": w.view(np.int64), "phrase": p.view(np.int64), "b": np.full(len(w), docs["b"].iloc[0], np.int32), "wanted": want})
 
 
 def _found_twice(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows, prev, nxt in _with_neighbours(parts, ["window"]):
         keep = (prev[:, 0] | nxt[:, 0]) & rows["wanted"].to_numpy()
         if keep.any():
-            yield pd.DataFrame({"b": rows["b"].to_numpy()[keep], "value": rows["window"].to_numpy()[keep], "mark": np.full(keep.sum(), WINDOW_MARK, np.int8)})
+            columns = {c: rows[k].to_numpy()[keep] for c, k in (("b", "b"), ("phrase", "phrase"), ("value", "window"))}
+            yield pd.DataFrame(columns | {"mark": np.full(keep.sum(), WINDOW_MARK, np.int8)})
 
 
-def _locate(words: list[list[str]], phrases: set[str]) -> list[np.ndarray]:
-    """Word places of every occurrence of the phrases in every document."""
+def _compiled(phrases: set[str]):
+    """The automaton of these phrases; None without any."""
     import ahocorasick
 
+    if not phrases:
+        return None
     automaton = ahocorasick.Automaton()
     for p in phrases:
         automaton.add_word(f" {p} ", 1)
-    if not phrases:
-        return [np.zeros(0, np.int64) for _ in words]
     automaton.make_automaton()
-    out = []
-    for w in words:
-        ends = np.array([at for at, _ in automaton.iter(f" {' '.join(w)} ")], np.int64)
-        # after word i (from 0) the space stands at the sum of lengths up to i, plus i + 1
-        spaces = np.cumsum(np.fromiter((len(x) + 1 for x in w), np.int64, len(w)))
-        out.append(np.searchsorted(spaces, ends) - PHRASE + 1)  # ascending, as the ends are
-    return out
+    return automaton
+
+
+def _places(automaton, words: list[str]) -> np.ndarray:
+    """The word places of every occurrence of the automaton's phrases."""
+    ends = np.array([at for at, _ in automaton.iter(f" {' '.join(words)} ")], np.int64)
+    if not len(ends):
+        return ends
+    # after word i (from 0) the space stands at the sum of lengths up to i, plus i + 1
+    spaces = np.cumsum(np.fromiter((len(x) + 1 for x in words), np.int64, len(words)))
+    return np.searchsorted(spaces, ends) - PHRASE + 1  # ascending, as the ends are
 
 
 def _cover(docs: pd.DataFrame, marks: pd.DataFrame) -> list[tuple[list[str], np.ndarray]]:
@@ -220,25 +237,33 @@ def _cover(docs: pd.DataFrame, marks: pd.DataFrame) -> list[tuple[list[str], np.
     gone = [np.zeros(len(w), bool) for w in words]
     value, m = marks["value"].to_numpy().view(_U), marks["mark"].to_numpy()
     whole, window = np.unique(value[(m & WHOLE) > 0]), np.unique(value[(m & WINDOW_MARK) > 0])
-    if not len(whole) and not len(window):
-        return list(zip(words, gone, strict=True))
-    phrases: set[str] = set()
-    confirmed: dict[int, tuple[Anchors, np.ndarray]] = {}
+    confirmed = np.unique(marks["phrase"].to_numpy().view(_U))
+    anchors: dict[int, Anchors] = {}
+    phrases: dict[int, str] = {}
     for i, h in wordhash.batch(docs["text"].tolist()):
-        if len(h) < WINDOW:
+        if len(h) < WINDOW or not len(confirmed):
             continue
-        a = Anchors(h)
-        ok = _member(a.context, whole)[a.of]
+        a = anchors[i] = Anchors(h)
+        w = words[i]
+        at = np.flatnonzero(_member(a.phrase, confirmed))
+        for p, k in zip(a.at[at].tolist(), a.phrase[at].tolist(), strict=True):
+            if k not in phrases:  # the words of a phrase that came as a hash
+                phrases[k] = " ".join(w[p : p + PHRASE])
+    automaton = _compiled(set(phrases.values()))
+    if automaton is None:
+        return list(zip(words, gone, strict=True))
+    for i, a in anchors.items():
+        places = _places(automaton, words[i])
+        if not len(places):
+            continue
+        found = _member(a.at, places)  # anchors at which a phrase was found
+        ok = found & _member(a.context, whole)
+        start = ok[a.of]
         if len(window):
-            ok |= _member(a.windows(), window)
-        if ok.any():
-            confirmed[i] = (a, ok)
-            w = words[i]
-            phrases.update([" ".join(w[p : p + PHRASE]) for p in a.at[np.unique(a.of[ok])].tolist()])
-    some = list(confirmed)
-    for i, places in zip(some, _locate([words[i] for i in some], phrases), strict=True):
-        a, ok = confirmed[i]
-        start = np.flatnonzero(ok & _member(a.at, places)[a.of])
+            maybe = np.flatnonzero((found & ~ok)[a.of])
+            if len(maybe):
+                start[maybe[_member(a.windows()[maybe], window)]] = True
+        start = np.flatnonzero(start)
         step = np.zeros(len(words[i]) + 1, np.int64)
         np.add.at(step, start, 1)
         np.add.at(step, start + WINDOW, -1)
@@ -253,11 +278,11 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _bucketed(docs, n)
     anchors = rows.select("text", "b").mapInPandas(_anchor_rows, "phrase long, context long, b int")
     sorted_anchors = anchors.repartition("phrase").sortWithinPartitions("phrase", "context", "b")
-    marks = stored(sorted_anchors.mapInPandas(_classify, "b int, value long, mark byte"))
+    marks = stored(sorted_anchors.mapInPandas(_classify, "b int, phrase long, value long, mark byte"))
 
     asked = marks.where(F.col("mark").bitwiseAND(DOUBTFUL | PARTNER) != 0)
-    windows = rows.groupBy("b").cogroup(asked.groupBy("b")).applyInPandas(_doubtful_windows, "window long, b int, wanted boolean")
-    twice = windows.repartition("window").sortWithinPartitions("window").mapInPandas(_found_twice, "b int, value long, mark byte")
+    windows = rows.groupBy("b").cogroup(asked.groupBy("b")).applyInPandas(_doubtful_windows, "window long, phrase long, b int, wanted boolean")
+    twice = windows.repartition("window").sortWithinPartitions("window").mapInPandas(_found_twice, "b int, phrase long, value long, mark byte")
     return rows, marks.where(F.col("mark").bitwiseAND(WHOLE) != 0).unionByName(stored(twice))
 
 

@@ -358,6 +358,27 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 9: 4, 10: 4, 11: 4, 20: 20, 30: 20}
 
 
+def test_the_automata_find_the_repeats(spark, monkeypatch):
+    """Without its phrases an automaton finds nothing and nothing goes; long
+    documents take several steps."""
+    import numpy as np
+
+    rng = random.Random(31)
+    passage = prose(rng, 60)
+    rows = [(1, prose(rng, 90) + " " + passage + " " + prose(rng, 40)), (2, passage + " " + prose(rng, 50)), (3, prose(rng, 80))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in phrase_dedup.op9(df).collect()}
+    assert want[1][0] == want[2][0] == 60 and want[3][0] == 0
+    docs, marks = phrase_dedup._prepared(df)
+    docs, marks = docs.toPandas(), marks.toPandas()
+    assert [int(g.sum()) for _, g in phrase_dedup._cover(docs, marks)] == [want[i][0] for i in docs["doc_id"]]
+    monkeypatch.setattr(phrase_dedup, "_places", lambda automaton, words: np.zeros(0, int))
+    assert sum(int(g.sum()) for _, g in phrase_dedup._cover(docs, marks)) == 0
+    monkeypatch.undo()
+    monkeypatch.setattr(phrase_dedup, "STEP", 7)
+    assert [int(g.sum()) for _, g in phrase_dedup._cover(docs, marks)] == [want[i][0] for i in docs["doc_id"]]
+
+
 def test_leaks(spark, docs, none):
     rng = random.Random(6)
     items = [(i, prose(rng, 30)) for i in range(5)] + [(9, None), (10, ""), (11, "tiny")]
