@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .common import WORD, beside, stored
-from .components import merged
+from .components import components, merged
 
 SHINGLE = 5
 #: Similarity as a fraction NUM / DEN: link when DEN * common >= NUM * union.
@@ -61,7 +61,7 @@ SLACK = 1.1
 CHANCE = (30_000, 4, 1)
 #: Groups of up to SMALL members and SMALL_SIZE shingles are tested at once; a
 #: centre comes from SAMPLE members; PART members share a centre's copy.
-SMALL, SMALL_SIZE, SAMPLE, PART = 64, 4_000_000, 32, 256
+SMALL, SMALL_SIZE, SAMPLE, PART = 1024, 4_000_000, 32, 256
 #: About so many signature rows go to one partition.
 ROWS_PER_PARTITION = 1_500_000
 
@@ -378,6 +378,19 @@ def _apart(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def joined(groups: DataFrame) -> DataFrame:
+    """(g, b, n) in which large groups are one if the hub of one is a member of
+    the other: a set of many variants has many hubs, and its members would be
+    compared with each of them."""
+    hubs = stored(groups.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > SMALL).select(F.col("g").alias("b")))
+    if hubs.isEmpty():
+        return groups
+    large = groups.join(hubs.select(F.col("b").alias("g")), "g")
+    labels = components(large.join(hubs, "b").select(F.col("g").alias("u"), F.col("b").alias("v")))
+    named = groups.join(labels.select(F.col("node").alias("g"), "comp"), "g", "left")
+    return named.select(F.coalesce("comp", "g").alias("g"), "b", "n").distinct()
+
+
 class _Groups:
     """Works on groups (g, b, n) of candidates, n the size of b's set, by the
     texts of their members."""
@@ -433,12 +446,12 @@ def next_groups(apart: DataFrame, labels: DataFrame) -> DataFrame:
     both = 2 * (DEN + NUM)
     comp = labels.select(F.col("node").alias("b"), "comp")
     rows = apart.join(comp, "b", "left").withColumn("comp", F.coalesce("comp", "b")).withColumn("e", _excess())
-    closest = stored(rows.groupBy("g").agg(F.min(F.struct("e", "b", "comp")).alias("c")))
+    closest = stored(rows.groupBy("g").agg(F.min(F.struct("e", "b", "comp")).alias("c"), F.max("n").alias("n_hi")))
     rows = beside(rows, closest, "g").withColumn("out", F.col("comp") != F.col("c.comp"))
     out = stored(rows.where("out").groupBy("g").agg(F.min("e").alias("e_out")))
     rows = beside(rows, out, "g")  # groups within one component go
     other = F.when(F.col("out"), F.col("c.e")).otherwise(F.col("e_out"))
-    most = F.floor((DEN - NUM) * (F.col("n") + F.floor(F.col("n") * DEN / NUM)) / (DEN + NUM))
+    most = F.floor((DEN - NUM) * (F.col("n") + F.least(F.floor(F.col("n") * DEN / NUM), F.col("n_hi"))) / (DEN + NUM))
     least = F.greatest(F.lit(1), F.ceil((F.col("e") + other) / both), F.col("d") - most)
     held = rows.withColumn("len", (F.col("d") - least + 1).cast("int")).where("len > 0")
     told = held.select("g", "b", "n", "comp", "out", "e", "d", F.posexplode(F.slice("first", 1, F.col("len"))).alias("i", "t"))
@@ -470,8 +483,9 @@ def components_of(docs: DataFrame) -> DataFrame:
     groups = pairs.unionByName(pairs.select("g", F.col("g").alias("b")).distinct())
     groups = stored(groups.join(one.select(F.col("node").alias("b"), "n", "h"), "b"))
     wanted = groups.select("b", "h").distinct()
+    groups = stored(joined(groups.drop("h")))
     texts = _rows(docs).groupBy("h").agg(F.first("text").alias("text")).join(wanted, "h")
-    work, groups = _Groups(stored(texts.select("b", "text"))), groups.drop("h")
+    work = _Groups(stored(texts.select("b", "text")))
     labels = spark.createDataFrame([], "node long, comp long")
     while not groups.isEmpty():
         sized = stored(work.sized(groups))

@@ -340,7 +340,7 @@ def test_groups_over_the_small_size(spark, monkeypatch):
     rows += [(5000, rows[0][1].upper()), (None, rows[3][1]), (None, "only null ids hold these six words"), (5001, rows[5][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = linked([(10**6 + i if k is None else k, t) for i, (k, t) in enumerate(rows)])
-    for small, part in ((64, 256), (4, 7)):
+    for small, part in ((64, 64), (4, 7)):
         monkeypatch.setattr(jaccard_join, "SMALL", small)
         monkeypatch.setattr(jaccard_join, "PART", part)
         got = {r["doc_id"]: r["component_id"] for r in jaccard_join.op10(df).collect() if r["doc_id"] is not None}
