@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 #: A chunk has 2**CHUNK_BITS bytes on average. Texts of a batch have about
 #: BATCH_BYTES; longer words than MAX_WORD are not kept.
-CHUNK_BITS, BATCH_BYTES, MAX_WORD = 9, 1 << 21, 256
+CHUNK_BITS, BATCH_BYTES, MAX_WORD = 11, 1 << 21, 256
 #: Bounds of a worker's stores: words, and bytes of chunks with their tokens.
 MAX_WORDS, MAX_CHUNK_BYTES = 700_000, 48 << 20
 
@@ -131,16 +131,19 @@ class Encoder:
         need: set[bytes] = set()
         for w in new:
             m = _PARTED.fullmatch(w) if parted else None
-            if m and w.isascii():
+            if m:
                 before, letters, after = m.groups()
                 letters = letters.lower()
             elif m := _PARTED_LATIN.fullmatch(w.decode()) if parted else None:
-                before, letters, after = (x.encode() for x in m.groups())
-                letters = letters.decode().lower().encode()
+                before, letters, after = m[1].encode(), m[2].lower().encode(), m[3].encode()
             if not m or before[-1:] == b"'":  # 's and the like are one pre-token
                 before, letters, after = b"", w, b""
             split.append((w, before, letters, after))
-            need.update((before, letters, after))
+            need.add(letters)
+            if before:
+                need.add(before)
+            if after:
+                need.add(after)
         known = self.parts
         if len(known) + len(need) > MAX_WORDS:
             known.clear()

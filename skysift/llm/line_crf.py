@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .toxicity import fit_linear, held_out, labelled_sample
 
-#: Bound of the labelled sample, by class, and of the lines read for training.
-MAX_PER_CLASS, MAX_LINES = 1200, 200
+#: Bound of the labelled sample, by class.
+MAX_PER_CLASS = 1200
 PADDED = 40_000
 THRESHOLD = 0.5
 
@@ -182,8 +182,8 @@ def _compact(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [features(t) for t in part["text"]]
         yield pd.DataFrame({
             "h": part["h"], "y": part["y"],
-            "x": [x[:MAX_LINES].astype(np.float16).tobytes() for x, _ in rows],
-            "size": [z[:MAX_LINES].astype(np.float32).tobytes() for _, z in rows],
+            "x": [x.astype(np.float16).tobytes() for x, _ in rows],
+            "size": [z.astype(np.float32).tobytes() for _, z in rows],
         })
 
 

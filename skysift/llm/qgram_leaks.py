@@ -94,6 +94,7 @@ class Index:
         self.k = np.array([budget(x) for x in m])
         self.need = m - Q + 1 - self.k * Q
         self.width = int((m + self.k).max())
+        self.shift = self.width + 2  # no band starts further before a text
         self.least = int(self.need.min()) if len(self.patterns) else 1 << 30
 
     def regions(self, c: np.ndarray) -> list[tuple[int, int]]:
@@ -118,14 +119,15 @@ class Index:
             return []
         flat = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         p = self.which[flat]
-        diagonal = np.repeat(at, n) - self.place[flat] + (1 << 20)  # kept positive
+        shift = self.shift  # keeps diagonals positive
+        diagonal = np.repeat(at, n) - self.place[flat] + shift
         band = diagonal // (self.k[p] + 1)
         keys = np.concatenate([p * (1 << 40) + band, p * (1 << 40) + band - 1])
         keys, count = np.unique(keys, return_counts=True)
         p = keys >> 40
         keep = count >= self.need[p]
         p, band = p[keep], keys[keep] & ((1 << 40) - 1)
-        return list(zip(p.tolist(), (band * (self.k[p] + 1) - (1 << 20)).tolist(), strict=True))
+        return list(zip(p.tolist(), (band * (self.k[p] + 1) - shift).tolist(), strict=True))
 
     def search(self, text: str) -> dict[int, tuple[int, int, int]]:
         """item -> (edits, start, end) in characters, the best place."""

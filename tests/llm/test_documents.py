@@ -135,7 +135,7 @@ def test_bpe_odd_texts():
 
 def test_chunks_follow_content():
     rng = random.Random(2)
-    passage = prose(rng, 2000).encode()
+    passage = prose(rng, 8000).encode()
     def pieces(data):
         ends = bpe_chunks.chunk_ends(data)
         return [data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
