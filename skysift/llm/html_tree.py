@@ -10,8 +10,9 @@ labelled pages.
 
 Edge cases: a null or empty page, and one without article text, gives an empty
 text. Pages without markup are one block of the root. Unclosed and stray tags
-are taken as browsers take them, roughly. Repeated rows give repeated results.
-Extra columns are ignored.
+are taken as browsers take them, roughly; a page is read in time linear in its
+length, whatever its tags and quotes. Repeated rows give repeated results. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 import html as _entities
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,13 +31,12 @@ from pyspark.sql import functions as F
 
 from . import labelled_pages
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|</([a-zA-Z][^\s/>]*)[^>]*>"
-    r"""|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
-    r"|<([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+#: How a comment, a CDATA section, a declaration, an end tag and a start tag begin.
+_TOKEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|[!?]|/([a-zA-Z][^\s/>]*)|([a-zA-Z][^\s/>]*))")
+_OPAQUE = re.compile(r"<!--|<!\[CDATA\[")
+#: The rest of a start tag; a > in quotes does not end it.
+_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_MARKS = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _RAW = {"script", "style", "textarea", "template", "noscript", "iframe", "svg", "math", "object", "canvas", "select"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -83,6 +85,42 @@ N_EDGES = 4
 _BREAKS = {"nav", "header", "footer", "aside", "form", "head", "button"}
 
 
+class TagEnds:
+    """Where start tags end: at the first > outside quotes; if quotes that never
+    close leave none, at the first >."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.at: list[int] | None = None
+        self.ends: list[int] = []
+
+    def end(self, start: int) -> int:
+        """The place of the >, or -1."""
+        if self.at is None:
+            m = _REST.match(self.source, start)
+            if m:
+                return m.end() - 1
+            self._look_ahead()
+        i = bisect_right(self.at, start - 1)
+        end = self.ends[i] if i < len(self.at) else -1
+        return end if end >= 0 else self.source.find(">", start)
+
+    def _look_ahead(self) -> None:
+        """For every mark, the end of a tag that meets it outside quotes, from
+        the last mark to the first: one pass, however many tags miss their end."""
+        marks = [(m.start(), m.group()) for m in _MARKS.finditer(self.source)]
+        self.at = [k for k, _ in marks]
+        self.ends = [-1] * (len(marks) + 1)
+        later = {}
+        for i in range(len(marks) - 1, -1, -1):
+            k, c = marks[i]
+            if c == ">":
+                self.ends[i] = k
+            else:
+                self.ends[i] = self.ends[later[c] + 1] if c in later else -1
+                later[c] = i
+
+
 class Page:
     """Elements in page order, with parent, features and text; blocks: (the
     element that holds it, its text), in page order."""
@@ -92,11 +130,14 @@ class Page:
     def __init__(self, source: str):
         parent, tags, names, hidden = [-1], ["html"], [""], [False]
         stack = [0]
+        where: dict[str, list[int]] = defaultdict(list)  # the places in the stack of every open tag
+        solid = [0]  # and of those that are not inline
         started = False
         chars, linked, punct = [0], [0], [0]
         blocks: list[tuple[int, list[str]]] = []
         fresh = True
-        at, n = 0, len(source)
+        at, n, last = 0, len(source), source.rfind(">")
+        tag_ends = TagEnds(source)
         in_link = 0
 
         def text(raw: str) -> None:
@@ -114,10 +155,7 @@ class Page:
             elif fresh:
                 return
             if fresh:
-                holder = k
-                while holder and tags[holder] in _INLINE:
-                    holder = parent[holder]
-                blocks.append((holder, []))
+                blocks.append((stack[solid[-1]], []))
                 fresh = False
             blocks[-1][1].append(s)
 
@@ -125,9 +163,11 @@ class Page:
             nonlocal fresh, in_link
             while len(stack) > to:
                 t = tags[stack.pop()]
+                where[t].pop()
                 if t == "a":
                     in_link -= 1
                 if t not in _INLINE:
+                    solid.pop()
                     fresh = True
 
         while at < n:
@@ -135,22 +175,30 @@ class Page:
             if not m:
                 text(source[at:])
                 break
+            comment, section, end, tag = m.groups()
+            if not comment and not section and m.end() > last:  # nothing ends it: text, up to a comment
+                m = _OPAQUE.search(source, m.start())
+                stop = m.start() if m else n
+                text(source[at:stop])
+                at = stop
+                continue
             text(source[at : m.start()])
-            at = m.end()
-            end, tag = m.group(1), m.group(2) or m.group(4)
-            if end:
-                end = end.lower()
-                for i in range(len(stack) - 1, 0, -1):
-                    if tags[stack[i]] == end:
-                        close(i)
-                        break
+            if comment or section:
+                mark = "-->" if comment else "]]>"
+                stop = source.find(mark, m.end())
+                at = stop + 3 if stop >= 0 else n
                 continue
             if not tag:
+                at = source.find(">", m.end()) + 1
+                end = (end or "").lower()
+                if where[end]:
+                    close(where[end][-1])
                 continue
-            tag, attrs = tag.lower(), m.group(3) if m.group(2) else m.group(5)
+            stop = tag_ends.end(m.end())
+            tag, attrs, at = tag.lower(), source[m.end() : stop], stop + 1
             if tag in _RAW:
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 if not attrs.rstrip().endswith("/"):
+                    stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                     at = stop.end() if stop else n
                 if tag not in ("svg", "math"):
                     fresh = fresh or tag not in ("script", "style")
@@ -168,23 +216,12 @@ class Page:
                 names[0], hidden[0] = self_attrs
                 continue
             started = True
-            if tag in _ENDS_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    t = tags[stack[i]]
-                    if t == "p":
-                        close(i)
-                        break
-                    if t not in _INLINE:
-                        break
+            if tag in _ENDS_P and tags[stack[solid[-1]]] == "p":
+                close(solid[-1])
             if tag in _ENDS:
                 which, until = _ENDS[tag]
-                lowest = 0
-                for i in range(len(stack) - 1, 0, -1):
-                    t = tags[stack[i]]
-                    if t in until:
-                        break
-                    if t in which:
-                        lowest = i
+                bound = max((where[t][-1] for t in until if where[t]), default=0)
+                lowest = min((where[t][bisect_right(where[t], bound)] for t in which if where[t] and where[t][-1] > bound), default=0)
                 if lowest:
                     close(lowest)
             k = len(tags)
@@ -196,8 +233,9 @@ class Page:
             chars.append(0)
             linked.append(0)
             punct.append(0)
-            if attrs.endswith("/") and tag not in _INLINE:
-                pass  # as browsers do: the slash means nothing here
+            where[tag].append(len(stack))
+            if tag not in _INLINE:
+                solid.append(len(stack))
             stack.append(k)
             if tag == "a":
                 in_link += 1

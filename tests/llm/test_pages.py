@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 from skysift.llm import html_tree
 
@@ -52,3 +53,31 @@ def test_edge_cases(spark):
     assert got[7]["n_chars"] == len(" ".join(("long text here. " * 20000).split()))
     assert html_tree.op1(df).count() == len(rows)
     assert html_tree.op1(df.where("page_id < 0")).count() == 0
+
+
+def test_tag_ends_by_brute_force():
+    # the first > outside quotes; without one, the first >
+    def plain(s, at):
+        quote = ""
+        for k in range(at, len(s)):
+            if quote:
+                quote = "" if s[k] == quote else quote
+            elif s[k] in "\"'":
+                quote = s[k]
+            elif s[k] == ">":
+                return k
+        return s.find(">", at)
+
+    for n in range(1, 7):
+        for chars in itertools.product("a>\"'", repeat=n):
+            s = "".join(chars)
+            ends = html_tree.TagEnds(s)
+            assert [ends.end(k) for k in range(n)] == [plain(s, k) for k in range(n)]
+
+
+def test_hostile_pages_take_linear_time():
+    model = html_tree.train()
+    for unit, more in (("<a ", ""), ("<div>", "</x>"), ('<a ">" ', ""), ("<b>", "<hr>x"), ("<div>", "<li></li>"), ("<svg/>", ""), ("<!", "")):
+        start = time.perf_counter()
+        html_tree.main_text(unit * 30_000 + more * 30_000, model)
+        assert time.perf_counter() - start < 10, unit  # minutes where a tag is looked for among all the others
