@@ -161,8 +161,8 @@ def score(docs: DataFrame, labels: DataFrame, is_held_out: Column | None = None)
     known = F.broadcast(labelled_sample(labels, "quality", out, MAX_PER_CLASS).coalesce(1))
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # the lines' features, not the texts, are what the bounded sample brings in
-    sample = text.join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "y")
-    got = sample.mapInPandas(_compact, "h long, y int, x binary, size binary").toPandas().sort_values(["h", "y", "x"])
+    sample = text.join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "y", "weight")
+    got = sample.mapInPandas(_compact, "h long, y int, weight double, x binary, size binary").toPandas().sort_values(["h", "y", "x"])
     w, trans, curve = _train_compact(got)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,7 +181,7 @@ def _compact(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         rows = [features(t) for t in part["text"]]
         yield pd.DataFrame({
-            "h": part["h"], "y": part["y"],
+            "h": part["h"], "y": part["y"], "weight": part["weight"],
             "x": [x.astype(np.float16).tobytes() for x, _ in rows],
             "size": [z.astype(np.float32).tobytes() for _, z in rows],
         })
@@ -190,19 +190,20 @@ def _compact(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _train_compact(got: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     width = 3 * N_OWN + 3
     rows = [
-        (np.frombuffer(x, np.float16).reshape(-1, width).astype(float), np.frombuffer(z, np.float32).astype(float), int(y))
-        for x, z, y in zip(got["x"], got["size"], got["y"], strict=True)
+        (np.frombuffer(x, np.float16).reshape(-1, width).astype(float), np.frombuffer(z, np.float32).astype(float), int(y), t)
+        for x, z, y, t in zip(got["x"], got["size"], got["y"], got["weight"], strict=True)
     ]
     rows = [r for r in rows if len(r[0])]
     return train(rows)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 2):
-    """(node weights, transitions, curve) from (features, weights, label)."""
-    if len({y for _, _, y in rows}) < 2:
+def train(rows: list[tuple[np.ndarray, np.ndarray, int, float]], rounds: int = 2):
+    """(node weights, transitions, curve) from (features, weights, label, rows of
+    the table that this one stands for); the curve follows the table's shares."""
+    if len({r[2] for r in rows}) < 2:
         return np.zeros(3 * N_OWN + 3), np.zeros((2, 2)), np.zeros(2)
-    chains, sizes, truth = ([r[i] for r in rows] for i in range(3))
-    y = [np.full(len(x), t) for x, _, t in rows]
+    chains, sizes, truth, stands = ([r[i] for r in rows] for i in range(4))
+    y = [np.full(len(x), t) for x, _, t, _ in rows]
     w, trans = fit(chains, y)
     for _ in range(rounds):
         got = marginals([c @ w for c in chains], trans)
@@ -213,7 +214,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 2):
                     y[i] = good.astype(int)
         w, trans = fit(chains, y)
     q = quality(chains, sizes, w, trans)
-    return w, trans, fit_linear(_curve(q), np.asarray(truth, float), rounds=600, l2=1e-4)
+    return w, trans, fit_linear(_curve(q), np.asarray(truth, float), rounds=600, l2=1e-4, weight=np.asarray(stands, float))
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:

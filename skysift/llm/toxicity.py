@@ -1,15 +1,18 @@
 """Toxicity by weak supervision.
 
-1. Voters. Words and word beginnings that mark toxic documents are counted over
-   a bounded sample of labelled rows; the best ones become lexicon voters (a
-   word) and pattern voters (a word beginning). Style patterns vote as well.
+1. Voters. Words and word beginnings (with one, two or three words of a text)
+   that mark toxic documents are counted over a bounded sample of labelled rows;
+   those that are no chance finds and add toxic rows become lexicon voters (a
+   word) and pattern voters (so many words with one beginning), however many
+   they are. Style patterns vote as well.
 2. Votes of every document are computed once and stored.
 3. A generative label model (expectation maximisation over the votes of all
    rows, no labels read) estimates each voter's rates under toxic and
    clean, and the correlations of voters given the class; correlated voters
    share their weight.
 4. A linear classifier learns the posterior labels of all rows and scores them;
-   a two-parameter calibration uses the labelled sample.
+   a two-parameter calibration uses the labelled sample, whose rows are weighted
+   back to the classes' shares in the table.
 
 Edge cases: null and empty texts have no votes and get the score of a document
 without evidence. Repeated rows get one row each, with the same score. Without
@@ -33,10 +36,14 @@ from .sampling import hashed_share
 
 #: Expected number of labelled rows of each class in the sample.
 MAX_PER_CLASS = 4000
-MAX_VOTERS, MAX_CANDIDATES = 192, 4000
 PREFIXES = (4, 5, 6)
+#: So many words of a text must share a beginning for its voters to vote.
+REPEATS = (1, 2, 3)
 MIN_DOCS, MIN_LOG_ODDS = 3, 2.5
-#: The least share of toxic rows that a voter must add.
+#: A key that is no evidence is as one-sided with a chance below exp(-this).
+MIN_EVIDENCE = 12.0
+#: The least share of toxic rows that a voter must add. A voter halves what the
+#: rows that it adds are worth, so there are at most 2 / MIN_SHARE voters.
 MIN_SHARE = 0.003
 #: Voters share weight from this correlation (given toxic) on.
 MIN_CORR = 0.4
@@ -55,28 +62,35 @@ def held_out(id_col: str = "doc_id", mod: int = 4, rest: int = 2) -> Column:
 
 
 def labelled_sample(labels: DataFrame, target: str, is_held_out: Column, per_class: int = MAX_PER_CLASS) -> DataFrame:
-    """(doc_id, y): about per_class ids of each class, chosen by their hash."""
+    """(doc_id, y, weight): about per_class ids of each class, chosen by their
+    hash; a row stands for weight rows of its class."""
     rows = labels.where(~is_held_out & F.col(target).isin(0, 1)).select("doc_id", F.col(target).cast("int").alias("y"))
     one = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
     n = {r["y"]: r["count"] for r in one.groupBy("y").count().collect()}  # two rows at most
-    share = F.when(F.col("y") == 1, per_class / max(n.get(1, 1), 1)).otherwise(per_class / max(n.get(0, 1), 1))
-    return one.where(hashed_share(share))
+    part = {y: min(1.0, per_class / max(n.get(y, 1), 1)) for y in (0, 1)}
+    share = F.when(F.col("y") == 1, part[1]).otherwise(part[0])
+    return one.where(hashed_share(share)).withColumn("weight", 1 / share)
 
 
-def _terms(text: str) -> set[str]:
-    return set(_TERM.findall(text.lower()))
+def _terms(text: str) -> Counter[str]:
+    return Counter(_TERM.findall(text.lower()))
 
 
-def _keys(words: set[str]) -> set[str]:
-    """A word, marked by =, and its beginnings."""
+def _keys(words: Counter[str]) -> set[str]:
+    """A word, marked by =, and its beginnings, marked by how many words at
+    least share them."""
     out = {f"={w}" for w in words}
     for n in PREFIXES:
-        out.update([w[:n] for w in words if len(w) > n])
+        begins: Counter[str] = Counter()
+        for w, times in words.items():
+            if len(w) > n:
+                begins[w[:n]] += times
+        out.update([f"{r}{b}" for b, times in begins.items() for r in REPEATS if times >= r])
     return out
 
 
 def find_voters(sample: DataFrame) -> list[str]:
-    """Lexicon (=word) and pattern (word beginning) voters from (text, y) rows,
+    """Lexicon (=word) and pattern (beginning) voters from (text, y) rows,
     best first; the counts are taken by Spark, partly within each task."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,19 +107,27 @@ def find_voters(sample: DataFrame) -> list[str]:
             yield pd.DataFrame({"key": rest, "pos": 0, "neg": [seen[0][k] for k in rest], "part": 1})
 
     rows = sample.select(F.coalesce("text", F.lit("")).alias("text"), "y").mapInPandas(count, "key string, pos long, neg long, part int")
-    totals = rows.groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(f"pos >= {MIN_DOCS}")
-    # the class sizes are the row of the empty key
-    top = totals.orderBy(F.col("key") != "", (F.col("pos") / (F.col("neg") + 1)).desc(), F.length("key"), "key").limit(MAX_CANDIDATES + 1)
-    counts = {r["key"]: (r["pos"], r["neg"]) for r in top.collect()}
-    p_all, n_all = counts.pop("", (0, 0))
+    totals = stored(rows.groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(f"pos >= {MIN_DOCS}"))
+    sizes = totals.where("key = ''").first()  # the class sizes are the row of the empty key
+    p_all, n_all = (sizes["pos"], sizes["neg"]) if sizes else (0, 0)
     if not p_all or not n_all:
         return []
-    odds = {k: np.log((p + 0.5) / (p_all + 1)) - np.log((n + 0.5) / (n_all + 1)) for k, (p, n) in counts.items()}
-    keys = sorted((k for k in odds if odds[k] >= MIN_LOG_ODDS), key=lambda k: (len(k), k))
+    # keys that can be chosen: each stands in a share of the sample's toxic rows
+    share, hits = p_all / (p_all + n_all), F.col("pos") + F.col("neg")
+    odds = F.log((F.col("pos") + 0.5) / (p_all + 1)) - F.log((F.col("neg") + 0.5) / (n_all + 1))
+    rest = F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / hits / (1 - share))).otherwise(0.0)
+    evidence = F.col("pos") * F.log(F.col("pos") / hits / share) + rest
+    good = totals.where("key <> ''").where((F.col("pos") >= _least(p_all)) & (odds >= MIN_LOG_ODDS) & (evidence >= MIN_EVIDENCE))
+    keys = sorted((r["key"] for r in good.select("key").collect()), key=lambda k: (len(k), k))
     found = votes(sample.withColumn("doc_id", F.col("y").cast("long")), keys).select("doc_id", "hits").where("size(hits) > 0").toPandas()
     return _cover(keys, found["hits"].tolist(), found["doc_id"].to_numpy(), p_all, n_all)
 
 
+def _least(p_all: int) -> float:
+    """What a voter must add, in toxic rows."""
+    return max(1.2, MIN_SHARE * p_all)
+
+
 def _cover(keys: list[str], hits: list[np.ndarray], y: np.ndarray, p_all: int, n_all: int) -> list[str]:
     """Chooses keys one by one for the toxic rows that they add; a row that has
     been covered counts half as much each time, so that the chance words of a
@@ -116,9 +138,9 @@ def _cover(keys: list[str], hits: list[np.ndarray], y: np.ndarray, p_all: int, n
             rows[k].append(i)
     at = [np.array(r, dtype=int) for r in rows]
     worth = np.where(y == 1, 1.0, -3.0 * p_all / n_all)
-    least, chosen = max(1.2, MIN_SHARE * p_all), []
+    least, chosen = _least(p_all), []
     gain = np.array([worth[r].sum() for r in at])
-    while len(gain) and len(chosen) < MAX_VOTERS:
+    while len(gain):
         k = int(np.argmax(gain))  # the shortest of equals: keys are sorted
         if gain[k] < least:
             break
@@ -136,17 +158,23 @@ def _cover(keys: list[str], hits: list[np.ndarray], y: np.ndarray, p_all: int, n
 def votes(docs: DataFrame, voters: list[str]) -> DataFrame:
     """(doc_id, hits array<int>, style array<float>) of every whole text."""
     words = {k[1:]: i for i, k in enumerate(voters) if k[0] == "="}
-    begins = [(n, {k: i for i, k in enumerate(voters) if k[0] != "=" and len(k) == n}) for n in PREFIXES]
-    begins = [(n, d) for n, d in begins if d]
+    begins: dict[int, dict[str, list[tuple[int, int]]]] = {}
+    for i, k in enumerate(voters):
+        if k[0] != "=":
+            begins.setdefault(len(k) - 1, {}).setdefault(k[1:], []).append((int(k[0]), i))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             hits, style = [], []
             for text in part["text"]:
                 terms = _terms(text)
-                found = {words[w] for w in terms & words.keys()}
-                for n, d in begins:
-                    found.update(d[b] for b in {w[:n] for w in terms if len(w) > n} & d.keys())
+                found = {words[w] for w in terms.keys() & words.keys()}
+                for n, d in begins.items():
+                    times: Counter[str] = Counter()
+                    for w in terms:
+                        if len(w) > n and w[:n] in d:
+                            times[w[:n]] += terms[w]
+                    found.update(i for b, seen in times.items() for r, i in d[b] if seen >= r)
                 size = max(len(text), 1)
                 hits.append(sorted(found))
                 style.append([
@@ -257,12 +285,13 @@ def fit_posterior(rows: DataFrame, k: int, prior: float, coef: np.ndarray, bias:
     return w
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 400, l2: float = 1e-3) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 400, l2: float = 1e-3, weight: np.ndarray | None = None) -> np.ndarray:
     """Logistic regression on soft labels; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
+    share = (np.ones(len(y)) if weight is None else weight) / max(len(y) if weight is None else weight.sum(), 1)
     w, m, s = (np.zeros(x.shape[1]) for _ in range(3))
     for t in range(1, rounds + 1):
-        g = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) / max(len(y), 1) + l2 * w
+        g = x.T @ (share * (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y)) + l2 * w
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     return w
@@ -289,7 +318,7 @@ def score(docs: DataFrame, labels: DataFrame, is_held_out: Column | None = None)
     all_votes = stored(votes(docs, voters))
 
     gold = all_votes.join(known, "doc_id").toPandas()
-    prior = float(np.clip((gold["y"].mean() if len(gold) else 0.1), 0.02, 0.5))
+    prior = float(np.clip((np.average(gold["y"], weights=gold["weight"]) if len(gold) else 0.1), 0.02, 0.5))
     if k:
         patterns = stored(all_votes.groupBy("hits").agg(F.count("*").alias("n")))
         w = fit_posterior(all_votes, k, prior, *label_model(patterns, k, prior))
@@ -298,7 +327,7 @@ def score(docs: DataFrame, labels: DataFrame, is_held_out: Column | None = None)
     a, b = 1.0, 0.0
     if len(gold):
         z = np.hstack([_matrix(gold, k), np.ones((len(gold), 1))]) @ w
-        line = fit_linear(np.clip(z, -10, 10)[:, None], gold["y"].to_numpy(float), l2=1e-4)
+        line = fit_linear(np.clip(z, -10, 10)[:, None], gold["y"].to_numpy(float), l2=1e-4, weight=gold["weight"].to_numpy(float))
         a, b = max(float(line[0]), 0.0), float(line[1])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

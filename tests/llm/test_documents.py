@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from skysift.llm import bpe_chunks, jaccard_join, line_crf, phrase_dedup, qgram_leaks, quality_rules, secret_scan, toxicity, unigram_count
 from skysift.llm.components import components
@@ -492,3 +493,25 @@ def test_secret_model_counts_all_documents(spark):
     tokens = secret_scan.labelled_tokens(df).where("label = 0")
     assert tokens.where("token LIKE 'zqzqzq%'").count() == 3000
     assert tokens.where("token LIKE '%xjxjxj'").count() == 1
+
+
+def test_repeated_beginnings_are_voters(spark):
+    # one word with the root is chance, several are not; the words themselves never repeat
+    rows = []
+    for i in range(400):
+        toxic = i % 4 == 0
+        words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)} plain text here"]
+        words += [f"zorgak{chr(97 + (i + j) % 26)}{chr(97 + (7 * i + j) % 26)}" for j in range(3 if toxic else i % 2)]
+        rows.append((i, " ".join(words), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    voters = toxicity.find_voters(df.select("text", "y"))
+    assert voters and all(k[0] in "23" for k in voters)
+    hits = {r["doc_id"]: len(r["hits"]) for r in toxicity.votes(df, voters).collect()}
+    assert all((hits[i] > 0) == bool(y) for i, _, y in rows)
+
+
+def test_labelled_rows_stand_for_their_class(spark):
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(8000)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(labels, "toxic", F.lit(False), 800).groupBy("y").agg(F.sum("weight").alias("n")).collect()
+    n = {r["y"]: r["n"] for r in got}
+    assert n[1] == 400 and abs(n[0] - 7600) < 1000
