@@ -1,10 +1,12 @@
 """Secret scan: fixed patterns plus a Markov test for random strings.
 
 Two first-order character models, one of random strings and one of ordinary
-identifiers, are trained by counting character pairs: of made random strings and
-of the long words of all documents.
-A token that no pattern claims is a secret when its log-likelihood ratio says
-that it is far likelier random. DataFrame functions only.
+words, are trained by counting character pairs: of made random strings, and of
+the words of all documents that no pattern claims, numbers included, mixed with
+fixed names in a fixed share. A token of at least 12 characters that no pattern
+claims is a secret when the log-likelihood ratio of the two models exceeds
+log(1 / FALSE_RATE): an ordinary token does so with at most that probability,
+if the ordinary model holds. DataFrame functions only.
 
 Spans are (kind, start, end) in code points, end exclusive. Kinds, in order:
 ``assign``, ``access``, ``hex`` by pattern, ``random`` by the models. Model
@@ -31,14 +33,18 @@ ASSIGN = (
 #: least length may stand in these two patterns.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
 KINDS = ("assign", "access", "hex", "random")
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 FIRST, N_CHARS = 33, 94  # printable ASCII without the space
 
-#: A token is random above this mean log-likelihood ratio per character pair.
-LLR_THRESHOLD = 1.5
+#: Bound on the share of ordinary tokens that the ratio may flag (Markov's
+#: inequality), and the log-likelihood ratio that follows from it.
+FALSE_RATE = 1e-4
+LLR_THRESHOLD = -math.log(FALSE_RATE)
+#: Share of the fixed names in the ordinary model, at every size of the corpus.
+NAMES_SHARE = 0.2
 #: Made random strings: so many counters are hashed.
 SAMPLE_RANDOM = 4000
 
@@ -65,9 +71,8 @@ def _pairs(tokens: DataFrame) -> DataFrame:
 
 
 def labelled_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The labelled tokens: random strings made by hashing counters, and as
-    ordinary identifiers the long words of all documents, with the fixed names
-    above."""
+    """(token, label): 1 random strings made by hashing counters, 0 the words of
+    all documents that no pattern claims, 2 the fixed names above."""
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 512)
     random = spark.range(SAMPLE_RANDOM).select(
@@ -81,24 +86,26 @@ def labelled_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ).alias("token"),
         F.lit(1).alias("label"),
     )
-    words = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).select(F.explode(F.split("t", r"[^A-Za-z0-9+/_=-]+")).alias("token"))
-    plain = words.where("length(token) >= 6").where(~F.col("token").rlike("[0-9]")).select("token", F.lit(0).alias("label"))
-    fixed = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in IDENTIFIERS for _ in range(3)])).alias("token"), F.lit(0).alias("label"))
+    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), ASSIGN, " ")
+    words = docs.select(F.explode(F.split(text, r"[^A-Za-z0-9+/_=-]+")).alias("token"))
+    plain = words.where("length(token) >= 6").where(~F.col("token").rlike(f"{ACCESS}|{HEX}")).select("token", F.lit(0).alias("label"))
+    fixed = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in IDENTIFIERS])).alias("token"), F.lit(2).alias("label"))
     return random.unionByName(plain).unionByName(fixed)
 
 
 def fit(tokens: DataFrame) -> list[float]:
     """Log-likelihood ratio (random against ordinary) of every pair of
-    characters, row by row; at most 2 x N_CHARS x N_CHARS counts reach the
+    characters, row by row; at most 3 x N_CHARS x N_CHARS counts reach the
     driver, whatever the size of the sample."""
     n = N_CHARS
-    counts = [[[0.1] * n for _ in range(n)] for _ in range(2)]
+    counts = [[[0.1] * n for _ in range(n)] for _ in range(3)]
     for r in _pairs(tokens).groupBy("label", "a", "b").count().collect():
         counts[r["label"]][r["a"]][r["b"]] += r["count"]
     out = []
     for a in range(n):
-        totals = [sum(counts[y][a]) for y in range(2)]
-        out += [math.log(counts[1][a][b] / totals[1]) - math.log(counts[0][a][b] / totals[0]) for b in range(n)]
+        words, random, names = ([c / sum(row[a]) for c in row[a]] for row in counts)
+        ordinary = [(1 - NAMES_SHARE) * w + NAMES_SHARE * m for w, m in zip(words, names, strict=True)]
+        out += [math.log(x) - math.log(y) for x, y in zip(random, ordinary, strict=True)]
     return [round(x, 4) for x in out]
 
 
@@ -110,31 +117,32 @@ aggregate(
     named_struct('at', 0L, 'out', z),
     (a, i) -> named_struct(
       'at', a.at + length(s.p[i]) + length(s.m[i]),
-      'out', CASE WHEN length(s.g[i]) >= {least} THEN concat(a.out, array(named_struct(
+      'out', CASE WHEN {test} THEN concat(a.out, array(named_struct(
         'start', a.at + length(s.p[i]), 'kind', {kind}, 'end', a.at + length(s.p[i]) + length(s.m[i])))) ELSE a.out END),
     a -> a.out))
 """
 
 
-def _located(rows: DataFrame, pattern: str, kind: int, group: int = 0, least: int = 0) -> DataFrame:
-    """Adds span_<kind>: the places of a pattern's matches, from the lengths of
-    the matches and of what lies between them."""
+def _located(rows: DataFrame, pattern: str, kind: int, group: int = 0, test: str = "true") -> DataFrame:
+    """Adds span_<kind>: the places of a pattern's matches that pass the test (SQL
+    over the match s.m[i] and its group s.g[i]), from the lengths of the matches
+    and of what lies between them."""
     m, k = f"m_{kind}", kind
     rows = rows.withColumn(m, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
     some = F.size(m) > 0
     empty = F.expr(f"CAST(array() AS {SPAN})")
     rows = rows.withColumn(f"p_{k}", F.when(some, F.split("text", pattern, -1)))
     rows = rows.withColumn(f"g_{k}", F.when(some, F.regexp_extract_all("text", F.lit(pattern), F.lit(group))) if group else F.col(m))
-    walk = F.expr(_WALK.format(p=f"p_{k}", m=m, g=f"g_{k}", span=SPAN, least=least, kind=kind))
+    walk = F.expr(_WALK.format(p=f"p_{k}", m=m, g=f"g_{k}", span=SPAN, test=test, kind=kind))
     return rows.withColumn(f"span_{k}", F.when(some, walk).otherwise(empty)).drop(m, f"p_{k}", f"g_{k}")
 
 
-def _ratio(model: list[float]) -> str:
-    """Mean log-likelihood ratio of a token t, as SQL."""
+def _ratio(model: list[float], token: str) -> str:
+    """Log-likelihood ratio of a token, as SQL."""
     return f"""
 aggregate(array(from_json('{json.dumps(model)}', 'array<float>')), CAST(0 AS DOUBLE), (z, w) ->
-  aggregate(array(transform(split(t, ''), c -> ascii(c) - {FIRST})), z, (y, c) ->
-    aggregate(sequence(1, size(c) - 1), y, (sum, i) -> sum + w[c[i - 1] * {N_CHARS} + c[i]]) / (size(c) - 1)))
+  aggregate(array(transform(split({token}, ''), c -> ascii(c) - {FIRST})), z, (y, c) ->
+    aggregate(sequence(1, size(c) - 1), y, (sum, k) -> sum + w[c[k - 1] * {N_CHARS} + c[k]])))
 """
 
 
@@ -143,17 +151,13 @@ def find(docs: DataFrame, model: list[float] | None = None, id_col: str = "doc_i
     if model is None:
         model = fit(labelled_tokens(docs, text_col))
     rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = _located(rows, ASSIGN, 0, group=2, least=6)
+    rows = _located(rows, ASSIGN, 0, group=2, test="length(s.g[i]) >= 6")
     rows = _located(rows, ACCESS, 1)
     rows = _located(rows, HEX, 2)
-    rows = _located(rows, CANDIDATE, 3)
+    rows = _located(rows, CANDIDATE, 3, test=f"{_ratio(model, 's.m[i]')} > {LLR_THRESHOLD}")
     rows = rows.select(id_col, "text", F.array_sort(F.concat("span_0", "span_1", "span_2")).alias("base"), "span_3")
-    score = _ratio(model).replace("split(t, '')", "split(substring(b.t, CAST(x.start + 1 AS INT), CAST(x.end - x.start AS INT)), '')")
-    extra = F.expr(f"""
-aggregate(array(named_struct('t', text, 'base', base)), CAST(array() AS {SPAN}), (e, b) ->
-  concat(e, filter(span_3, x -> NOT exists(b.base, y -> y.start < x.end AND x.start < y.end) AND {score} > {LLR_THRESHOLD})))
-""")
-    rows = rows.withColumn("extra", F.when(F.size("span_3") > 0, extra).otherwise(F.expr(f"CAST(array() AS {SPAN})")))
+    extra = F.expr("filter(span_3, x -> NOT exists(base, y -> y.start < x.end AND x.start < y.end))")
+    rows = rows.withColumn("extra", F.when(F.size("span_3") > 0, extra).otherwise(F.col("span_3")))
     return rows.select(id_col, "text", "base", F.array_sort(F.concat("base", "extra")).alias("spans"))
 
 
@@ -189,6 +193,6 @@ def op8(docs: DataFrame) -> DataFrame:
 
 
 def random_ratio(spark: SparkSession, tokens: list[str], model: list[float]) -> dict[str, float]:
-    """Mean log-likelihood ratios of a few tokens (for tests and tuning)."""
-    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", F.expr(_ratio(model)).alias("r"))
+    """Log-likelihood ratios of a few tokens (for tests and tuning)."""
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", F.expr(_ratio(model, "t")).alias("r"))
     return {r["t"]: r["r"] for r in rows.collect()}
