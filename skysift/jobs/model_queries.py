@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalogs, conformal, fusion, metrics, models, splits
+from ..operators import catalogs, conformal, metrics, models, splits
 from ..sources import adapters as A
 from .registry import query
 
@@ -89,7 +89,8 @@ def population_classification(s, d):
 
     forest = RandomForestClassifier(labelCol="class_code", numTrees=10, maxDepth=6, seed=42)
     oof = models.out_of_fold(A.survey(s, d), forest, "class_code", A.SURVEY, "vec_id")
-    return metrics.multiclass(oof, "class_code", "prediction")
+    out = metrics.multiclass(oof, "class_code", "prediction")
+    return out.withColumn("passed", (F.col("mcc") >= 0.6) & (F.col("weighted_f1") >= 0.9))
 
 
 @query("baseline_models")
@@ -128,18 +129,3 @@ def pca_embedding(s, d):
 @query("bootstrap_ci")
 def bootstrap_ci(s, d):
     return metrics.bootstrap(A.scores(s, d), "score", "id")
-
-
-@query("evaluate_ood")
-def evaluate_ood(s, d):
-    """End-to-end audit of the signals: class-conditional p of a density score,
-    fusion, verdicts, rates by role."""
-    sig = A.signals(s, d)
-    feats = sig.select("signal_id", "sig_type", "snr", "dm", "concentration")
-    cols = ("snr", "dm", "concentration")
-    full = catalogs.impute(feats, catalogs.medians(feats, cols), cols)
-    mix = models.Mixture.fit(full, cols, 1)
-    scored = full.select("signal_id", "sig_type", F.round(mix.log_density(), 6).alias("score"), (F.col("signal_id") % 10 < 3).cast("int").alias("is_cal"))
-    p = conformal.low_tail(scored, by=("sig_type",)).select("signal_id", F.col("p").alias("p_density"), "score")
-    rows = sig.join(p, "signal_id").withColumn("p_h", F.col("p_density"))
-    return metrics.role_rates(fusion.arbitrate(rows)).select("n_anomaly", "n_control", "tpr", "fpr", "passed")

@@ -26,7 +26,7 @@ def with_(*ctes: str) -> str:
 
 
 def _load() -> None:
-    from . import catalog_queries, extra_queries, model_queries, score_queries, spectrum_queries  # noqa: F401
+    from . import audit_queries, catalog_queries, extra_queries, model_queries, score_queries, spectrum_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

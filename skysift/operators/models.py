@@ -177,6 +177,15 @@ def ensemble(label: str, rounds: int = 100):
     return GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=6, minInstancesPerNode=20, seed=42)
 
 
+def ensemble_pipeline(label: str, columns: tuple[str, ...], rounds: int = 100):
+    """Assembler, scaler and the boosted ensemble, as one model to save and load."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    own = ensemble(label, rounds).setFeaturesCol("scaled")
+    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), StandardScaler(inputCol="features", outputCol="scaled", withMean=True), own])
+
+
 def probabilities(df: DataFrame, estimator, columns: tuple[str, ...], name: str = "prob") -> DataFrame:
     """Adds the probability of class 1 by an estimator that is fitted on df."""
     from pyspark.ml.feature import VectorAssembler

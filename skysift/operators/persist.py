@@ -44,3 +44,14 @@ def load_calibration(spark: SparkSession, path: str, score: str = "score") -> Da
     """The calibration rows again, one per score."""
     rows = spark.read.parquet(path)
     return rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n", "_i")
+
+
+def save_ensemble(model, path: str) -> None:
+    """A fitted pipeline of assembler, scaler and ensemble."""
+    model.write().overwrite().save(path)
+
+
+def load_ensemble(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
