@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_chunks, fill_middle, html_tree, jaccard_join, line_crf, oracles, phrase_dedup, qgram_leaks, quality_rules, secret_scan, toxicity, unigram_count
+from . import bpe_chunks, fill_middle, html_tree, jaccard_join, line_crf, oracles, phrase_dedup, qgram_leaks, quality_rules, secret_scan, spelling, toxicity, unigram_count
 from .common import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_secret_scan": lambda s, d: secret_scan.op8(docs(s, d)),
         "op9_phrase_dedup": lambda s, d: phrase_dedup.op9(docs(s, d)),
         "op10_jaccard_join": lambda s, d: jaccard_join.op10(docs(s, d)),
+        "op11_spelling_variants": lambda s, d: spelling.op11(docs(s, d)),
         "op13_fill_middle": lambda s, d: fill_middle.op13(docs(s, d)),
     }
 
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality_rules": quality_rules.SQL,
         "op9_phrase_dedup": oracles.PHRASE_DEDUP,
         "op10_jaccard_join": oracles.JACCARD_JOIN,
+        "op11_spelling_variants": spelling.SQL,
         "op13_fill_middle": fill_middle.SQL,
     }
