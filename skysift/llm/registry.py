@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_chunks, fill_middle, html_tree, jaccard_join, line_crf, oracles, phrase_dedup, qgram_leaks, quality_rules, secret_scan, spelling, toxicity, unigram_count
+from . import bpe_chunks, fill_middle, html_tree, jaccard_join, line_crf, oracles, phrase_dedup, pii, qgram_leaks, quality_rules, secret_scan, spelling, toxicity, unigram_count
 from .common import table
 
 
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_phrase_dedup": lambda s, d: phrase_dedup.op9(docs(s, d)),
         "op10_jaccard_join": lambda s, d: jaccard_join.op10(docs(s, d)),
         "op11_spelling_variants": lambda s, d: spelling.op11(docs(s, d)),
+        "op12_pii_boosting": lambda s, d: pii.op12(docs(s, d)),
         "op13_fill_middle": lambda s, d: fill_middle.op13(docs(s, d)),
     }
 
