@@ -16,12 +16,12 @@ from .registry import query, with_
 NATURAL, INTERFERENCE = ("view", "signup", "purchase"), ("click",)
 
 
-@query("physics_map")
-def physics_map(s, d):
-    """For each signal the survey row that stands for it: of its cluster's most
-    typical quarter (by Gaussian log density with shrunk covariance) the one
-    whose moment is nearest to the signal's mapped ratio; others have none."""
-    v = A.survey(s, d).withColumn("cluster", F.col("y"))
+def mapped_to_survey(sig, v):
+    """(signal_id, sig_type, nearest_id): for each signal (signal_id, sig_type,
+    snr) the survey row that stands for it: of its cluster's most typical quarter
+    (by Gaussian log density with shrunk covariance) the one whose moment is
+    nearest to the signal's mapped ratio; others have none."""
+    v = v.withColumn("cluster", F.col("y"))
     pools = None
     for y in (0, 1):
         own = v.where(F.col("cluster") == y)
@@ -34,7 +34,7 @@ def physics_map(s, d):
         pools = pool if pools is None else pools.unionByName(pool)
     ends = rank.quantiles(v, ("f5",), (0.05, 0.95), ("cluster",)).select("cluster", F.col("q0").alias("lo"), F.col("q1").alias("hi"))
     kind = F.when(F.col("sig_type").isin(*NATURAL), 1).when(F.col("sig_type").isin(*INTERFERENCE), 0)
-    sig = A.signals(s, d).select("signal_id", "sig_type", "snr", kind.alias("cluster"))
+    sig = sig.select("signal_id", "sig_type", "snr", kind.alias("cluster"))
     mapped = sig.join(ends, "cluster").select("signal_id", "cluster", F.round(physical.snr_to_moment(F.col("snr"), F.col("lo"), F.col("hi")), 6).alias("key"))
     out = None
     for y in (0, 1):
@@ -43,6 +43,12 @@ def physics_map(s, d):
     return sig.select("signal_id", "sig_type").join(out.select("signal_id", "nearest_id"), "signal_id", "left")
 
 
+@query("physics_map")
+def physics_map(s, d):
+    """The survey row that stands for each signal."""
+    return mapped_to_survey(A.signals(s, d), A.survey(s, d))
+
+
 @query("carrier_score")
 def carrier_score(s, d):
     """(obs_id, carrier): kurtosis and spectral kurtosis of the brightest channel
@@ -52,14 +58,7 @@ def carrier_score(s, d):
     best = means.groupBy("obs_id").agg((-F.max(F.struct("m", (-F.col("ch")).alias("i")))["i"]).alias("ch"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = g.sort_values("t")["power"].to_numpy(float)
-        score = 0.0
-        if len(x) >= 4 and x.std() > 0:
-            kurt = lambda v: float(((v - v.mean()) ** 4).mean() / (v.var() ** 2 + 1e-12)) - 3
-            clip = lambda v: min(max(v, 0.0), 1.0)
-            spectrum = np.abs(np.fft.rfft(x - x.mean())) ** 2
-            score = 0.4 * clip(kurt(x) / 10) + 0.35 * clip(kurt(spectrum) / 10) + 0.25 * clip(1 - x.std() / (abs(x.mean()) + 1e-12))
-        return pd.DataFrame({"obs_id": [g["obs_id"].iloc[0]], "carrier": [score]})
+        return pd.DataFrame({"obs_id": [g["obs_id"].iloc[0]], "carrier": [WF.carrier(g.sort_values("t")["power"].to_numpy(float))]})
 
     return w.join(best, ["obs_id", "ch"]).groupBy("obs_id").applyInPandas(run, "obs_id string, carrier double")
 
@@ -102,11 +101,12 @@ def descriptor_vector(s, d):
 
 @query(
     "narrowband_lookup",
-    with_(A.SIGNALS) + "SELECT s.signal_id, coalesce(c.concentration, 0.5) AS narrowband FROM signals s LEFT JOIN (SELECT signal_id, concentration FROM signals WHERE concentration IS NOT NULL) c ON s.signal_id = c.signal_id",
+    with_(A.SIGNALS) + "SELECT signal_id, round(CASE WHEN concentration IS NULL AND spectral_flatness IS NULL THEN 0.5 ELSE greatest(0.25, 0.25 * coalesce(concentration, 0.0) + 0.2 * (1 - coalesce(spectral_flatness, 1.0))) END, 6) AS narrowband FROM signals",
 )
 def narrowband_lookup(s, d):
     sig = A.signals(s, d)
-    side = sig.where("concentration IS NOT NULL").select("signal_id", F.col("concentration").alias("narrowband"))
+    scored = sig.select("signal_id", F.round(WF.narrowband(sig.columns), 6).alias("narrowband"))
+    side = scored.where("narrowband IS NOT NULL")
     return catalogs.fallback(sig.select("signal_id"), side, "signal_id", "narrowband", F.lit(0.5))
 
 

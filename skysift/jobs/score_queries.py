@@ -197,6 +197,8 @@ def score_histogram(s, d):
 
 _PRED = "CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END"
 _T = "greatest(0.0, least(1.0, 0.6 * coalesce(concentration, 0.0) + 0.4 * (1 - coalesce(spectral_flatness, 1.0))))"
+#: The two given descriptors; without the others a carrier's part is 0.25.
+_NARROW = "CASE WHEN concentration IS NULL AND spectral_flatness IS NULL THEN 0.5 ELSE greatest(0.25, 0.25 * coalesce(concentration, 0.0) + 0.2 * (1 - coalesce(spectral_flatness, 1.0))) END"
 _EVIDENCE = f"""
 e1 AS (SELECT *, least(p_h, coalesce(p_d, 1.0)) AS p, {_PRED} AS pred, {_T} AS t0 FROM signals),
 e2 AS (SELECT *, CASE WHEN pred IN (0, 2) AND p0 + p2 >= 0.8 THEN least(1.0, t0 * 1.25) ELSE t0 END AS t,
@@ -205,7 +207,7 @@ e2 AS (SELECT *, CASE WHEN pred IN (0, 2) AND p0 + p2 >= 0.8 THEN least(1.0, t0
   CASE WHEN width_ms > 0 AND period_s > 0 THEN greatest(0.0, least(1.0, (width_ms / 1000 / period_s - 0.001) / 0.014)) ELSE 0.5 END AS duty FROM e1),
 e3 AS (SELECT *, CASE WHEN dm IS NOT NULL OR (width_ms IS NOT NULL AND period_s IS NOT NULL)
     THEN greatest(0.0, least(1.0, 0.7 * t + 0.3 * (1 - (disp + duty) / 2))) ELSE t END AS physics,
-  greatest(0.0, least(1.0, coalesce(1 - chaos, 0.5))) AS ord, coalesce(concentration, 0.5) AS narrow FROM e2),
+  greatest(0.0, least(1.0, coalesce(1 - chaos, 0.5))) AS ord, {_NARROW} AS narrow FROM e2),
 ev AS (SELECT *, round(greatest(0.0, least(100.0, least(50.0, -10 * log10(greatest(p, 1e-5))) + 50 * (p2 + ord + narrow + physics) / 4)), 6) AS composite FROM e3),
 bhr AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM ev), bhc AS (SELECT max(p) AS c FROM bhr WHERE p * m <= 0.1 * i),
 verdicts AS (SELECT signal_id, sig_type, true_role, p, composite, coalesce(p <= c, false) AS rejected,

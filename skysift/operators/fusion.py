@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import laws
 from .conformal import bh
+from .waterfall import narrowband
 
 #: Fixed verdict names.
 NATURAL, INTERFERENCE, ANOMALY, CANDIDATE = "Natural", "Interference", "Anomaly", "Candidate — Requires Review"
@@ -45,11 +46,13 @@ def three_classes(p_pulsar: Column, p_rfi: Column, p_fused: Column) -> tuple[lis
 
 
 def with_evidence(df: DataFrame) -> DataFrame:
-    """Adds p, pred, the law scores, narrowband and composite. Needs p_h, p_d,
-    p0..p2, chaos and the physics columns; what is missing is neutral."""
+    """Adds p, pred (kept where it is given), the law scores and composite. Needs
+    p_h, p_d, p0..p2, chaos and the physics columns; what is missing is neutral.
+    The narrowband term is the score of the row's descriptors."""
     p = F.least("p_h", F.coalesce("p_d", F.lit(1.0)))
     pred = F.when((F.col("p0") >= F.col("p1")) & (F.col("p0") >= F.col("p2")), 0).when(F.col("p1") >= F.col("p2"), 1).otherwise(2)
-    rows = df.withColumn("p", p).withColumn("pred", pred)
+    rows = df.withColumn("p", p)
+    rows = rows if "pred" in df.columns else rows.withColumn("pred", pred)
     claimed = F.col("pred").isin(0, 2) & (F.col("p0") + F.col("p2") >= 0.8)
     finite = F.col("dm").isNotNull() & ~F.isnan("dm") & (F.abs("dm") < float("inf"))
     catalog = finite | (F.col("width_ms").isNotNull() & F.col("period_s").isNotNull())
@@ -58,7 +61,7 @@ def with_evidence(df: DataFrame) -> DataFrame:
     duty = laws.duty_cycle(F.col("width_ms"), F.col("period_s"))
     rows = rows.withColumn("physics", laws.combine(techno, spread, duty, catalog))
     rows = rows.withColumn("order_score", laws.clip(F.coalesce(1 - F.col("chaos"), F.lit(0.5))))
-    narrow = F.when(F.col("concentration").isNotNull(), F.col("concentration")).otherwise(0.5)
+    narrow = F.coalesce(narrowband(df.columns), F.lit(0.5))
     strength = F.least(F.lit(50.0), -10 * F.log10(F.greatest("p", F.lit(1e-5))))
     mean = (F.col("p2") + F.col("order_score") + narrow + F.col("physics")) / 4
     return rows.withColumn("composite", F.round(laws.clip(strength + 50 * mean, 0.0, 100.0), 6))

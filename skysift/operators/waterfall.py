@@ -8,6 +8,7 @@ over the cluster.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -247,14 +248,46 @@ def narrowband_window(df: DataFrame, half_chan: int = 4, half_time: int = 4) ->
     return near.drop("_nc", "_nt", "b")
 
 
-def narrowband_score(d: DataFrame) -> DataFrame:
-    """Adds narrowband: the larger of a spectral and a carrier score."""
+#: Descriptors of the narrowband score, and what a missing one counts as.
+NARROWBAND = {"concentration": 0.0, "spectral_flatness": 1.0, "sub_bin_flatness": 1.0, "spectral_kurtosis": 0.0, "slice_kurtosis": 0.0, "occupancy": 0.0}
+
+
+def narrowband(columns: list[str]) -> Column:
+    """The larger of a spectral and a carrier score, of those descriptors that
+    are among the columns; null where a row has none of them."""
+    have = {n: F.col(n) for n in NARROWBAND if n in columns}
+    if not have:
+        return F.lit(None).cast("double")
+    value = {n: F.coalesce(have[n], F.lit(v)) if n in have else F.lit(v) for n, v in NARROWBAND.items()}
     unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    conc, flat, sub = unit(F.col("concentration")), 1 - unit(F.col("spectral_flatness")), 1 - unit(F.col("sub_bin_flatness"))
-    kurt, slice_, narrow = unit(F.col("spectral_kurtosis") / 20), unit(F.col("slice_kurtosis") / 20), 1 - unit(F.col("occupancy"))
+    conc, flat, sub = unit(value["concentration"]), 1 - unit(value["spectral_flatness"]), 1 - unit(value["sub_bin_flatness"])
+    kurt, slice_, narrow = unit(value["spectral_kurtosis"] / 20), unit(value["slice_kurtosis"] / 20), 1 - unit(value["occupancy"])
     spectral = 0.25 * conc + 0.2 * flat + 0.15 * kurt + 0.2 * sub + 0.2 * slice_
     carrier = 0.4 * kurt + 0.35 * slice_ + 0.25 * narrow
-    return d.withColumn("narrowband", F.greatest(spectral, carrier))
+    return F.when(F.coalesce(*have.values()).isNotNull(), F.greatest(spectral, carrier))
+
+
+def narrowband_score(d: DataFrame) -> DataFrame:
+    """Adds narrowband: the score of each row's descriptors."""
+    return d.withColumn("narrowband", narrowband(d.columns))
+
+
+def carrier(x: np.ndarray) -> float:
+    """Score of one channel's series: heavy tails in time, heavy tails of its
+    power spectrum (the constant part left out) and steadiness around a positive
+    mean; 0 under four samples. A part without variance is 0."""
+    if len(x) < 4:
+        return 0.0
+
+    def tails(v: np.ndarray) -> float:
+        d = v - v.mean()
+        var = float((d * d).mean())
+        # a variance that is rounding alone counts as none
+        return min(max((float((d**4).mean()) / var**2 - 3) / 10, 0.0), 1.0) if var > 1e-20 * float((v * v).mean()) else 0.0
+
+    spectrum = np.abs(np.fft.rfft(x))[1:] ** 2
+    steady = min(max(1 - float(x.std() / x.mean()), 0.0), 1.0) if x.mean() > 0 else 0.0
+    return 0.4 * tails(x) + 0.35 * (tails(spectrum) if len(spectrum) > 2 else 0.0) + 0.25 * steady
 
 
 def windows(df: DataFrame, axis: str, window: int, stride: int, max_windows: int | None = None) -> DataFrame:

@@ -176,6 +176,53 @@ cells AS (
 )"""
 
 
+#: Hours of a bin and bins of a wave; hours of a channel of a user's spectrum.
+BIN_HOURS, WAVE, CHANNEL_HOURS = 6, 32, 2
+
+
+def audit_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per user, measured from its events: peak over spread as snr,
+    dispersion from its props, widths from its values, the kind of its largest
+    event as its type, and a role from the kind of event that it has most of (of
+    equals the first by name), which no other column is made from. Only partial
+    aggregates are shuffled."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", PROPS)["k"])
+    own = e.groupBy(F.col("user_id").alias("signal_id")).agg(
+        ((F.max("value") - F.avg("value")) / F.nullif(F.stddev_pop("value"), F.lit(0.0))).alias("snr"), (F.avg("k") * 10).alias("dm"), (F.max("k") * 8.0).alias("dm_gal_max"),
+        F.stddev_pop("value").alias("width_ms"), F.avg("value").alias("period_s"), (F.avg(F.hour("ts")) > 11.5).alias("is_extragalactic"),
+        F.max(F.struct("value", "event_type"))["event_type"].alias("sig_type"),
+    )
+    kinds = e.groupBy(F.col("user_id").alias("signal_id"), "event_type").agg(F.count("*").alias("n"))
+    most = kinds.groupBy("signal_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "event_type"))["event_type"].alias("most"))
+    role = F.when(F.col("signal_id") % 10 == 0, "Unlabeled").when(F.col("most") == "error", "Anomaly").when(F.col("most") == "click", "Interference").otherwise("Natural")
+    return own.join(most, "signal_id").withColumn("true_role", role).drop("most")
+
+
+def audit_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(signal_id, window, wave): sums of a user's values in bins of six hours,
+    eight days a window. Windows with one filled bin carry no wave: an array of
+    one 0. Bins are summed before anything is gathered, so a window is a row of
+    WAVE numbers however many events a user has."""
+    e = table(spark, sf_dir, "events")
+    bin_ = (F.dayofmonth("ts") - 1) * (24 // BIN_HOURS) + F.floor(F.hour("ts") / BIN_HOURS)
+    cells = e.groupBy(F.col("user_id").alias("signal_id"), bin_.alias("bin")).agg(F.sum("value").alias("x"))
+    cells = cells.withColumn("window", F.floor(F.col("bin") / WAVE).cast("int")).withColumn("at", (F.col("bin") % WAVE).cast("int"))
+    whole = cells.groupBy("signal_id", "window").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
+    wave = F.transform(F.sequence(F.lit(0), F.lit(WAVE - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
+    return whole.select("signal_id", "window", F.when(F.size("m") > 1, wave).otherwise(F.array(F.lit(0.0))).alias("wave"))
+
+
+def audit_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(obs_id, t, ch, power): a user's values by day and by hours of the day, as
+    a dense grid; cells without events hold 0."""
+    e = table(spark, sf_dir, "events")
+    n_ch = 24 // CHANNEL_HOURS
+    cells = e.groupBy(F.col("user_id").alias("obs_id"), (F.dayofmonth("ts") - 1).alias("t"), F.floor(F.hour("ts") / CHANNEL_HOURS).cast("int").alias("ch")).agg(F.sum("value").alias("power"))
+    line = cells.groupBy("obs_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("t") * n_ch + F.col("ch")).alias("i"), "power"))).alias("m"))
+    grid = line.select("obs_id", "m", F.explode(F.sequence(F.lit(0), F.lit(N_TIME * n_ch - 1))).alias("i"))
+    return grid.select("obs_id", F.floor(F.col("i") / n_ch).cast("int").alias("t"), (F.col("i") % n_ch).cast("int").alias("ch"), F.coalesce(F.col("m")[F.col("i")], F.lit(0.0)).alias("power"))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, y, pred_a, pred_b, prob): two predictors of documents' labels."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
