@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalogs, conformal, metrics, models, splits
+from ..operators import boosting, catalogs, conformal, metrics, models, splits
+from ..session import stored
 from ..sources import adapters as A
 from .registry import query
 
@@ -93,6 +94,29 @@ def population_classification(s, d):
     return out.withColumn("passed", (F.col("mcc") >= 0.6) & (F.col("weighted_f1") >= 0.9))
 
 
+@query("population_boosting")
+def population_boosting(s, d, rounds: int = 300, folds: int = 5):
+    """(model, n, accuracy, balanced_accuracy, macro_f1, weighted_f1, mcc, passed):
+    softmax boosting of 300 rounds of depth 2 beside a forest of 100 trees, both out of fold
+    on the same folds; medians fill missing values of the forest, the trees have
+    a bin for them."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    v = stored(splits.kfold(A.survey(s, d), "vec_id", "class_code", folds))
+    names = sorted(r[0] for r in v.select("class_code").distinct().collect())
+    y = F.array_position(F.array(*[F.lit(c) for c in names]), F.col("class_code")) - 1
+    boosted = boosting.out_of_fold(v.withColumn("y", y.cast("int")), "y", "fold", A.SURVEY, len(names), folds, rounds, ("vec_id", "class_code"), depth=2)
+    code = F.get(F.array(*[F.lit(c) for c in names]), F.col("prediction"))
+    forest = RandomForestClassifier(labelCol="class_code", numTrees=100, maxDepth=10, seed=42)
+    each = {"boosted": boosted.select("class_code", code.alias("prediction")), "forest": models.out_of_fold(v.drop("fold"), forest, "class_code", A.SURVEY, "vec_id", folds)}
+    out = None
+    for name, oof in each.items():
+        m = metrics.multiclass(oof, "class_code", "prediction")
+        r = m.select(F.lit(name).alias("model"), "*", ((F.col("mcc") >= 0.6) & (F.col("weighted_f1") >= 0.9)).alias("passed"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 @query("baseline_models")
 def baseline_models(s, d):
     """Accuracy and MCC of the baselines. A linear machine stands in for the

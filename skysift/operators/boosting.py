@@ -32,6 +32,8 @@ from ..session import stored
 #: Bins of a feature (the missing one comes on top), rounds between writings of
 #: the raw scores, and raw scores that are held at once in a task.
 BINS, KEEP, HELD = 32, 25, 1 << 18
+#: Files of a table up to which the tasks' sums come to the driver one by one.
+FEW = 16
 #: Least hessian of a leaf and least gain of a split.
 LEAST_HESSIAN, LEAST_GAIN = 1e-3, 1e-9
 
@@ -182,6 +184,7 @@ class Boosted:
     def __init__(self, rows: DataFrame, trees: Trees, plan: Plan, n_features: int, bins: int):
         self.rows, self.trees, self.plan, self.n_features, self.bins = rows, trees, plan, n_features, bins
         self._since = 0  # rounds that the rows' raw scores hold
+        self._files = len(rows.inputFiles())
 
     @classmethod
     def fit(cls, df: DataFrame, label: str, part: str, columns: tuple[str, ...], plan: Plan, rounds: int, keep: tuple[str, ...] = (), bins: int = BINS) -> Boosted:
@@ -237,9 +240,11 @@ class Boosted:
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(flat[some, k]) for k in range(3))], ["cell", "g", "h", "n"])
 
         each = self.rows.select("_y", "_part", "_b", "_raw").mapInArrow(sums, "cell long, g double, h double, n double")
-        got = each.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
+        if self._files > FEW:
+            each = each.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+        got = each.toArrow()
         out = np.zeros((int(np.prod(shape[:-1])), 3))
-        out[got.column("cell").to_numpy()] = np.stack([got.column(k).to_numpy() for k in ("g", "h", "n")], axis=1)
+        np.add.at(out, got.column("cell").to_numpy(), np.stack([got.column(k).to_numpy() for k in ("g", "h", "n")], axis=1))
         return out.reshape(shape)
 
     def _with_raw(self) -> DataFrame:

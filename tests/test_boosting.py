@@ -112,6 +112,22 @@ def test_a_sample_gives_the_same_trees(table, rows):
     assert np.allclose(np.stack(far.value), np.stack(near.value))
 
 
+def test_sums_of_many_files_are_added_in_spark(table, monkeypatch):
+    plan = boosting.Plan(np.ones((1, 3), bool), 3, least=5, depth=2)
+    one = boosting.Boosted.fit(table, "y", "fold", COLUMNS, plan, 2).trees
+    monkeypatch.setattr(boosting, "FEW", 0)
+    two = boosting.Boosted.fit(table, "y", "fold", COLUMNS, plan, 2).trees
+    assert all((a == b).all() for a, b in zip(one.feature + one.bin, two.feature + two.bin, strict=True))
+
+
+def test_population_beside_the_forest(spark):
+    from skysift.jobs import model_queries
+
+    rows = {r["model"]: r for r in model_queries.population_boosting(spark, "/root/testdata/sf0.001", 2, 3).collect()}
+    n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    assert set(rows) == {"boosted", "forest"} and all(r["n"] == n and -1 <= r["mcc"] <= 1 for r in rows.values())
+
+
 def test_no_rows_and_one_class(spark, table):
     none = table.where("id < 0")
     got = boosting.out_of_fold(none, "y", "fold", COLUMNS, 3, 3, 1, ("id",))
