@@ -10,6 +10,7 @@ from ..functions import physical
 from ..operators import catalogs, conformal, metrics, models, rank, splits
 from ..operators import waterfall as WF
 from ..sources import adapters as A
+from ..sources import records
 from .registry import query, with_
 
 #: Signal types by the cluster whose exemplars stand for them.
@@ -110,6 +111,27 @@ def narrowband_lookup(s, d):
     return catalogs.fallback(sig.select("signal_id"), side, "signal_id", "narrowband", F.lit(0.5))
 
 
+_SHARE = "8 + 32 * (CAST('0x' || substr(key, 25, 8) AS BIGINT) / 4294967296.0)"
+_FRB = f"""frb AS (SELECT 'FRB_' || CAST(object_id AS VARCHAR) AS name, 'FRB' AS origin, 'FRB' AS sig_type, dm, round({_SHARE}, 6) AS snr, 'Natural' AS true_role
+  FROM (SELECT object_id, dm, md5(CAST(object_id AS VARCHAR) || '-42') AS key FROM catalog WHERE dm IS NOT NULL) ORDER BY key, CAST(object_id AS VARCHAR) LIMIT 50)"""
+_RFI = f"""rfi AS (SELECT 'RFI_' || CAST(vec_id AS VARCHAR) AS name, 'RFI' AS origin, 'RFI' AS sig_type, 0.0 AS dm, round({_SHARE}, 6) AS snr, 'Interference' AS true_role
+  FROM (SELECT vec_id, md5(CAST(vec_id AS VARCHAR) || '-42') AS key FROM survey WHERE y = 0) ORDER BY key, vec_id LIMIT 50)"""
+
+
+@query("frb_records", with_(A.CATALOG, _FRB) + "SELECT name, origin, sig_type, round(dm, 6) AS dm, snr, true_role FROM frb")
+def frb_records(s, d, n: int = 50):
+    """A sample of n burst records (a sampling operator), in digest order."""
+    rows = records.sampled_bursts(A.catalog(s, d), "object_id", n)
+    return rows.withColumn("dm", F.round("dm", 6)).withColumn("snr", F.round("snr", 6))
+
+
+@query("audit_records", with_(A.CATALOG, A.SURVEY_SQL, _FRB, _RFI) + "SELECT name, origin, sig_type, round(dm, 6) AS dm, snr, true_role FROM (SELECT * FROM frb UNION ALL SELECT * FROM rfi)")
+def audit_records(s, d, n: int = 50):
+    """The union of audit records; the given tables come without archives."""
+    rows = records.audit_set(A.catalog(s, d), A.survey(s, d), A.SURVEY, n, n).records
+    return rows.withColumn("dm", F.round("dm", 6)).withColumn("snr", F.round("snr", 6))
+
+
 @query("unclassified_audit")
 def unclassified_audit(s, d, lo: float = 0.4, hi: float = 0.6, rounds: int = 100):
     """All rows that the ensemble cannot classify (probability in [lo, hi]): the
