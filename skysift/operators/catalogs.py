@@ -50,12 +50,12 @@ def impute(df: DataFrame, med: DataFrame, columns: tuple[str, ...] = physical.CO
 
 def standardize(df: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = (), floor: float = 1e-12, instead: float = 1.0) -> DataFrame:
     """z-scores with population spread; a spread of at most floor counts as
-    instead. Moments come from one partial aggregation."""
+    instead. Rows of a null group are a group. Moments come from one partial aggregation."""
     keys = list(by) or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(1))
     m = rows.groupBy(*keys).agg(*[F.avg(c).alias(f"_a_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
     z = {c: (F.col(c) - F.col(f"_a_{c}")) / F.when(F.col(f"_s_{c}") > floor, F.col(f"_s_{c}")).otherwise(instead) for c in columns}
-    return rows.join(m, keys).withColumns(z).drop(*[f"_{k}_{c}" for k in "as" for c in columns], *([] if by else ["_all"]))
+    return beside(rows, stored(m) if by else m, keys, None if by else True).withColumns(z).drop(*[f"_{k}_{c}" for k in "as" for c in columns], *([] if by else ["_all"]))
 
 
 def off_manifold(df: DataFrame, columns: tuple[str, ...] = physical.CONTINUOUS) -> DataFrame:

@@ -23,10 +23,16 @@ from ..session import stored
 RANGE_ROWS, MAX_RANGES, MAX_BROADCAST = 1_000_000, 4096, 100_000
 
 
-def beside(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+def beside(df: DataFrame, side: DataFrame, keys: list[str], small: bool | None = None) -> DataFrame:
     """Joins a stored table of a few numbers a row: by a broadcast if it has few
-    rows, by a shuffle if not."""
-    return df.join(F.broadcast(side) if side.count() <= MAX_BROADCAST else side, keys)
+    rows (or where the caller knows that it is small), by a shuffle if not. Keys
+    that are null meet each other: no row of df is lost to a null group."""
+    own = side.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in side.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    small = side.count() <= MAX_BROADCAST if small is None else small
+    return df.join(F.broadcast(own) if small else own, on).drop(*[f"_k_{k}" for k in keys])
 
 
 def n_ranges(rows: int) -> int:
