@@ -5,8 +5,8 @@ in it whose hash is smallest (the leftmost of equals), so windows with the same
 words have the same anchor at the same place. An anchor's context is all that
 its windows can reach.
 
-1. Every anchor sends its context's hash and its document's bucket; one shuffle
-   by the anchor's phrase. A context that comes twice confirms its phrase and all
+1. Every anchor sends its context's hash, its phrase in words and its document's
+   bucket; one shuffle by the anchor's phrase. A context that comes twice confirms its phrase and all
    windows of its anchor. A phrase that comes with several contexts makes its lone
    contexts doubtful: their windows may repeat in part.
 2. Windows of doubtful anchors, and of one copy of each context beside them, are
@@ -14,9 +14,9 @@ its windows can reach.
 3. Documents are dealt to buckets of about BUCKET_CHARS characters, and every
    confirmed phrase is sent to the buckets in which it stands. Each bucket is a
    shard: an Aho-Corasick automaton of its confirmed phrases is compiled and all
-   of its documents are streamed through it. The windows around the places that
-   it finds, and no others, are held against what was confirmed; the words that
-   confirmed windows cover go.
+   of its documents are streamed through it. Its hits alone say where to look:
+   only the words around a hit are hashed, and only windows whose anchor was hit
+   are held against what was confirmed; the words that confirmed windows cover go.
 
 Shards are buckets of documents and not of phrases, as each document would have
 to pass through every shard of phrases, and both grow with the corpus. Shuffled
@@ -107,27 +107,38 @@ def _bucketed(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("int").alias("b"))
 
 
+def _spelled(data: bytes, starts: np.ndarray, at: int) -> str:
+    """The phrase that begins with word at, its words joined by one space."""
+    end = int(starts[at + PHRASE]) if at + PHRASE < len(starts) else len(data)
+    return b" ".join(data[int(starts[at]) : end].split()).decode()
+
+
 def _anchor_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(phrase, context, b): each at most twice from a batch."""
+    """(phrase, context, b, words): each at most twice from a batch."""
     for part in parts:
         b = part["b"].to_numpy()
-        phrase, context, bucket = [], [], []
-        for i, h in wordhash.batch(part["text"].tolist()):
+        phrase, context, bucket, doc, place = [], [], [], [], []
+        texts: dict[int, tuple[bytes, np.ndarray]] = {}
+        for i, h, starts, data in wordhash.batch_at(part["text"].tolist()):
             if len(h) < WINDOW:
                 continue
             a = Anchors(h)
+            texts[i] = data, starts
             phrase.append(a.phrase)
             context.append(a.context)
             bucket.append(np.full(len(a.at), b[i], np.int32))
+            doc.append(np.full(len(a.at), i))
+            place.append(a.at)
         if not phrase:
             continue
-        p, c, k = np.concatenate(phrase), np.concatenate(context), np.concatenate(bucket)
+        p, c, k, d, at = (np.concatenate(x) for x in (phrase, context, bucket, doc, place))
         order = np.lexsort((k, c))
-        p, c, k = p[order], c[order], k[order]
+        p, c, k, d, at = p[order], c[order], k[order], d[order], at[order]
         third = np.zeros(len(c), bool)
         third[2:] = (c[2:] == c[:-2]) & (k[2:] == k[:-2])
         keep = ~third
-        yield pd.DataFrame({"phrase": p[keep].view(np.int64), "context": c[keep].view(np.int64), "b": k[keep]})
+        words = [_spelled(*texts[i], j) for i, j in zip(d[keep].tolist(), at[keep].tolist(), strict=True)]
+        yield pd.DataFrame({"phrase": p[keep].view(np.int64), "context": c[keep].view(np.int64), "b": k[keep], "words": words})
 
 
 def _with_neighbours(parts: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
@@ -167,7 +178,7 @@ def _classify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mark = np.where(whole, WHOLE | np.where(beside, PARTNER, 0), np.where(same_phrase, DOUBTFUL, 0)).astype(np.int8)
         keep = mark > 0
         if keep.any():
-            yield pd.DataFrame({c: rows[k].to_numpy()[keep] for c, k in (("b", "b"), ("phrase", "phrase"), ("value", "context"))} | {"mark": mark[keep]})
+            yield pd.DataFrame({c: rows[k].to_numpy()[keep] for c, k in (("b", "b"), ("phrase", "phrase"), ("value", "context"), ("words", "words"))} | {"mark": mark[keep]})
 
 
 def _doubtful_windows(docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
@@ -205,7 +216,7 @@ def _found_twice(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep = (prev[:, 0] | nxt[:, 0]) & rows["wanted"].to_numpy()
         if keep.any():
             columns = {c: rows[k].to_numpy()[keep] for c, k in (("b", "b"), ("phrase", "phrase"), ("value", "window"))}
-            yield pd.DataFrame(columns | {"mark": np.full(keep.sum(), WINDOW_MARK, np.int8)})
+            yield pd.DataFrame(columns | {"words": None, "mark": np.full(keep.sum(), WINDOW_MARK, np.int8)})
 
 
 def _compiled(phrases: set[str]):
@@ -231,32 +242,24 @@ def _places(automaton, words: list[str]) -> np.ndarray:
     return np.searchsorted(spaces, ends) - PHRASE + 1  # ascending, as the ends are
 
 
-def _cover(docs: pd.DataFrame, marks: pd.DataFrame) -> list[tuple[list[str], np.ndarray]]:
-    """(words, which of them go) of a bucket's documents."""
-    words = [_WORD.findall(t) for t in docs["text"]]
-    gone = [np.zeros(len(w), bool) for w in words]
-    value, m = marks["value"].to_numpy().view(_U), marks["mark"].to_numpy()
-    whole, window = np.unique(value[(m & WHOLE) > 0]), np.unique(value[(m & WINDOW_MARK) > 0])
-    confirmed = np.unique(marks["phrase"].to_numpy().view(_U))
-    anchors: dict[int, Anchors] = {}
-    phrases: dict[int, str] = {}
-    for i, h in wordhash.batch(docs["text"].tolist()):
-        if len(h) < WINDOW or not len(confirmed):
-            continue
-        a = anchors[i] = Anchors(h)
-        w = words[i]
-        at = np.flatnonzero(_member(a.phrase, confirmed))
-        for p, k in zip(a.at[at].tolist(), a.phrase[at].tolist(), strict=True):
-            if k not in phrases:  # the words of a phrase that came as a hash
-                phrases[k] = " ".join(w[p : p + PHRASE])
-    automaton = _compiled(set(phrases.values()))
-    if automaton is None:
-        return list(zip(words, gone, strict=True))
-    for i, a in anchors.items():
-        places = _places(automaton, words[i])
-        if not len(places):
-            continue
-        found = _member(a.at, places)  # anchors at which a phrase was found
+def _regions(places: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """The words (from, to) of all windows that hold a phrase at one of these
+    ascending places, in a text of n words; regions that meet are one."""
+    lo, hi = np.maximum(places - REACH, 0), np.minimum(places + PHRASE + REACH, n)
+    cut = np.flatnonzero(lo[1:] > hi[:-1]) + 1
+    ends = np.append(cut, len(places)) - 1
+    return [(int(lo[i]), int(hi[j])) for i, j in zip(np.append(0, cut), ends, strict=True)]
+
+
+def _removed(words: list[str], places: np.ndarray, whole: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Which words go: of the windows around the places at which the automaton
+    found a phrase, and of no others, those that were confirmed by way of it."""
+    gone = np.zeros(len(words), bool)
+    regions = [r for r in _regions(places, len(words)) if r[1] - r[0] >= WINDOW]
+    for i, h in wordhash.batch([" ".join(words[lo:hi]) for lo, hi in regions]):
+        lo, hi = regions[i]
+        a = Anchors(h)
+        found = _member(a.at + lo, places)  # a found phrase's context lies within the region
         ok = found & _member(a.context, whole)
         start = ok[a.of]
         if len(window):
@@ -264,11 +267,26 @@ def _cover(docs: pd.DataFrame, marks: pd.DataFrame) -> list[tuple[list[str], np.
             if len(maybe):
                 start[maybe[_member(a.windows()[maybe], window)]] = True
         start = np.flatnonzero(start)
-        step = np.zeros(len(words[i]) + 1, np.int64)
+        step = np.zeros(hi - lo + 1, np.int64)
         np.add.at(step, start, 1)
         np.add.at(step, start + WINDOW, -1)
-        gone[i] = np.cumsum(step[:-1]) > 0
-    return list(zip(words, gone, strict=True))
+        gone[lo:hi] |= np.cumsum(step[:-1]) > 0
+    return gone
+
+
+def _cover(docs: pd.DataFrame, marks: pd.DataFrame) -> list[tuple[list[str], np.ndarray]]:
+    """(words, which of them go) of a bucket's documents."""
+    words = [_WORD.findall(t) for t in docs["text"]]
+    value, m = marks["value"].to_numpy().view(_U), marks["mark"].to_numpy()
+    whole, window = np.unique(value[(m & WHOLE) > 0]), np.unique(value[(m & WINDOW_MARK) > 0])
+    confirmed = set(marks["phrase"].to_numpy()[(m & (WHOLE | WINDOW_MARK)) > 0].tolist())
+    spelled = {k: w for k, w in zip(marks["phrase"].tolist(), marks["words"].tolist(), strict=True) if w is not None and k in confirmed}
+    automaton = _compiled(set(spelled.values()))
+    out = []
+    for w in words:
+        places = _places(automaton, w) if automaton is not None and len(w) >= WINDOW else np.zeros(0, np.int64)
+        out.append((w, _removed(w, places, whole, window) if len(places) else np.zeros(len(w), bool)))
+    return out
 
 
 def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -276,14 +294,15 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / BUCKET_CHARS))
     rows = _bucketed(docs, n)
-    anchors = rows.select("text", "b").mapInPandas(_anchor_rows, "phrase long, context long, b int")
+    anchors = rows.select("text", "b").mapInPandas(_anchor_rows, "phrase long, context long, b int, words string")
     sorted_anchors = anchors.repartition("phrase").sortWithinPartitions("phrase", "context", "b")
-    marks = stored(sorted_anchors.mapInPandas(_classify, "b int, phrase long, value long, mark byte"))
+    marks = stored(sorted_anchors.mapInPandas(_classify, "b int, phrase long, value long, words string, mark byte"))
 
-    asked = marks.where(F.col("mark").bitwiseAND(DOUBTFUL | PARTNER) != 0)
+    asked = marks.where(F.col("mark").bitwiseAND(DOUBTFUL | PARTNER) != 0).drop("words")
     windows = rows.groupBy("b").cogroup(asked.groupBy("b")).applyInPandas(_doubtful_windows, "window long, phrase long, b int, wanted boolean")
-    twice = windows.repartition("window").sortWithinPartitions("window").mapInPandas(_found_twice, "b int, phrase long, value long, mark byte")
-    return rows, marks.where(F.col("mark").bitwiseAND(WHOLE) != 0).unionByName(stored(twice))
+    twice = windows.repartition("window").sortWithinPartitions("window").mapInPandas(_found_twice, "b int, phrase long, value long, words string, mark byte")
+    # doubtful marks go along: a confirmed window's phrase is spelled in one of its bucket
+    return rows, marks.unionByName(stored(twice))
 
 
 def dedup(docs: DataFrame, separator: str = " ") -> DataFrame:

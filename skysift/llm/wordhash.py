@@ -91,6 +91,13 @@ def _words(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
 
 def batch(texts: list[str], lower: bool = False) -> Iterator[tuple[int, np.ndarray]]:
     """(index of the text, its word hashes), texts hashed many at a time."""
+    for i, h, _, _ in batch_at(texts, lower):
+        yield i, h
+
+
+def batch_at(texts: list[str], lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]:
+    """(index of the text, its word hashes, the bytes at which its words begin,
+    its UTF-8)."""
     group: list[bytes] = []
     first, size = 0, 0
     for i, t in enumerate(texts):
@@ -106,15 +113,20 @@ def batch(texts: list[str], lower: bool = False) -> Iterator[tuple[int, np.ndarr
         yield from _group(first, group, lower)
 
 
-def _group(first: int, group: list[bytes], lower: bool) -> Iterator[tuple[int, np.ndarray]]:
+def _group(first: int, group: list[bytes], lower: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]:
     if len(group) == 1:
-        yield first, words(group[0], lower)
+        parts, at = [], 0
+        for s in _slices(group[0]):
+            h, starts = _words(s, lower)
+            parts.append((h, starts + at))
+            at += len(s)
+        yield first, np.concatenate([h for h, _ in parts]), np.concatenate([x for _, x in parts]), group[0]
         return
     h, starts = _words(b"\n".join(group), lower)
     edges = np.cumsum([0] + [len(g) + 1 for g in group])
     at = np.searchsorted(starts, edges)
     for i in range(len(group)):
-        yield first + i, h[at[i] : at[i + 1]]
+        yield first + i, h[at[i] : at[i + 1]], starts[at[i] : at[i + 1]] - edges[i], group[i]
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:

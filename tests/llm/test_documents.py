@@ -376,6 +376,21 @@ def test_the_automata_find_the_repeats(spark, monkeypatch):
     monkeypatch.setattr(phrase_dedup, "_places", lambda automaton, words: np.zeros(0, int))
     assert sum(int(g.sum()) for _, g in phrase_dedup._cover(docs, marks)) == 0
     monkeypatch.undo()
+    # what is looked at follows from the hits: around them, and all words if every place were one
+    looked = []
+    inner = phrase_dedup.wordhash.batch
+    monkeypatch.setattr(phrase_dedup.wordhash, "batch", lambda texts, lower=False: inner(looked.append(sum(len(t.split()) for t in texts)) or texts, lower))
+    phrase_dedup._cover(docs, marks)
+    some, total = sum(looked), sum(len(WORD.findall(t)) for t in docs["text"])
+    assert 2 * 60 <= some < total - 80 - 60  # nothing of the third text, not all of the others
+    looked.clear()
+    monkeypatch.setattr(phrase_dedup, "_places", lambda automaton, words: np.arange(len(words) - phrase_dedup.PHRASE + 1))
+    phrase_dedup._cover(docs, marks)
+    assert sum(looked) == total
+    monkeypatch.undo()
+    # the automata hold phrases as words: with one letter changed in them nothing is found
+    off = marks.assign(words=[None if w is None else w.replace("b", "q") for w in marks["words"]])
+    assert sum(int(g.sum()) for _, g in phrase_dedup._cover(docs, off)) < sum(want[i][0] for i in want)
     monkeypatch.setattr(phrase_dedup, "STEP", 7)
     assert [int(g.sum()) for _, g in phrase_dedup._cover(docs, marks)] == [want[i][0] for i in docs["doc_id"]]
 
