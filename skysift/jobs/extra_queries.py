@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import physical
-from ..operators import catalogs, conformal, metrics, models, rank, splits
+from ..operators import catalogs, conformal, metrics, models, rank, resample, splits
 from ..operators import waterfall as WF
 from ..sources import adapters as A
 from ..sources import records
@@ -152,17 +152,9 @@ def unclassified_top(s, d, k: int = 20):
 
 
 @query("auroc_bootstrap")
-def auroc_bootstrap(s, d, replicates: int = 50):
-    """(n, auroc, low, high): Poisson bootstrap of the AUROC, weights by hash."""
-    rows = A.predictions(s, d).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    u = (F.pmod(F.xxhash64("id", "_r"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    weight = sum(((u > c).cast("int") for c in (0.36788, 0.73576, 0.91970, 0.98101, 0.99634)), F.lit(0))
-    weighted = rows.withColumn("_w", F.when(F.col("_r") == 0, 1).otherwise(weight)).where("_w > 0")
-    spread = weighted.select("_r", "prob", "y", F.explode(F.sequence(F.lit(1), F.col("_w"))).alias("_k"))
-    each = conformal.auroc(spread, "prob", "y", ("_r",))
-    one = each.where("_r = 0").select((F.col("n_pos") + F.col("n_neg")).alias("n"), "auroc")
-    ends = each.where("_r > 0").agg(F.percentile("auroc", 0.025).alias("low"), F.percentile("auroc", 0.975).alias("high"))
-    return one.join(ends)
+def auroc_bootstrap(s, d, replicates: int = 1000):
+    """(n, auroc, low, high): Poisson bootstrap of the AUROC over both pools."""
+    return resample.auroc(A.predictions(s, d), "prob", "y", "id", replicates)
 
 
 @query("learning_curve")

@@ -128,23 +128,3 @@ def by_type(df: DataFrame, kind: str, score: str, flagged: Column) -> DataFrame:
         F.count("*").alias("n"), F.count_if(flagged).alias("ood_count"), F.avg(score).alias("mean_score"), F.min(score).alias("min_score")
     )
     return c.withColumn("ood_fraction", F.col("ood_count") / F.col("n"))
-
-
-def bootstrap(df: DataFrame, value: str, id_col: str, replicates: int = 200, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """(n, mean, low, high): percentile interval of the mean by the Poisson
-    bootstrap: every row draws its weight in each replicate from a hash of its
-    id, so weights need no second pass and no driver; under two rows no
-    interval."""
-    # weights of a Poisson(1) draw: cumulative probabilities of 0, 1, 2, ...
-    cdf, term, total = [], math.exp(-1), 0.0
-    for k in range(1, 8):
-        total += term
-        cdf.append(total)
-        term /= k
-    u = (F.pmod(F.xxhash64(F.col(id_col), F.col("_r"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    w = sum(((u > F.lit(c)).cast("int") for c in cdf), F.lit(0))
-    rows = df.select(id_col, value).withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", w)
-    means = rows.groupBy("_r").agg((F.sum(F.col(value) * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0))).alias("m"))
-    ends = means.agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"))
-    one = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    return one.join(ends).select("n", "mean", *[F.when(F.col("n") > 1, F.col(c)).alias(c) for c in ("low", "high")])
