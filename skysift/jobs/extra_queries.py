@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import physical
-from ..operators import catalogs, conformal, metrics, models, rank, resample, splits
+from ..operators import boosting, catalogs, conformal, metrics, models, rank, resample, splits
 from ..operators import waterfall as WF
+from ..session import stored
 from ..sources import adapters as A
 from ..sources import records
 from .registry import query, with_
@@ -157,34 +158,62 @@ def auroc_bootstrap(s, d, replicates: int = 1000):
     return resample.auroc(A.predictions(s, d), "prob", "y", "id", replicates)
 
 
+SIZES, CURVE_FOLDS = (0.1, 0.2, 0.4, 0.6, 0.8, 1.0), 5
+
+
 @query("learning_curve")
 def learning_curve(s, d):
-    """(share, n, accuracy, mcc) of a forest on growing shares of the fit part."""
+    """(share, fold, n, accuracy, mcc): a forest on six growing shares of what is
+    outside a fold, scored on the fold. The shares are nested."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    v = splits.fit_calibration(A.survey(s, d), "vec_id", "y", 0.8).withColumn("u", splits.hashed_fraction("vec_id", 7))
-    rows = VectorAssembler(inputCols=list(A.SURVEY), outputCol="features").transform(v).cache()
-    test, out = rows.where("is_fit = 0"), None
-    for share in (0.2, 0.5, 1.0):
-        part = rows.where((F.col("is_fit") == 1) & (F.col("u") < share))
-        model = RandomForestClassifier(labelCol="y", numTrees=10, maxDepth=5, seed=42).fit(part)
-        m = metrics.binary(model.transform(test).withColumn("p", F.col("prediction").cast("int")), "y", "p")
-        r = m.select(F.lit(share).alias("share"), F.lit(part.count()).alias("n"), "accuracy", "mcc")
-        out = r if out is None else out.unionByName(r)
+    v = splits.kfold(A.survey(s, d), "vec_id", "y", CURVE_FOLDS).withColumn("u", splits.hashed_fraction("vec_id", 7))
+    rows, out = stored(VectorAssembler(inputCols=list(A.SURVEY), outputCol="features").transform(v)), None
+    for share in SIZES:
+        for k in range(CURVE_FOLDS):
+            part = rows.where((F.col("fold") != k) & (F.col("u") < share))
+            model = RandomForestClassifier(labelCol="y", numTrees=10, maxDepth=5, seed=42).fit(part)
+            m = metrics.binary(model.transform(rows.where(F.col("fold") == k)).withColumn("p", F.col("prediction").cast("int")), "y", "p")
+            r = m.select(F.lit(share).alias("share"), F.lit(k).alias("fold"), F.lit(part.count()).alias("n"), "accuracy", "mcc")
+            out = r if out is None else out.unionByName(r)
     return out
 
 
-@query("grid_search")
-def grid_search(s, d):
-    """(max_depth, trees, mcc) by inner folds, best first."""
-    from pyspark.ml.classification import RandomForestClassifier
+#: The grid: learning rates, depths (a tree of depth d has 2^d leaves) and L2.
+GRID = [(rate, depth, l2) for rate in (0.05, 0.1, 0.2) for depth in (2, 3, 4) for l2 in (0.0, 1.0)]
+OUTER, INNER = 5, 3
+
+
+def nested_search(v, rounds: int, bins: int = 16):
+    """(fold, rate, depth, l2, inner_mcc, tp .. mcc): in every outer fold the cell
+    of the grid with the best mean MCC over inner folds of the rest, and what it
+    scores on the fold. All cells of all folds are one fit over shared bins."""
+    rows = splits.kfold(splits.kfold(v, "vec_id", "y", OUTER).withColumnRenamed("fold", "outer"), "vec_id", "y", INNER, 43)
+    rows = stored(rows.withColumn("part", F.col("outer") * INNER + F.col("fold")))
+    part = np.arange(OUTER * INNER)
+    each = [(g, o, i) for g in range(len(GRID)) for o in range(OUTER) for i in range(INNER)]
+    use = np.array([(part // INNER != o) & (part % INNER != i) for _, o, i in each])
+    rate, depth, l2 = (np.array([GRID[g][k] for g, *_ in each]) for k in range(3))
+    search = boosting.Boosted.fit(rows, "y", "part", A.SURVEY, boosting.Plan(use, 2, rate, l2, 20, depth), rounds, bins=bins)
+    seen = search.every_prediction().withColumns({"cell": F.floor(F.col("model") / (OUTER * INNER)), "o": F.floor(F.col("model") / INNER) % OUTER, "i": F.col("model") % INNER})
+    held = seen.where((F.floor(F.col("_part") / INNER) != F.col("o")) & (F.col("_part") % INNER == F.col("i")))
+    hit = lambda t, q: F.sum(F.when((F.col("_y") == t) & (F.col("prediction") == q), F.col("n")).otherwise(0)).cast("double")
+    c = held.groupBy("cell", "o", "i").agg(hit(1, 1).alias("tp"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), hit(0, 0).alias("tn"))
+    tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
+    mcc = metrics.ratio(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))
+    mean = c.select("cell", "o", mcc.alias("m")).groupBy("cell", "o").agg(F.round(F.avg("m"), 9).alias("m"))
+    best = mean.groupBy("o").agg(F.max(F.struct("m", (-F.col("cell")).alias("c"))).alias("b")).select("o", F.col("b.m").alias("m"), (-F.col("b.c")).alias("cell")).collect()
+    found = {int(r["o"]): (float(r["m"]), *GRID[int(r["cell"])]) for r in best}  # a row for each outer fold
+    own = [found[o] for o in range(OUTER)]
+    plan = boosting.Plan(~np.eye(OUTER, dtype=bool), 2, np.array([x[1] for x in own]), np.array([x[3] for x in own]), 20, np.array([x[2] for x in own]))
+    last = boosting.Boosted.fit(rows, "y", "outer", A.SURVEY, plan, rounds, bins=bins).probabilities(list(range(OUTER)))
+    scored = metrics.binary(last.select(F.col("_part").alias("fold"), F.col("_y").alias("y"), "prediction"), "y", "prediction", by=("fold",))
+    cells = v.sparkSession.createDataFrame([(o, x[1], x[2], x[3], x[0]) for o, x in found.items()], "fold int, rate double, depth int, l2 double, inner_mcc double")
+    return cells.join(scored, "fold")
 
-    out = None
-    for depth in (3, 5):
-        for trees in (5, 10):
-            forest = RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=depth, seed=42)
-            oof = models.out_of_fold(A.survey(s, d), forest, "y", A.SURVEY, "vec_id", 2)
-            r = metrics.binary(oof, "y", "prediction").select(F.lit(depth).alias("max_depth"), F.lit(trees).alias("trees"), "mcc")
-            out = r if out is None else out.unionByName(r)
-    return out.orderBy(F.col("mcc").desc(), "max_depth", "trees")
+
+@query("grid_search")
+def grid_search(s, d, rounds: int = 20):
+    """Nested search over 18 cells, three inner and five outer folds."""
+    return nested_search(A.survey(s, d), rounds)

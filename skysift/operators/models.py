@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .rank import quantiles
 
 
@@ -191,11 +192,31 @@ def probabilities(df: DataFrame, estimator, columns: tuple[str, ...], name: str
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = VectorAssembler(inputCols=list(columns), outputCol="features").transform(df).cache()
+    rows = stored(VectorAssembler(inputCols=list(columns), outputCol="features").transform(df))
     got = estimator.fit(rows).transform(rows).withColumn(name, vector_to_array("probability")[1])
     return got.drop("features", "rawPrediction", "probability", "prediction")
 
 
+def fourier(df: DataFrame, columns: tuple[str, ...], m: int = 256, gamma: float | None = None, seed: int = 42, name: str = "kernel") -> DataFrame:
+    """Adds an array of m random Fourier features of the standardised columns:
+    products of two rows' arrays come near the kernel exp(-gamma |x - y|^2), with
+    an error of order 1 / sqrt(m). gamma is 1 / columns if it is not given. A
+    linear fit on them is a kernel machine whose fit needs no kernel matrix."""
+    s = df.agg(*[F.avg(c).alias(f"a{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    shift = np.array([float(s[f"a{i}"] or 0) for i in range(len(columns))])
+    scale = np.array([float(s[f"s{i}"]) if (s[f"s{i}"] or 0) > 1e-12 else 1.0 for i in range(len(columns))])
+    rng = np.random.default_rng(seed)
+    w = rng.standard_normal((len(columns), m)) * math.sqrt(2 * (gamma if gamma is not None else 1 / len(columns)))
+    b = rng.uniform(0, 2 * math.pi, m)
+
+    @F.pandas_udf("array<double>")
+    def mapped(*x: pd.Series) -> pd.Series:
+        z = (np.stack([c.to_numpy(float) for c in x], axis=1) - shift) / scale
+        return pd.Series(list(math.sqrt(2 / m) * np.cos(z @ w + b)))
+
+    return df.withColumn(name, mapped(*[F.col(c) for c in columns]))
+
+
 def out_of_fold(df: DataFrame, estimator, label: str, columns: tuple[str, ...], id_col: str, folds: int = 3) -> DataFrame:
     """(id, label, fold, prediction): each fold predicted by a model that is
     fitted on the others. estimator is a pyspark.ml classifier."""
@@ -203,7 +224,7 @@ def out_of_fold(df: DataFrame, estimator, label: str, columns: tuple[str, ...],
 
     from .splits import kfold
 
-    rows = VectorAssembler(inputCols=list(columns), outputCol="features").transform(kfold(df, id_col, label, folds)).cache()
+    rows = stored(VectorAssembler(inputCols=list(columns), outputCol="features").transform(kfold(df, id_col, label, folds)))
     out = None
     for k in range(folds):
         model = estimator.fit(rows.where(F.col("fold") != k))

@@ -134,3 +134,30 @@ def test_no_rows_and_one_class(spark, table):
     assert got.count() == 0
     one = boosting.out_of_fold(table.withColumn("y", F.lit(1)), "y", "fold", COLUMNS, 2, 3, 2, ("id",))
     assert {r["prediction"] for r in one.collect()} == {1}
+
+
+def test_kernel_features(spark, table):
+    from skysift.operators import models
+
+    full = table.where("a IS NOT NULL AND NOT isnan(a) AND c IS NOT NULL").select("id", *COLUMNS)
+    rows = models.fourier(full, COLUMNS, 2000, 0.4).orderBy("id").limit(40).toPandas()
+    every = full.toPandas()
+    x = (rows[list(COLUMNS)].to_numpy() - every[list(COLUMNS)].mean().to_numpy()) / every[list(COLUMNS)].std(ddof=0).to_numpy()
+    z = np.stack(rows["kernel"])
+    exact = np.exp(-0.4 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert np.abs(z @ z.T - exact).max() < 0.1 and np.abs(z @ z.T - exact).mean() < 0.025
+
+
+def test_nested_search(spark):
+    from skysift.jobs import extra_queries
+    from skysift.sources import adapters as A
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (400, 8))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int)
+    df = spark.createDataFrame([(i, *map(float, r), int(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))], "vec_id long, " + ", ".join(f"{c} double" for c in A.SURVEY) + ", y int")
+    rows = extra_queries.nested_search(df, 6, 8).collect()
+    assert sorted(r["fold"] for r in rows) == list(range(5)) and len(extra_queries.GRID) == 18
+    # a product needs two levels at least: a deep cell is chosen and carries over
+    assert all(r["depth"] > 2 and r["inner_mcc"] > 0.3 for r in rows) and np.mean([r["mcc"] for r in rows]) > 0.3
+    assert sum(r["tp"] + r["fp"] + r["fn"] + r["tn"] for r in rows) == 400
