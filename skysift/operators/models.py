@@ -16,23 +16,39 @@ from ..session import stored
 from .rank import quantiles
 
 
-def moments(df: DataFrame, columns: tuple[str, ...], weight: Column | None = None):
-    """(n, mean, X'X, sum of |x|^4) about 0 in one aggregation; bounded by D^2."""
-    w = weight if weight is not None else F.lit(1.0)
+def _sums(columns: tuple[str, ...], w: Column) -> list[Column]:
+    """n, sums, sums of products and of |x|^4, as aggregates; bounded by D^2."""
     square = sum((F.col(c) * F.col(c) for c in columns[1:]), F.col(columns[0]) * F.col(columns[0]))
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = df.agg(
+    return [
         F.sum(w).alias("n"), *[F.sum(w * F.col(c)).alias(f"s{i}") for i, c in enumerate(columns)],
         *[F.sum(w * F.col(columns[i]) * F.col(columns[j])).alias(f"q{i}_{j}") for i, j in pairs], F.sum(w * square * square).alias("four"),
-    ).first()
+    ]
+
+
+def _moments_of(row, d: int):
     n = float(row["n"] or 0)
-    q = np.zeros((len(columns), len(columns)))
-    for i, j in pairs:
-        q[i, j] = q[j, i] = float(row[f"q{i}_{j}"] or 0)
-    mean = np.array([float(row[f"s{i}"] or 0) for i in range(len(columns))]) / max(n, 1e-300)
+    q = np.zeros((d, d))
+    for i in range(d):
+        for j in range(i, d):
+            q[i, j] = q[j, i] = float(row[f"q{i}_{j}"] or 0)
+    mean = np.array([float(row[f"s{i}"] or 0) for i in range(d)]) / max(n, 1e-300)
     return n, mean, q, float(row["four"] or 0)
 
 
+def moments(df: DataFrame, columns: tuple[str, ...], weight: Column | None = None):
+    """(n, mean, X'X, sum of |x|^4) about 0 in one aggregation."""
+    w = weight if weight is not None else F.lit(1.0)
+    return _moments_of(df.agg(*_sums(columns, w)).first(), len(columns))
+
+
+def moments_by(df: DataFrame, columns: tuple[str, ...], label: str, centres: dict) -> dict:
+    """The moments of every class about its centre, all in one aggregation."""
+    at = F.create_map(*[x for y, m in centres.items() for x in (F.lit(y), F.array(*[F.lit(float(v)) for v in m]))])
+    off = df.select(label, *[(F.col(c) - at[F.col(label)][i]).alias(c) for i, c in enumerate(columns)])
+    return {r[label]: _moments_of(r, len(columns)) for r in off.groupBy(label).agg(*_sums(columns, F.lit(1.0))).collect()}  # a row for each class
+
+
 def ledoit_wolf(n: float, q: np.ndarray, four: float) -> np.ndarray:
     """Shrunk covariance of centred data from its sums (Ledoit and Wolf 2004)."""
     p = len(q)
@@ -78,9 +94,8 @@ class Detector:
             z_centres = z.groupBy(label).agg(*[F.avg(c).alias(c) for c in columns])
         centres = {r[label]: np.array([float(r[c]) for c in columns]) for r in z_centres.collect()}  # a row for each class
         classes = {}
-        for y, m in centres.items():
-            own = z.where(F.col(label) == y).select(*[(F.col(c) - float(v)).alias(c) for c, v in zip(columns, m, strict=True)])
-            n, _, q, four = moments(own, columns)
+        for y, (n, _, q, four) in moments_by(z.where(F.col(label).isNotNull()), columns, label, {k: m for k, m in centres.items() if k is not None}).items():
+            m = centres[y]
             classes[y] = (m, np.linalg.inv(ledoit_wolf(n, q, four)) if n >= 2 else np.eye(len(columns)))
         return cls(columns, shift, scale, classes)
 
