@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import longwave as LW
 from ..operators import waterfall as WF
 from ..operators import waveform as WV
 from ..sources import adapters as A
@@ -254,14 +256,38 @@ def lz76_complexity(s, d):
     return WV.spectra(A.waves(s, d), "lz76")
 
 
-@query("fft_peaks")
-def fft_peaks(s, d):
-    return WV.spectra(A.waves(s, d), "fft_freq", "fft_mag", "drift_rate")
+_LINES = """sized AS (SELECT signal_id, pos, x, count(*) OVER (PARTITION BY signal_id) AS size FROM waves),
+parts AS (
+  SELECT signal_id, 0 AS part, pos, x, size AS n FROM sized
+  UNION ALL SELECT signal_id, pos // (size // 4) + 1, pos % (size // 4), x, size // 4 FROM sized WHERE size >= 64 AND pos < size // 4 * 4
+), lines AS (
+  SELECT signal_id, part, n, k, k * (1.0::DOUBLE / (n * 0.001::DOUBLE)) AS f, sum(x * cos(2 * pi() * ((k * pos) % n) / n)) ** 2 + sum(x * sin(2 * pi() * ((k * pos) % n) / n)) ** 2 AS power
+  FROM (SELECT *, unnest(range(1, n // 2 + 1)) AS k FROM parts) GROUP BY ALL
+), tops AS (SELECT signal_id, part, n, arg_max(f, power) AS freq, max(power) AS most FROM lines GROUP BY ALL)"""
 
 
-@query("harmonic_complexity")
+@query(
+    "fft_peaks",
+    with_(A.WAVES, _LINES) + """, slopes AS (SELECT signal_id, regr_slope(freq, (part - 0.5) * n / 1000) AS slope FROM tops WHERE part > 0 GROUP BY signal_id)
+SELECT i.signal_id, round(coalesce(freq, 0), 6) AS fft_freq, round(coalesce(sqrt(most), 0), 6) AS fft_mag, round(CASE WHEN abs(slope) >= 0.5 THEN slope ELSE 0 END, 6) AS drift_rate
+FROM (SELECT DISTINCT signal_id FROM waves) i LEFT JOIN tops t ON t.signal_id = i.signal_id AND part = 0 LEFT JOIN slopes s ON s.signal_id = i.signal_id""",
+)
+def fft_peaks(s, d):
+    names = ("fft_freq", "fft_mag", "drift_rate")
+    return WV.spectra(A.waves(s, d), *names).select("signal_id", *[F.round(c, 6).alias(c) for c in names])
+
+
+@query(
+    "harmonic_complexity",
+    with_(A.WAVES, _LINES) + """, heard AS (
+  SELECT t.signal_id, m, coalesce(max(power) FILTER (abs(f - m * freq) <= greatest(1.5::DOUBLE * (1.0::DOUBLE / (t.n * 0.001::DOUBLE)), 2)), 0) / any_value(most) AS share
+  FROM (SELECT *, unnest([2, 3, 4, 5]) AS m FROM tops WHERE part = 0 AND n >= 4 AND most > 0) t JOIN lines l ON l.signal_id = t.signal_id AND l.part = 0
+  WHERE m * freq <= 500 GROUP BY t.signal_id, m
+)
+SELECT i.signal_id, round(coalesce(avg(share), 0), 6) AS harmonics FROM (SELECT DISTINCT signal_id FROM waves) i LEFT JOIN heard USING (signal_id) GROUP BY i.signal_id""",
+)
 def harmonic_complexity(s, d):
-    return WV.spectra(A.waves(s, d), "harmonics")
+    return WV.spectra(A.waves(s, d), "harmonics").select("signal_id", F.round("harmonics", 6).alias("harmonics"))
 
 
 @query("lyapunov_mle")
@@ -272,3 +298,31 @@ def lyapunov_mle(s, d):
 @query("chaos_order")
 def chaos_order(s, d):
     return WV.chaos(A.waves(s, d))
+
+
+#: Bands of a series' spectrum.
+BANDS = 64
+
+
+@query(
+    "series_periodogram",
+    f"""WITH s AS (
+  SELECT event_type AS series, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos, value AS x, count(*) OVER (PARTITION BY event_type) AS n FROM events
+), f AS (
+  SELECT series, n, k, sum(x * cos(2 * pi() * ((k * pos) % n) / n)) AS re, sum(x * sin(2 * pi() * ((k * pos) % n) / n)) AS im
+  FROM (SELECT *, unnest(range(1, n // 2 + 1)) AS k FROM s) GROUP BY ALL
+), p AS (SELECT series, n, k, re * re + im * im AS power, CAST((k - 1) * {BANDS} // (n // 2) AS INTEGER) AS band FROM f)
+SELECT series, band, count(*) AS n_lines, arg_max(k, power) AS peak, round(sum(power) / max(total), 8) AS share
+FROM p JOIN (SELECT series, sum(power) AS total FROM p GROUP BY series) USING (series) GROUP BY series, band""",
+)
+def series_periodogram(s, d):
+    """(series, band, n_lines, peak, share): the spectrum of all values of an event
+    type, one after the other, as one signal that no task holds: each band's
+    strongest line and its share of the power."""
+    e = A.table(s, d, "events").select(F.col("event_type").alias("series"), "event_id", F.col("value").alias("x"))
+    lines = LW.spectrum(LW.numbered(e, "event_id", "series"), "series").where("k > 0")
+    band = F.floor((F.col("k") - 1) * BANDS / F.floor(F.col("n") / 2)).cast("int")
+    lines = lines.select("series", "k", band.alias("band"), (F.col("re") ** 2 + F.col("im") ** 2).alias("power"))
+    bands = lines.groupBy("series", "band").agg(F.count("*").alias("n_lines"), F.max_by("k", "power").alias("peak"), F.sum("power").alias("power"))
+    total = F.sum("power").over(W.partitionBy("series"))  # a row for each band
+    return bands.select("series", "band", "n_lines", "peak", F.round(F.col("power") / total, 8).alias("share"))

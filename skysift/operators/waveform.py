@@ -13,6 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import stored
+from . import longwave, rank
+
 
 def _by_pos() -> WindowSpec:
     return W.partitionBy("signal_id").orderBy("pos")
@@ -73,10 +76,14 @@ def delay_embedding(df: DataFrame, dim: int = 5, delay: int = 2) -> DataFrame:
 def lz76(x: np.ndarray) -> float:
     """Lempel-Ziv (1976) phrases of the signal cut at its median, relative to
     n / (log2 n + 1)."""
-    n = len(x)
+    return phrase_rate("".join("1" if v else "0" for v in x > np.median(x))) if len(x) > 1 else 0.0
+
+
+def phrase_rate(s: str) -> float:
+    """Lempel-Ziv (1976) phrases of a string, relative to n / (log2 n + 1)."""
+    n = len(s)
     if n < 2:
         return 0.0
-    s = "".join("1" if v else "0" for v in x > np.median(x))
     phrases, at = 0, 0
     while at < n:
         size, found = 1, 0
@@ -216,10 +223,30 @@ SPECTRAL = {
 }
 
 
-def spectra(df: DataFrame, *columns: str) -> DataFrame:
-    """(signal_id, columns) of SPECTRAL: one Arrow group per signal, in which
-    nothing but the columns asked for is computed."""
+#: Samples of a signal up to which one task reads it whole.
+LONG = 1 << 20
+
 
+def spectra(df: DataFrame, *columns: str) -> DataFrame:
+    """(signal_id, columns) of SPECTRAL. Signals of up to LONG samples are an Arrow
+    group each, in which nothing but the columns asked for is computed. Spectra of
+    longer ones are split over tasks (longwave), and their phrases are counted on
+    one letter a sample."""
+    size = stored(df.groupBy("signal_id").agg(F.count("*").alias("_n")))
+    if not size.where(F.col("_n") > LONG).limit(1).count():
+        return _spectra_whole(df, columns)
+    rows = stored(rank.beside(df, size, ["signal_id"]))
+    out = _spectra_whole(rows.where(F.col("_n") <= LONG).drop("_n"), columns)
+    long = longwave.numbered(rows.where(F.col("_n") > LONG).drop("_n"), "pos", "signal_id")
+    long = stored(long.select("signal_id", "pos", "x"))
+    split = [c for c in columns if c != "lz76"]
+    more = longwave.numbers(long, *split) if split else long.select("signal_id").distinct()
+    if "lz76" in columns:
+        more = more.join(_phrases(longwave.letters(long)), "signal_id")
+    return out.unionByName(more.select(*out.columns))
+
+
+def _spectra_whole(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     def run(g: pd.DataFrame) -> pd.DataFrame:
         x = g.sort_values("pos")["x"].to_numpy(float)
         return pd.DataFrame({"signal_id": [g["signal_id"].iloc[0]], **{c: [SPECTRAL[c](x)] for c in columns}})
@@ -227,6 +254,14 @@ def spectra(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy("signal_id").applyInPandas(run, "signal_id long" + "".join(f", {c} double" for c in columns))
 
 
+def _phrases(pieces: DataFrame) -> DataFrame:
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        s = "".join(g.sort_values("piece")["s"])
+        return pd.DataFrame({"signal_id": [g["signal_id"].iloc[0]], "lz76": [phrase_rate(s)]})
+
+    return pieces.groupBy("signal_id").applyInPandas(run, "signal_id long, lz76 double")
+
+
 def spectral_features(df: DataFrame) -> DataFrame:
     """(signal_id, the SPECTRAL columns, lyapunov, chaos_p)."""
     return spectra(df, *SPECTRAL).join(chaos(df), "signal_id")
