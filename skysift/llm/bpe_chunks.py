@@ -15,7 +15,7 @@ reach over it, so for the tokenizers that are accepted here windows agree at
 once; the tests hold this against the tokenizer on whole texts.
 
 Edge cases: null and empty texts have no ids and decode to the empty text.
-Repeated rows are encoded each. Extra columns are ignored. Texts of any length
+Repeated rows are encoded each, null ids stay null. Extra columns are ignored. Texts of any length
 are encoded whole; a run without white space is one word, whatever its length.
 """
 
@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_rows
+
 #: A chunk has 2**CHUNK_BITS bytes on average. Texts of a batch have about
 #: BATCH_BYTES; longer words than MAX_WORD are not kept.
 CHUNK_BITS, BATCH_BYTES, MAX_WORD = 11, 1 << 21, 256
@@ -286,7 +288,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             yield pd.DataFrame({"doc_id": part["doc_id"], "ids": ids, "decoded": [b" ".join(d).decode() for _, d in both]})
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, ids array<int>, decoded string")
+    return map_rows(rows, run, "ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -306,7 +308,7 @@ def digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": n, "ids_sha256": ids_hash, "decoded_sha256": text_hash})
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(rows, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepared, stored
 
-__all__ = ["MAX_BROADCAST", "WHITE", "WORD", "beside", "stored", "table"]
+__all__ = ["MAX_BROADCAST", "WHITE", "WORD", "beside", "ids_as_long", "ids_as_text", "map_rows", "stored", "table"]
 
 #: Characters that separate words: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -27,3 +29,19 @@ def beside(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
     is small, by a shuffle if not."""
     small = side.count() <= MAX_BROADCAST
     return df.join(F.broadcast(side) if small else side, key)
+
+
+def ids_as_text(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Ids for a way through pandas, which turns the integers of a batch with a null
+    into floats: ids beyond 2 ** 53 would change."""
+    return df.withColumn(id_col, F.col(id_col).cast("string"))
+
+
+def ids_as_long(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return df.withColumn(id_col, F.col(id_col).cast("long"))
+
+
+def map_rows(rows: DataFrame, run: Callable, schema: str, id_col: str = "doc_id") -> DataFrame:
+    """mapInPandas of rows with an id, (id long, schema): null ids stay null and
+    leave the other ids of their batch as they are."""
+    return ids_as_long(ids_as_text(rows, id_col).mapInPandas(run, f"{id_col} string, {schema}"), id_col)

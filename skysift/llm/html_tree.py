@@ -11,7 +11,8 @@ labelled pages.
 Edge cases: a null or empty page, and one without article text, gives an empty
 text. Pages without markup are one block of the root. Unclosed and stray tags
 are taken as browsers take them, roughly; a page is read in time linear in its
-length, whatever its tags and quotes. Repeated rows give repeated results. Extra
+length, whatever its tags and quotes. Repeated rows give repeated results, null ids
+stay null. Extra
 columns are ignored.
 """
 
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled_pages
+from .common import map_rows
 
 #: How a comment, a CDATA section, a declaration, an end tag and a start tag begin.
 _TOKEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|[!?]|/([a-zA-Z][^\s/>]*)|([a-zA-Z][^\s/>]*))")
@@ -379,7 +381,7 @@ def extract(pages: DataFrame, model: tuple | None = None) -> DataFrame:
             yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return map_rows(rows, run, "url string, text string, n_chars long", "page_id")
 
 
 def op1(pages: DataFrame) -> DataFrame:

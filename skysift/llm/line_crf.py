@@ -11,7 +11,7 @@ document's label; then, twice, lines of bad documents that the model itself
 holds good are relabelled and the field is fitted again.
 
 Edge cases: null, empty and blank texts have no line and score by the curve's
-value at quality 0.5. Repeated rows get the same score. Extra columns are
+value at quality 0.5. Repeated rows get the same score, null ids stay null. Extra columns are
 ignored; ``lang``, ``source`` and the id never enter a score. Without usable
 labels every score is 0.5.
 """
@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_rows
 from .toxicity import fit_linear, held_out, labelled_sample
 
 #: Bound of the labelled sample, by class.
@@ -174,7 +175,7 @@ def score(docs: DataFrame, labels: DataFrame, is_held_out: Column | None = None)
                 z = np.hstack([_curve(q), np.ones((len(q), 1))]) @ curve
                 yield pd.DataFrame({"doc_id": some["doc_id"], "quality_marginal": q, "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
 
-    return text.mapInPandas(run, "doc_id long, quality_marginal double, score double")
+    return map_rows(text, run, "quality_marginal double, score double")
 
 
 def _compact(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -26,7 +26,8 @@ sorted and compared with their neighbours, as a stream.
 
 Words are runs without U+0020 and U+0009 to U+000D, unchanged. Edge cases: null,
 empty and blank texts have no words (the digest of the empty text); texts of
-under WINDOW words lose nothing. Repeated rows repeat each other's windows.
+under WINDOW words lose nothing. Repeated rows repeat each other's windows,
+null ids stay null.
 Extra columns are ignored.
 """
 
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import stored
+from .common import ids_as_long, ids_as_text, stored
 
 WINDOW, PHRASE = 35, 6
 REACH = WINDOW - PHRASE  # words on either side of a phrase that its windows reach
@@ -316,7 +317,7 @@ def dedup(docs: DataFrame, separator: str = " ") -> DataFrame:
         })
 
     rows, marks = _prepared(docs)
-    return rows.groupBy("b").cogroup(marks.groupBy("b")).applyInPandas(run, "doc_id long, n_words long, n_removed long, text string")
+    return ids_as_long(ids_as_text(rows).groupBy("b").cogroup(marks.groupBy("b")).applyInPandas(run, "doc_id string, n_words long, n_removed long, text string"))
 
 
 def op9(docs: DataFrame) -> DataFrame:
@@ -330,5 +331,5 @@ def op9(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc_id": group["doc_id"], "n_words": n, "n_removed": removed, "kept_sha256": digest})
 
     rows, marks = _prepared(docs)
-    out = rows.groupBy("b").cogroup(marks.groupBy("b")).applyInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return out
+    out = ids_as_text(rows).groupBy("b").cogroup(marks.groupBy("b")).applyInPandas(run, "doc_id string, n_words long, n_removed long, kept_sha256 string")
+    return ids_as_long(out)

@@ -15,7 +15,8 @@ The benchmark is read in blocks of at most MAX_BLOCK characters, each shipped
 with one pass over the documents; a larger benchmark takes more passes.
 
 Edge cases: null and empty texts and items match nothing. Items shorter than q
-characters are matched exactly. Repeated rows are reported each once. An item
+characters are matched exactly. Repeated rows are reported each once, null
+ids stay null. An item
 that matches at several places is reported at the best one (fewest edits, then
 first). Extra columns are ignored.
 """
@@ -30,6 +31,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_rows
+
 Q, EDIT_RATE, PART = 7, 0.1, 200
 MAX_BLOCK = 4_000_000
 BITS = 22
@@ -213,13 +216,13 @@ def _index(key: str, items: list[tuple[int, str]]) -> Index:
     return _INDEXES[key]
 
 
-SCHEMA = "doc_id long, item_id long, edits int, start int, end int"
+FOUND = "item_id long, edits int, start int, end int"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, start, end): the items that documents hold."""
     rows = docs.select("doc_id", "text").where("text IS NOT NULL")
-    out = docs.sparkSession.createDataFrame([], SCHEMA)
+    out = docs.sparkSession.createDataFrame([], f"doc_id long, {FOUND}")
     for block in blocks(benchmark):
         key = hashlib.md5(repr(block).encode()).hexdigest()
 
@@ -229,7 +232,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = [(d, i, *got) for d, t in zip(part["doc_id"], part["text"], strict=True) for i, got in sorted(index.search(t).items())]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "edits", "start", "end"])
 
-        out = out.unionByName(rows.mapInPandas(run, SCHEMA))
+        out = out.unionByName(map_rows(rows, run, FOUND))
     return out
 
 

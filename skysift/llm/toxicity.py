@@ -15,7 +15,8 @@
    back to the classes' shares in the table.
 
 Edge cases: null and empty texts have no votes and get the score of a document
-without evidence. Repeated rows get one row each, with the same score. Without
+without evidence. Repeated rows get one row each, with the same score;
+null ids stay null. Without
 any usable label there are no lexicon voters and scores are the prior. Extra
 columns are ignored; ``lang``, ``source`` and the id never enter a score.
 """
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import map_rows, stored
 from .sampling import hashed_share
 
 #: Expected number of labelled rows of each class in the sample.
@@ -184,7 +185,7 @@ def votes(docs: DataFrame, voters: list[str]) -> DataFrame:
             yield pd.DataFrame({"doc_id": part["doc_id"], "hits": hits, "style": style})
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, hits array<int>, style array<float>")
+    return map_rows(rows, run, "hits array<int>, style array<float>")
 
 
 def _dense(hits: pd.Series, k: int) -> np.ndarray:
@@ -335,7 +336,7 @@ def score(docs: DataFrame, labels: DataFrame, is_held_out: Column | None = None)
             z = np.clip(np.hstack([_matrix(part, k), np.ones((len(part), 1))]) @ w, -10, 10)
             yield pd.DataFrame({"doc_id": part["doc_id"], "score": 1 / (1 + np.exp(-(a * z + b)))})
 
-    return all_votes.mapInPandas(run, "doc_id long, score double")
+    return map_rows(all_votes, run, "score double")
 
 
 def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ character, so that words can be counted once a worker; this is exact as long as
 sums of scores are exact in binary floating point, as whole numbers are. Where
 scores are not whole numbers, texts are counted uncut.
 
-Edge cases: null and empty texts have no tokens. Repeated rows are counted each.
+Edge cases: null and empty texts have no tokens. Repeated rows are counted each, null ids stay null.
 Extra columns are ignored. Texts of any length are counted whole.
 """
 
@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_rows
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Bound of a worker's store of counted words, and the longest word kept there.
@@ -141,7 +143,7 @@ def count(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [counter.text(t) for t in part["text"]]})
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_tokens long")
+    return map_rows(rows, run, "n_tokens long")
 
 
 def op3(docs: DataFrame) -> DataFrame:
