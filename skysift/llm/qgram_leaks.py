@@ -40,12 +40,16 @@ BITS = 22
 _MULTIPLIER = np.uint32(0x9E3779B1)
 
 
+#: A-Z to lower case, white space to a space; other bytes of UTF-8 stay.
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
+
+
 def normal(text: str) -> np.ndarray:
     """Code points in lower case, white space as spaces."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-    c[(c >= 65) & (c <= 90)] += 32
-    c[(c >= 9) & (c <= 13)] = 32
-    return c
+    data = text.encode("utf-8", "surrogatepass").translate(_PLAIN)
+    if len(data) == len(text):  # one byte a code point
+        return np.frombuffer(data, np.uint8).astype(np.uint32)
+    return np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _grams(c: np.ndarray) -> np.ndarray:
@@ -90,7 +94,8 @@ class Index:
         which = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes]) if hashes else np.zeros(0, int)
         place = np.concatenate([np.arange(len(x)) for x in hashes]) if hashes else np.zeros(0, int)
         order = np.argsort(h, kind="stable")
-        self.hash, self.which, self.place = h[order], which[order], place[order]
+        self.which, self.place = which[order], place[order]
+        self.hash, self.first, self.times = np.unique(h[order], return_index=True, return_counts=True)
         self.table = np.zeros(1 << BITS, bool)
         self.table[self.hash >> np.uint32(32 - BITS)] = True
         m = np.array([len(p) for p in self.patterns] or [0])
@@ -115,11 +120,13 @@ class Index:
         at = at[after - before >= self.least]
         if not len(at):
             return []
-        lo, hi = np.searchsorted(self.hash, g[at]), np.searchsorted(self.hash, g[at], side="right")
-        n = hi - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+        own = g[at]
+        slot = np.minimum(np.searchsorted(self.hash, own), len(self.hash) - 1)
+        there = self.hash[slot] == own
+        at, slot = at[there], slot[there]
         if not len(at):
             return []
+        lo, n = self.first[slot], self.times[slot]
         flat = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         p = self.which[flat]
         shift = self.shift  # keeps diagonals positive
