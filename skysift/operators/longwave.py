@@ -5,7 +5,7 @@ is done by transforms of a power of two M = R x C (R >= C, M >= 2 n - 1), and th
 are split: transforms of length R over the places that are equal modulo C, a turn
 of every value, then transforms of length C, and the same way back. The middle
 passes meet in one task, so a spectrum takes three shuffles of M numbers. A task
-holds at most max(BLOCK, R) numbers, about four times the root of n, whatever
+holds at most max(BLOCK, R) numbers, about three times the root of n, whatever
 share of the rows a signal has.
 
 Signals are (keys, pos, x) with pos from 0 on without gaps; others are numbered by
