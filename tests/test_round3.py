@@ -1,5 +1,11 @@
 """Faults that the third review found."""
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from skysift.operators import boosting
+
 
 def test_top_by_the_p_that_is_shown(spark):
     """1/1501 and 1/1502 are one number of 6 digits: the score decides."""
@@ -9,3 +15,14 @@ def test_top_by_the_p_that_is_shown(spark):
     rows += [(9001, "A", -5.0, 0), (9002, "B", -4.0, 0)]
     top = audited_top(spark.createDataFrame(rows, "object_id long, class_name string, score double, is_cal int")).collect()
     assert [r["object_id"] for r in top] == [9001, 9002] and top[0]["p"] == top[1]["p"]
+
+
+def test_small_tables_are_dealt_to_all_cores(spark):
+    """Raw scores, not bytes, are the work of a fit: 1,000 rows of 60 models are
+    not one task, and of two classes only one has trees of its own."""
+    df = spark.range(1000).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 3).alias("part")).coalesce(1)
+    fit = boosting.Boosted.fit(df, "y", "part", ("a",), boosting.Plan(np.ones((60, 3), bool), 2, least=5), 2, ("id",))
+    assert len(fit.rows.inputFiles()) == spark.sparkContext.defaultParallelism
+    assert fit.trees.value[0].shape == (60, 1, 8)
+    p = fit.probabilities([0, 1, 2]).collect()
+    assert len(p) == 1000 and all(sum(r["probability"]) == pytest.approx(1) for r in p)
