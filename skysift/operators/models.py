@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import spread, stored
 from .rank import quantiles
 
 
@@ -239,7 +239,7 @@ def out_of_fold(df: DataFrame, estimator, label: str, columns: tuple[str, ...],
 
     from .splits import kfold
 
-    rows = stored(VectorAssembler(inputCols=list(columns), outputCol="features").transform(kfold(df, id_col, label, folds)))
+    rows = spread(stored(VectorAssembler(inputCols=list(columns), outputCol="features").transform(kfold(df, id_col, label, folds))))
     out = None
     for k in range(folds):
         model = estimator.fit(rows.where(F.col("fold") != k))

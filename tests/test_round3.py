@@ -26,3 +26,10 @@ def test_small_tables_are_dealt_to_all_cores(spark):
     assert fit.trees.value[0].shape == (60, 1, 8)
     p = fit.probabilities([0, 1, 2]).collect()
     assert len(p) == 1000 and all(sum(r["probability"]) == pytest.approx(1) for r in p)
+
+
+def test_a_small_table_is_many_parts(spark):
+    from skysift.session import spread
+
+    rows = spread(spark.range(5000).coalesce(1))
+    assert rows.count() == 5000 and len(rows.inputFiles()) == 10
