@@ -207,7 +207,7 @@ def probabilities(df: DataFrame, estimator, columns: tuple[str, ...], name: str
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = stored(VectorAssembler(inputCols=list(columns), outputCol="features").transform(df))
+    rows = spread(stored(VectorAssembler(inputCols=list(columns), outputCol="features").transform(df)))
     got = estimator.fit(rows).transform(rows).withColumn(name, vector_to_array("probability")[1])
     return got.drop("features", "rawPrediction", "probability", "prediction")
 
