@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import conformal, fusion, metrics, models, splits
 from ..operators import waterfall as WF
 from ..operators.wavenet import WaveNet
-from ..session import stored
+from ..session import spread, stored
 from ..sources import adapters as A
 from .extra_queries import mapped_to_survey
 from .registry import query
@@ -60,7 +60,7 @@ def ensemble_evidence(feats: DataFrame, survey: DataFrame, rounds: int) -> DataF
     """(signal_id, p_pulsar): the boosted ensemble, fitted on the survey."""
     from pyspark.ml.functions import vector_to_array
 
-    model = models.ensemble_pipeline("y", A.SURVEY, rounds).fit(survey)
+    model = models.ensemble_pipeline("y", A.SURVEY, rounds).fit(spread(survey))
     return model.transform(feats).select("signal_id", vector_to_array("probability")[1].alias("p_pulsar"))
 
 
