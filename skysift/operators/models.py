@@ -5,17 +5,24 @@ expressions over a small literal matrix, so scoring shuffles nothing."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import spread, stored
 from .rank import quantiles
 
 
+#: Rows whose Fourier features a task holds at once.
+STEP = 2048
+
+
 def _sums(columns: tuple[str, ...], w: Column) -> list[Column]:
     """n, sums, sums of products and of |x|^4, as aggregates; bounded by D^2."""
     square = sum((F.col(c) * F.col(c) for c in columns[1:]), F.col(columns[0]) * F.col(columns[0]))
@@ -216,7 +223,8 @@ def fourier(df: DataFrame, columns: tuple[str, ...], m: int = 256, gamma: float
     """Adds an array of m random Fourier features of the standardised columns:
     products of two rows' arrays come near the kernel exp(-gamma |x - y|^2), with
     an error of order 1 / sqrt(m). gamma is 1 / columns if it is not given. A
-    linear fit on them is a kernel machine whose fit needs no kernel matrix."""
+    linear fit on them is a kernel machine whose fit needs no kernel matrix. A task
+    holds the arrays of STEP rows, however many rows a batch has."""
     s = df.agg(*[F.avg(c).alias(f"a{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
     shift = np.array([float(s[f"a{i}"] or 0) for i in range(len(columns))])
     scale = np.array([float(s[f"s{i}"]) if (s[f"s{i}"] or 0) > 1e-12 else 1.0 for i in range(len(columns))])
@@ -224,12 +232,16 @@ def fourier(df: DataFrame, columns: tuple[str, ...], m: int = 256, gamma: float
     w = rng.standard_normal((len(columns), m)) * math.sqrt(2 * (gamma if gamma is not None else 1 / len(columns)))
     b = rng.uniform(0, 2 * math.pi, m)
 
-    @F.pandas_udf("array<double>")
-    def mapped(*x: pd.Series) -> pd.Series:
-        z = (np.stack([c.to_numpy(float) for c in x], axis=1) - shift) / scale
-        return pd.Series(list(math.sqrt(2 / m) * np.cos(z @ w + b)))
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), STEP):
+                part = batch.slice(lo, STEP)
+                x = [part.column(part.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]
+                out = math.sqrt(2 / m) * np.cos((np.stack(x, axis=1) - shift) / scale @ w + b)
+                ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * m, pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], [*part.schema.names, name])
 
-    return df.withColumn(name, mapped(*[F.col(c) for c in columns]))
+    return df.mapInArrow(mapped, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
 def out_of_fold(df: DataFrame, estimator, label: str, columns: tuple[str, ...], id_col: str, folds: int = 3) -> DataFrame:

@@ -28,6 +28,22 @@ def test_small_tables_are_dealt_to_all_cores(spark):
     assert len(p) == 1000 and all(sum(r["probability"]) == pytest.approx(1) for r in p)
 
 
+def test_fourier_holds_few_rows(spark, monkeypatch):
+    """The arrays of STEP rows are made at a time, and are those of the formula."""
+    from skysift.operators import models
+
+    monkeypatch.setattr(models, "STEP", 7)
+    df = spark.range(50).select("id", (F.col("id") * 0.5).alias("a"), (F.col("id") % 3).cast("double").alias("b")).coalesce(1)
+    rows = models.fourier(df, ("a", "b"), 4).orderBy("id").collect()
+    x = np.array([[r["a"], r["b"]] for r in rows])
+    rng = np.random.default_rng(42)
+    w = rng.standard_normal((2, 4))
+    want = np.sqrt(0.5) * np.cos((x - x.mean(axis=0)) / x.std(axis=0) @ w + rng.uniform(0, 2 * np.pi, 4))
+    assert np.allclose([r["kernel"] for r in rows], want)
+    plan = models.fourier(df, ("a", "b"), 4)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
 def test_a_small_table_is_many_parts(spark):
     from skysift.session import spread
 
