@@ -163,6 +163,27 @@ def divergence(x: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.nda
     return total, count
 
 
+def divergences(x: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """divergence of many signals of one length at once (a row each); memory is
+    that of rows x (stop - start) x n distances."""
+    x = x - x.mean(axis=1, keepdims=True)
+    n = x.shape[1] - (DIM - 1) * DELAY
+    y = np.stack([x[:, i * DELAY : i * DELAY + n] for i in range(DIM)], axis=2)
+    sq = (y * y).sum(axis=2)
+    i, j = np.arange(start, min(stop, n)), np.arange(n)
+    d = np.sqrt(np.maximum(sq[:, i, None] + sq[:, None, :] - 2 * y[:, i] @ y.transpose(0, 2, 1), 0))
+    d[:, np.abs(i[:, None] - j[None, :]) < THEILER] = np.inf
+    near, row = d.argmin(axis=2), np.arange(len(x))[:, None]
+    far = np.isfinite(np.take_along_axis(d, near[:, :, None], 2)[:, :, 0])
+    total, count = np.zeros((len(x), STEPS + 1)), np.zeros((len(x), STEPS + 1), dtype=int)
+    for s in range(min(STEPS, n - 1) + 1):
+        ok = (i + s < n) & (near + s < n) & far
+        gap = np.linalg.norm(y[:, np.minimum(i + s, n - 1)] - y[row, np.minimum(near + s, n - 1)], axis=2)
+        ok &= gap > 0
+        total[:, s], count[:, s] = np.log(gap, where=ok, out=np.zeros_like(gap)).sum(axis=1), ok.sum(axis=1)
+    return total, count
+
+
 def aaft(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Amplitude-adjusted surrogate (textbook rank map): Gaussian data in the
     signal's order, phases randomised, then the signal's values by rank."""
@@ -181,30 +202,37 @@ def surrogate(x: np.ndarray, which: int, seed: int = 42) -> np.ndarray:
 def exponents(df: DataFrame, n_surrogates: int = 0) -> DataFrame:
     """(signal_id, which, lyapunov) of every signal (which = 0) and its
     surrogates: the slope of the mean log divergence of nearest neighbours. Tasks
-    are dealt by (signal, surrogate, block of delay vectors), so that a long
-    signal needs memory for its samples and one block only."""
+    are dealt by (signal, block of delay vectors), and of long signals by surrogate,
+    so that such a signal needs memory for its samples and one block only. Short
+    signals go through with all their surrogates at once."""
     series = df.groupBy("signal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"]).alias("x"))
     n = F.size("x") - (DIM - 1) * DELAY
     rows = series.where(n >= 20).withColumn("size", F.greatest(F.lit(1), F.floor(F.lit(BLOCK) / n)).cast("int"))
     rows = rows.select("signal_id", "x", "size", F.explode(F.sequence(F.lit(0), n - 1, F.col("size"))).alias("start"))
-    rows = rows.withColumn("which", F.explode(F.sequence(F.lit(0), F.lit(n_surrogates))))
+    every = F.sequence(F.lit(0), F.lit(n_surrogates))
+    # as many surrogates a row as have their distances within a block
+    at_once = F.greatest(F.lit(1), F.floor(F.lit(BLOCK) / (F.least("size", n) * n))).cast("int")
+    rows = rows.withColumn("which", F.explode(F.sequence(F.lit(0), F.lit(n_surrogates), at_once))).withColumn("many", at_once)
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, x, size, start, which in zip(batch["signal_id"], batch["x"], batch["size"], batch["start"], batch["which"], strict=True):
+            for key, x, size, start, lo, many in zip(batch["signal_id"], batch["x"], batch["size"], batch["start"], batch["which"], batch["many"], strict=True):
                 x = np.asarray(x, float)
                 if np.std(x) >= 1e-12:
-                    total, count = divergence(surrogate(x, int(which)), int(start), int(start) + int(size))
-                    out += [(key, which, s / FS, total[s], count[s]) for s in range(STEPS + 1) if count[s]]
-            yield pd.DataFrame(out, columns=["signal_id", "which", "t", "total", "n"])
+                    which = np.arange(lo, min(lo + many, n_surrogates + 1))
+                    total, count = divergences(np.stack([surrogate(x, int(w)) for w in which]), int(start), int(start) + int(size))
+                    k, s = np.nonzero(count)
+                    out.append((np.full(len(k), key), which[k], s / FS, total[k, s], count[k, s]))
+            if out:
+                yield pd.DataFrame(dict(zip(["signal_id", "which", "t", "total", "n"], map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     dealt = rows.repartition(parts, "signal_id", "which", "start")
     curve = dealt.mapInPandas(run, "signal_id long, which int, t double, total double, n long").groupBy("signal_id", "which", "t").agg((F.sum("total") / F.sum("n")).alias("y"))
     slope = curve.groupBy("signal_id", "which").agg(F.regr_slope("y", "t").alias("slope"))
-    every = df.select("signal_id").distinct().withColumn("which", F.explode(F.sequence(F.lit(0), F.lit(n_surrogates))))
-    return every.join(slope, ["signal_id", "which"], "left").select("signal_id", "which", F.coalesce("slope", F.lit(0.0)).alias("lyapunov"))
+    each = df.select("signal_id").distinct().withColumn("which", F.explode(every))
+    return each.join(slope, ["signal_id", "which"], "left").select("signal_id", "which", F.coalesce("slope", F.lit(0.0)).alias("lyapunov"))
 
 
 def chaos(df: DataFrame, n_surrogates: int = 19) -> DataFrame:

@@ -49,3 +49,16 @@ def test_a_small_table_is_many_parts(spark):
 
     rows = spread(spark.range(5000).coalesce(1))
     assert rows.count() == 5000 and len(rows.inputFiles()) == 10
+
+
+def test_surrogates_go_through_together():
+    from skysift.operators import waveform
+
+    rng = np.random.default_rng(3)
+    for n, start, stop in ((67, 0, 10**6), (300, 37, 90), (29, 5, 9)):
+        x = rng.standard_normal((6, n))
+        x[2] = np.round(x[2])
+        total, count = waveform.divergences(x, start, stop)
+        for k, row in enumerate(x):
+            t, c = waveform.divergence(row, start, stop)
+            assert (c == count[k]).all() and np.allclose(t, total[k])
