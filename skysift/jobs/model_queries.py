@@ -61,10 +61,10 @@ def curated_audit(s, d):
 def real_catalog_audit(s, d):
     """All catalog rows: features, medians of the fit part, class densities,
     least and largest class p against the calibration part."""
-    f = splits.fit_calibration(catalogs.featurize(A.catalog(s, d)), "object_id", "class_name")
+    f = stored(splits.fit_calibration(catalogs.featurize(A.catalog(s, d)), "object_id", "class_name"))
     from ..functions.physical import CONTINUOUS
 
-    rows = catalogs.impute(f, catalogs.medians(f.where("is_fit = 1")))
+    rows = stored(catalogs.impute(f, catalogs.medians(f.where("is_fit = 1"))))
     mix = models.fit_mixtures(rows.where("is_fit = 1"), "class_name", CONTINUOUS, 5)
     scored = models.log_prob(rows, mix).select(F.col("object_id").alias("id"), "class_name", F.round("log_prob", 6).alias("score"), (1 - F.col("is_fit")).alias("is_cal"))
     return conformal.over_classes(scored, every=True)

@@ -36,16 +36,20 @@ def over_classes(df: DataFrame, score: str = "score", flag: str = "is_cal", labe
     """Per row that does not calibrate (every: per row, with its own class and
     score): the least and largest p over all classes' calibration scores and the
     class of the least (first by name)."""
-    cal = df.where(F.col(flag) == 1).select(F.col(label).alias("_class"), F.col(score).alias("_s"), F.lit(1).cast("long").alias("_cal"))
-    classes = cal.groupBy().agg(F.array_sort(F.collect_set("_class")).alias("_classes"))  # class names, not rows
-    test = df if every else df.where(F.col(flag) == 0)
-    spread = test.join(classes).select("*", F.explode("_classes").alias("_class")).drop("_classes")
-    rows = spread.withColumn("_s", F.col(score)).withColumn("_cal", F.lit(0).cast("long")).unionByName(cal, allowMissingColumns=True)
-    rows = cumulative(rows, "_s", {"_le": "_cal"}, ("_class",), totals={"_n": "_cal"}).where("_cal = 0")
-    rows = rows.withColumn("_p", (F.col("_le") + 1) / (F.col("_n") + 1))
-    own = [F.first(c).alias(c) for c in (label, score)] if every else []
-    return rows.groupBy("id").agg(
-        *own, F.min("_p").alias("p_min"), F.max("_p").alias("p_max"), F.min(F.struct("_p", "_class"))["_class"].alias("assigned")
+    rows = stored(df)
+    names = rows.where(F.col(flag) == 1).select(label).distinct().where(F.col(label).isNotNull()).orderBy(label).collect()  # class names, not rows
+    own = ["id", label, score] if every else ["id"]
+    if not names:
+        none = F.lit(None).cast("double")
+        return rows.limit(0).select(*own, none.alias("p_min"), none.alias("p_max"), F.col(label).alias("assigned"))
+    # one order of all rows serves every class: a column of running counts for each
+    one = {f"_c{i}": ((F.col(flag) == 1) & F.col(label).eqNullSafe(F.lit(r[0]))).cast("long") for i, r in enumerate(names)}
+    k = range(len(names))
+    rows = cumulative(rows.withColumns(one), score, {f"_le{i}": f"_c{i}" for i in k}, totals={f"_n{i}": f"_c{i}" for i in k})
+    p = F.array(*[F.struct(((F.col(f"_le{i}") + 1) / (F.col(f"_n{i}") + 1)).alias("p"), F.lit(names[i][0]).alias("c")) for i in k])
+    rows = rows if every else rows.where(F.col(flag) == 0)
+    return rows.select(*own, p.alias("_p")).select(
+        *own, F.array_min("_p")["p"].alias("p_min"), F.array_max("_p")["p"].alias("p_max"), F.array_min("_p")["c"].alias("assigned")
     )
 
 

@@ -137,7 +137,7 @@ class Mixture:
         if k == 1:
             n, mean, q, _ = moments(z, columns)
             return cls(columns, shift, scale, np.ones(1), mean[None], (q / n - np.outer(mean, mean))[None] + 1e-6 * np.eye(len(columns)))
-        model = GaussianMixture(k=k, seed=seed, maxIter=100).fit(VectorAssembler(inputCols=list(columns), outputCol="features").transform(z))
+        model = GaussianMixture(k=k, seed=seed, maxIter=100).fit(VectorAssembler(inputCols=list(columns), outputCol="features").transform(spread(z)))
         g = model.gaussiansDF.collect()  # one row per component
         covs = np.array([np.array(r["cov"].toArray()) for r in g]) + 1e-6 * np.eye(len(columns))
         return cls(columns, shift, scale, np.array(model.weights), np.array([r["mean"].toArray() for r in g]), covs)

@@ -72,6 +72,23 @@ def test_near_quantiles_are_exact(spark, monkeypatch):
     assert called[0] < 300  # of about 6,600 distinct values
 
 
+def test_every_row_stands_once_for_all_classes(spark, monkeypatch):
+    """The rows that are put in order are the input's, not one for each class."""
+    from skysift.operators import conformal
+
+    seen, whole = [], conformal.cumulative
+    monkeypatch.setattr(conformal, "cumulative", lambda df, *a, **k: seen.append(df.count()) or whole(df, *a, **k))
+    rows = [(i, "abc"[i % 3], float(i * 37 % 50), int(i % 2)) for i in range(60)]
+    out = conformal.over_classes(spark.createDataFrame(rows, "id long, class_name string, score double, is_cal int"), every=True).collect()
+    assert seen == [60] and len(out) == 60
+    for r in out:
+        p = {}
+        for c in "abc":
+            cal = [s for _, k, s, f in rows if k == c and f]
+            p[c] = (1 + sum(s <= r["score"] for s in cal)) / (1 + len(cal))
+        assert r["p_min"] == min(p.values()) and r["p_max"] == max(p.values()) and r["assigned"] == min(p, key=lambda c: (p[c], c))
+
+
 def test_surrogates_go_through_together():
     from skysift.operators import waveform
 
