@@ -48,8 +48,9 @@ def over_classes(df: DataFrame, score: str = "score", flag: str = "is_cal", labe
     rows = cumulative(rows.withColumns(one), score, {f"_le{i}": f"_c{i}" for i in k}, totals={f"_n{i}": f"_c{i}" for i in k})
     p = F.array(*[F.struct(((F.col(f"_le{i}") + 1) / (F.col(f"_n{i}") + 1)).alias("p"), F.lit(names[i][0]).alias("c")) for i in k])
     rows = rows if every else rows.where(F.col(flag) == 0)
-    return rows.select(*own, p.alias("_p")).select(
-        *own, F.array_min("_p")["p"].alias("p_min"), F.array_max("_p")["p"].alias("p_max"), F.array_min("_p")["c"].alias("assigned")
+    least = rows.select(*own, p.alias("_p")).select(*own, F.array_min("_p").alias("_min"), F.array_max("_p")["p"].alias("_max"))
+    return least.groupBy("id").agg(
+        *[F.first(c).alias(c) for c in own[1:]], F.min("_min")["p"].alias("p_min"), F.max("_max").alias("p_max"), F.min("_min")["c"].alias("assigned")
     )
 
 
