@@ -258,3 +258,33 @@ def out_of_fold(df: DataFrame, estimator, label: str, columns: tuple[str, ...],
         part = model.transform(rows.where(F.col("fold") == k)).select(id_col, label, "fold", F.col("prediction").cast("int").alias("prediction"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+#: Rows of a part of a forest's table: trees are grown level by level, and every
+#: part sends the counts of all nodes of a level, so that more parts cost more.
+FOREST_PARTS, FOREST_ROWS = 12, 1 << 18
+
+
+def imputed_out_of_fold(df: DataFrame, estimator, label: str, fold: str, columns: tuple[str, ...], folds: list[int]) -> DataFrame:
+    """(label, prediction): each of folds predicted by a pyspark.ml classifier that
+    is fitted on the others, whose medians stand for values that are missing or not
+    finite (0 where a column has none). A fold's predictions are written before the
+    next model is fitted: the driver holds one model at a time."""
+    from pyspark.ml.feature import VectorAssembler
+
+    finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c))  # noqa: E731  NaN is the largest
+    rows = df.select(label, fold, *[finite(c).cast("double").alias(c) for c in columns])
+    n = df.count()
+    rows = stored(rows.repartition(max(FOREST_PARTS, -(-n // FOREST_ROWS))))
+    middle = {}
+    if rows.where(F.greatest(*[F.col(c).isNull().cast("int") for c in columns]) == 1).limit(1).count():
+        each = rows.withColumn("_model", F.explode(F.array(*[F.lit(k) for k in folds]))).where(F.col(fold) != F.col("_model"))
+        middle = {(r["_model"], r["column"]): r["q0"] for r in quantiles(each, columns, (0.5,), ("_model",)).collect()}  # folds x columns
+    out = None
+    for k in folds:
+        whole = rows.select(label, fold, *[F.coalesce(F.col(c), F.lit(float(middle.get((k, c), 0.0)))).alias(c) for c in columns])
+        whole = VectorAssembler(inputCols=list(columns), outputCol="features").transform(whole)
+        model = estimator.fit(whole.where(F.col(fold) != k))
+        part = stored(model.transform(whole.where(F.col(fold) == k)).select(label, F.col("prediction").cast("int").alias("prediction")))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else rows.select(label, F.lit(0).alias("prediction"))
