@@ -152,3 +152,13 @@ def test_medians_of_the_other_folds(spark):
         part = models.imputed_out_of_fold(whole.where(F.lit(True)), tree, "y", "fold", ("a", "b"), [k])
         want += map(tuple, part.collect())
     assert got == sorted(want)
+
+
+def test_no_fitted_model_waits_in_the_plan(spark, tmp_path):
+    from skysift.jobs import model_queries
+
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], i % 2) for i in range(60)]
+    plan = model_queries.population_boosting(spark, embeddings(tmp_path, rows), 2, 3)._jdf.queryExecution().analyzed().toString()
+    # five forests in one plan were more than the driver's heap could serialise
+    assert "UDF" not in plan and "MapInArrow" not in plan and "Relation" in plan
